@@ -1,6 +1,11 @@
 """The registered queries of this subpackage."""
 
-from deltaweave.llm import exact_dedup
+from deltaweave.llm import byte_bpe, exact_dedup, packing, token_store
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_token_store": token_store.op3_token_store,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL}
