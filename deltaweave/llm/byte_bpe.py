@@ -97,7 +97,7 @@ _SHORT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def _whole(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in (s for b in batches for s in slices(b, "text")):
+        for batch in slices(batches):
             done = [own.digests(own.encode(t or "")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -107,7 +107,7 @@ def _whole(path: str, pattern: str):
 def _chunks(path: str, pattern: str, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in (s for b in batches for s in slices(b, "text")):
+        for batch in slices(batches):
             ids = []
             for number, many, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
                 piece = own_piece(text, number == 0, number == many - 1, chunk)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltaweave.llm.tokens import encoder, slices, text_bytes
+from deltaweave.llm.tokens import encoder, slices
 from deltaweave.runtime import ship, shuffle_width, stage, table
 
 CAPACITY = 2048
@@ -191,10 +191,10 @@ def _pieces(path: str, end_id: int, capacity: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, "text")):
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
-            for key, packed in zip(batch.column(0).to_pylist(), encoder(path).encode(text_bytes(batch.column(1)))):
-                view = memoryview(packed + end)
+            for key, packed in zip(batch.column(0).to_pylist(), encoder(path).packed(batch.column(1))):
+                view = memoryview(bytes(packed) + end)
                 for piece, at in enumerate(range(0, len(view), 4 * capacity)):
                     part = view[at : at + 4 * capacity]
                     for column, value in zip(out, (key, piece, at // 4, len(part) // 4, zlib.crc32(part))):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaweave.llm import simple8b
-from deltaweave.llm.tokens import encoder, slices, text_bytes
+from deltaweave.llm.tokens import encoder, slices
 from deltaweave.runtime import ship, stage, table
 
 SEGMENT_IDS = 1 << 18
@@ -43,10 +43,10 @@ def _write(path: str, end_id: int, segment_ids: int, block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
-        for batch in (s for b in batches for s in slices(b, "text")):
-            for key, packed in zip(batch.column(0).to_pylist(), encoder(path).encode(text_bytes(batch.column(1)))):
+        for batch in slices(batches):
+            for key, packed in zip(batch.column(0).to_pylist(), encoder(path).packed(batch.column(1))):
                 keys.append(key)
-                ids.append(packed + end)
+                ids.append(bytes(packed) + end)
                 held += len(ids[-1]) // 4
                 if held >= segment_ids:
                     yield _segment(shard, number, keys, ids, block)

@@ -1,55 +1,121 @@
 """Token ids of whole texts with a BPE tokenizer whose pre-tokens never cross white space.
 
-Ids are kept as packed little-endian unsigned 32-bit integers.  Since no pre-token crosses ASCII
-white space, a text's ids are the concatenation of its words' ids; words repeat, so each worker
-keeps a bounded cache of word ids and gives only unseen words to the tokenizers library, in
-batches.  Texts longer than any bound are handled alike: nothing is cut.
+Since no pre-token crosses ASCII white space, a text's ids are the concatenation of its words' ids.
+Words and pre-tokens repeat, so a batch is reduced to its distinct words, those to their distinct
+pre-tokens, and only pre-tokens that this worker has not kept go to the tokenizers library, many in
+one text.  Splitting, numbering and putting together are whole-array operations.  Texts of any
+length are handled alike: nothing is cut.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept by one worker, and the longest word that is kept, in bytes.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+#: Pre-tokens that one worker keeps at most, and the longest that outlive a thinning, in characters.
+CACHE_PIECES, KEEP_PIECE = 700_000, 10
+#: Words of these characters are cut into pre-tokens here, all others by the tokenizers library.
+PLAIN = r"^[!-~\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{17e}]*$"
+#: The tokenizer's own pre-token pattern, for lower-cased plain words.
+PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Concatenation of ``values[s : s + n]`` over all starts and lengths."""
+    before = np.cumsum(lengths) - lengths
+    return values[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+
+
+class Ragged:
+    """Runs of values: the value list and each run's start and length."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray):
+        self.values, self.lengths = values, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    def take(self, runs: np.ndarray, of: np.ndarray) -> Ragged:
+        """New runs: each is the concatenation of ``of`` of the given runs in turn."""
+        lengths = self.lengths[runs]
+        values = ragged(self.starts[runs], lengths, self.values)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(of)]
+        return Ragged(values, np.diff(ends, prepend=0))
 
 
 class WordEncoder:
-    """Packed ids of texts; ``path`` is a tokenizers JSON file."""
+    """Ids of texts; ``path`` is a tokenizers JSON file whose pre-tokens end in ``</w>``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, texts: Iterable[bytes]) -> list[bytes]:
-        """Packed ids of each text (UTF-8)."""
-        split = [t.split() for t in texts]
-        cache = self.cache
-        unseen = [w for w in set().union(*split) if w not in cache]
-        if len(cache) + len(unseen) > CACHE_WORDS:
-            cache.clear()
-            unseen = list(set().union(*split))
-        short = [w for w in unseen if len(w) <= CACHE_BYTES]
-        cache.update(zip(short, self._ids(short)))
-        long = [w for w in unseen if len(w) > CACHE_BYTES]
-        known = cache
-        if long:
-            known = dict(zip(long, self._ids(long)))
-            return [b"".join([cache[w] if w in cache else known[w] for w in words]) for words in split]
-        return [b"".join([known[w] for w in words]) for words in split]
+        self.fast = Tokenizer.from_file(path)  # for plain lower-case pre-tokens with spaces between
+        self.fast.normalizer = None
+        self.fast.encode_special_tokens = True
+        self.fast.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn(self, unseen: list[str]) -> list[bytes]:
+        """Ids of plain pre-tokens, encoded as texts of many and cut where a pre-token ends."""
+        texts = [" ".join(unseen[i : i + 500]) for i in range(0, len(unseen), 500)]
+        found = self.fast.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.asarray(x.ids, "<u4") for x in found])
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        packed = ids.tobytes()
+        assert len(ends) == len(unseen)
+        return [packed[at:end] for at, end in zip([0, *ends], ends)]
+
+    def _pieces(self, shown: list[str]) -> Ragged:
+        """Ids of distinct pre-tokens."""
+        packed = list(map(self.pieces.get, shown))
+        at = [i for i, x in enumerate(packed) if x is None and shown[i]]
+        if at:
+            new = [shown[i] for i in at]
+            if len(self.pieces) + len(new) > CACHE_PIECES:
+                self.pieces = {p: v for p, v in self.pieces.items() if len(p) <= KEEP_PIECE}
+                if len(self.pieces) > CACHE_PIECES // 2:
+                    self.pieces = {}
+            for i, piece, ids in zip(at, new, self._learn(new)):
+                self.pieces[piece] = packed[i] = ids
+        packed = [x or b"" for x in packed]
+        return Ragged(np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4)
+
+    def _words(self, words: pa.StringArray) -> Ragged:
+        """Ids of distinct words."""
+        plain = np.asarray(pc.match_substring_regex(words, PLAIN))
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(words.filter(pa.array(plain))), PIECES, r"\1 "))
+        many = np.asarray(pc.list_value_length(cut), np.int64)
+        numbered = pc.list_flatten(cut).dictionary_encode()
+        out = self._pieces(numbered.dictionary.to_pylist()).take(np.asarray(numbered.indices, np.int64), many)
+        if plain.all():
+            return out
+        other = [np.asarray(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        both = Ragged(np.concatenate([out.values, *other]), np.concatenate([out.lengths, [len(x) for x in other]]).astype(np.int64))
+        place = np.empty(len(plain), np.int64)
+        place[plain] = np.arange(plain.sum())
+        place[~plain] = plain.sum() + np.arange((~plain).sum())
+        return both.take(place, np.ones(len(plain), np.int64))
+
+    def encode(self, texts: pa.StringArray) -> Ragged:
+        """Ids of each text; null counts as empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        many = np.asarray(pc.list_value_length(split), np.int64)
+        numbered = pc.list_flatten(split).dictionary_encode()
+        return self._words(numbered.dictionary).take(np.asarray(numbered.indices, np.int64), many)
+
+    def packed(self, texts: pa.StringArray) -> list[memoryview]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        found = self.encode(texts)
+        view = memoryview(found.values.astype("<u4").tobytes())
+        return [view[4 * a : 4 * (a + n)] for a, n in zip(found.starts.tolist(), found.lengths.tolist())]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -62,19 +128,14 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def text_bytes(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of each text; null counts as empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def slices(batch: pa.RecordBatch, texts: str, most: int = 4_000_000) -> Iterable[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text each, for bounded memory."""
-    column = batch.column(batch.schema.get_field_index(texts))
-    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
-    group = (np.cumsum(sizes) // most) if len(sizes) else sizes
-    edges = np.flatnonzero(np.diff(group)) + 1
-    last = 0
-    for edge in [*edges.tolist(), batch.num_rows]:
-        if edge > last:
-            yield batch.slice(last, edge - last)
-        last = edge
+def slices(batches: Iterable[pa.RecordBatch], texts: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about ``most`` bytes of text each, for bounded memory."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(texts))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+        edges = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+        last = 0
+        for edge in [*edges.tolist(), batch.num_rows]:
+            if edge > last:
+                yield batch.slice(last, edge - last)
+            last = edge
