@@ -2,7 +2,7 @@
 
 The store is a Parquet table with one row per segment; a segment holds whole documents, about
 ``SEGMENT_IDS`` ids, as Simple-8b words with per-block word offsets and an escape list (see
-``simple8b``).  Rows carry the shard (range partition) and position, so the concatenation by
+``simple8b``).  Rows carry the shard (range partition), their number and the count of the shard's ids before them, so the concatenation by
 (shard, segment) is the corpus in ascending document order.  Spark's commit protocol makes a lost
 executor harmless, and any store that Spark can write to will do.
 
@@ -27,14 +27,14 @@ from deltaweave.llm.tokens import encoder, slices
 from deltaweave.runtime import ship, stage, table
 
 SEGMENT_IDS = 1 << 18
-SEGMENT_SCHEMA = "shard int, segment int, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, block int, offsets binary, words binary, escapes binary"
-_ARROW = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("block", pa.int32()), ("offsets", pa.binary()), ("words", pa.binary()), ("escapes", pa.binary())])
+SEGMENT_SCHEMA = "shard int, segment int, before bigint, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, block int, offsets binary, words binary, escapes binary"
+_ARROW = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("block", pa.int32()), ("offsets", pa.binary()), ("words", pa.binary()), ("escapes", pa.binary())])
 
 
-def _segment(shard: int, number: int, keys: list, ids: list[bytes], block: int) -> pa.RecordBatch:
+def _segment(shard: int, number: int, before: int, keys: list, ids: list[bytes], block: int) -> pa.RecordBatch:
     values = np.frombuffer(b"".join(ids), "<u4")
     words, offsets, escapes = simple8b.encode(values, block)
-    row = [shard, number, keys, [len(x) // 4 for x in ids], len(values), block, offsets.astype("<i8").tobytes(), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes()]
+    row = [shard, number, before, keys, [len(x) // 4 for x in ids], len(values), block, offsets.astype("<i8").tobytes(), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes()]
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ARROW.types)], schema=_ARROW)
 
 
@@ -42,17 +42,17 @@ def _write(path: str, end_id: int, segment_ids: int, block: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
+        shard, number, before, keys, ids, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
         for batch in slices(batches):
             for key, packed in zip(batch.column(0).to_pylist(), encoder(path).packed(batch.column(1))):
                 keys.append(key)
                 ids.append(bytes(packed) + end)
                 held += len(ids[-1]) // 4
                 if held >= segment_ids:
-                    yield _segment(shard, number, keys, ids, block)
-                    number, keys, ids, held = number + 1, [], [], 0
+                    yield _segment(shard, number, before, keys, ids, block)
+                    number, before, keys, ids, held = number + 1, before + held, [], [], 0
         if keys:
-            yield _segment(shard, number, keys, ids, block)
+            yield _segment(shard, number, before, keys, ids, block)
 
     return run
 
@@ -87,12 +87,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_store(store: DataFrame) -> DataFrame:
     """Decode a store: ``doc_id, start, n_tokens, ids_crc32`` per document."""
     sizes = store.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_base"))
-    inside = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    segments = store.select("shard", "segment", "n_ids").withColumn("inner", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
-    bases = segments.join(F.broadcast(shards), "shard").select("shard", "segment", (F.col("shard_base") + F.col("inner")).alias("base"))
-    return store.join(bases, ["shard", "segment"]).drop("shard", "segment").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = sizes.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shard_base"))
+    based = store.join(F.broadcast(shards), "shard").withColumn("base", F.col("shard_base") + F.col("before"))
+    return based.drop("shard", "segment", "before", "shard_base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
