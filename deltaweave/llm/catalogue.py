@@ -1,11 +1,14 @@
 """The registered queries of this subpackage."""
 
-from deltaweave.llm import byte_bpe, exact_dedup, packing, token_store
+from deltaweave.llm import byte_bpe, exact_dedup, packing, pii, secrets, token_store, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_store": token_store.op3_token_store,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_pii": pii.op9_pii,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL}
