@@ -106,3 +106,10 @@ SELECT doc_id,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """
+
+
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text stays under a larger key; columns and repeated rows as they are."""
+    gone = exact_dedup(docs, key, text).where(~F.col("kept")).select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha")).distinct()
+    own = docs.withColumn("_own", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    return own.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_sha")), "left_anti").drop("_own")

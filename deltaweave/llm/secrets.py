@@ -83,3 +83,27 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     counts = [spans.count(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(spans.show(F.col("base")), 256).alias("base_sha256"), spans.show(F.col("found")).alias("spans"))
+
+
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every found span of ``text`` replaced by ``mark``; a column ``n_chars`` follows the new length.
+
+    Overlapping spans become one mark.  Texts without spans, null ones too, stay as they are.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    long_enough = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= LEAST_ASSIGNED
+    base = spans.sort(spans.find(body, ASSIGN, "assign", 0, long_enough), spans.find(body, ACCESS, "access", 1), spans.find(body, HEX, "hex", 2))
+    rows = docs.select(*docs.columns, base.alias("_base"), spans.find(body, RUN, "entropy", 3, is_secret).alias("_runs"))
+    rows = rows.select(*docs.columns, spans.sort(F.col("_base"), spans.apart(F.col("_runs"), F.col("_base"))).alias("_found"))
+
+    def step(state: Column, span: Column) -> Column:
+        before = F.substring(F.col(text), state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
+        new = F.when(span["start"] >= state["at"], F.concat(state["out"], before, F.lit(mark))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], span["stop"]).alias("at"), new.alias("out"))
+
+    cut = F.aggregate("_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    rest = F.concat(cut["out"], F.substring(F.col(text), cut["at"] + 1, F.length(text)))
+    rows = rows.withColumn("_new", F.when(F.size("_found") > 0, rest).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.size("_found") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.withColumn(text, F.col("_new")).select(*docs.columns)

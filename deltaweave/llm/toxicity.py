@@ -30,7 +30,7 @@ from deltaweave.runtime import ship, stage, table
 #: Bounds of the fit: labelled documents, features, swapped sentences.
 MAX_TRAIN, MAX_FEATURES, MAX_PAIRS = 6000, 4096, 20_000
 #: Least |z| of a feature's difference between the labels, penalties, steps of the fit, the cut of a score.
-LEAST_Z, RIDGE, SWAP, STEPS, CUT = 4.0, 0.3, 30.0, 400, 0.3
+LEAST_Z, RIDGE, SWAP, STEPS, CUT = 4.0, 0.1, 30.0, 400, 0.3
 BEGINNINGS = (4, 5, 6)
 
 # Identity terms that can stand for each other in a sentence.
@@ -216,3 +216,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels"))
     scored = score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def keep_harmless(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:
+    """``docs`` without the rows that score ``cut`` or more under a model learnt from ``labels``."""
+    scored = score(docs, fit(docs, labels, key, text), text)
+    return scored.where(F.col("score") < cut).select(*docs.columns)
