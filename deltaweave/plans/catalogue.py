@@ -2,5 +2,419 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from deltaweave.functions import exprs
+from deltaweave.operators import delta, divide, graph, grid, kinetics, particles, rewrite, trace
+from deltaweave.runtime import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function by its name, with its oracle."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- deltas -------------------------------------------------------------------------------------
+
+
+@query("SELECT l_partkey, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1 HAVING abs(sum(l_quantity)) > 2.220446049250313e-16")
+def reconcile_sum(spark, d):
+    return delta.reconcile_sum(table(spark, d, "lineitem"), ["l_partkey"], "l_quantity", "quantity").withColumn("quantity", F.round("quantity", 2))
+
+
+@query("SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events WHERE value IS NOT NULL GROUP BY 1")
+def reconcile_last_wins(spark, d):
+    return delta.reconcile_last(table(spark, d, "events"), ["user_id"], "value", ["ts", "event_id"], "value")
+
+
+@query("SELECT l_orderkey, round(sum(l_extendedprice), 2) AS price FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1 HAVING abs(sum(l_extendedprice)) > 2.220446049250313e-16")
+def reconcile_remove_wins(spark, d):
+    removed = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    live = delta.void_removed(table(spark, d, "lineitem"), removed, ["l_orderkey"])
+    return delta.reconcile_sum(live, ["l_orderkey"], "l_extendedprice", "price").withColumn("price", F.round("price", 2))
+
+
+@query("SELECT c_custkey, round(c_acctbal + coalesce(s, 0), 2) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def apply_additive(spark, d):
+    change = delta.reconcile_sum(table(spark, d, "orders"), ["o_custkey"], "o_totalprice", "s").withColumnRenamed("o_custkey", "c_custkey")
+    state = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return delta.apply_add(state, change, ["c_custkey"], "c_acctbal", "s").withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def apply_add_remove(spark, d):
+    customers = table(spark, d, "customer")
+    state = customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    removed = customers.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
+    added = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return delta.apply_add_remove(state, removed, added, ["id"])
+
+
+@query("SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, coalesce(b.v, a.v) AS v FROM (SELECT c_custkey, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT c_custkey, c_acctbal * 2 AS v FROM customer WHERE c_custkey % 2 = 0) b ON a.c_custkey = b.c_custkey")
+def merge_values(spark, d):
+    c = table(spark, d, "customer")
+    a = c.where("c_custkey % 3 <> 0").select("c_custkey", F.col("c_acctbal").alias("v"))
+    b = c.where("c_custkey % 2 = 0").select("c_custkey", (F.col("c_acctbal") * 2).alias("v"))
+    return delta.merge(a, b, ["c_custkey"], ["v"])
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'add' WHEN b.k IS NULL THEN 'remove' ELSE 'change' END AS op, CASE WHEN a.k IS NULL THEN round(b.v, 2) WHEN b.k IS NOT NULL THEN round(b.v - a.v, 2) END AS delta FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
+def diff_keyed(spark, d):
+    o = table(spark, d, "orders")
+    side = lambda s: o.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    return delta.diff(side("F"), side("O"), ["k"], "v", 2)
+
+
+@query("SELECT user_id, array_to_string(list(event_type ORDER BY ts, event_id), ',') AS types FROM events GROUP BY 1")
+def list_concat(spark, d):
+    rows = table(spark, d, "events").withColumn("one", F.array("event_type"))
+    return delta.reconcile_list(rows, ["user_id"], "one", ["ts", "event_id"], "types").withColumn("types", F.array_join("types", ","))
+
+
+@query("SELECT user_id, array_to_string(list_append(list_filter(list(event_type ORDER BY ts, event_id), lambda x: x <> 'click'), 'end'), ',') AS types FROM events GROUP BY 1")
+def list_remove_by_value(spark, d):
+    rows = table(spark, d, "events").withColumn("one", F.array("event_type"))
+    lists = delta.reconcile_list(rows, ["user_id"], "one", ["ts", "event_id"], "types")
+    return lists.withColumn("types", F.array_join(delta.list_remove_add(F.col("types"), F.array(F.lit("click")), F.array(F.lit("end"))), ","))
+
+
+@query("SELECT label, place - 1 AS place, round(sum(v), 3) AS total FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS place FROM embeddings) GROUP BY 1, 2")
+def array_add(spark, d):
+    return delta.array_sum(table(spark, d, "embeddings"), ["label"], "embedding", "total").withColumns({"total": F.round("total", 3), "place": F.col("place").cast("long")})
+
+
+@query("SELECT user_id, i, round(v - p, 4) AS delta FROM (SELECT user_id, row_number() OVER w AS i, value AS v, lag(value) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE p IS NOT NULL AND v <> p")
+def structural_diff(spark, d):
+    told = trace.trace_of(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value")
+    return told.where("i > 0 AND delta IS NOT NULL").select("user_id", (F.col("i") + 1).alias("i"), F.round("delta", 4).alias("delta"))
+
+
+# --- division -----------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, i AS daughter, p_retailprice / 2 AS price, p_name FROM part, (VALUES (0), (1)) t(i)")
+def divide_delta(spark, d):
+    rows = divide.daughters(table(spark, d, "part"), 2)
+    return rows.select("p_partkey", "daughter", divide.split_extensive(F.col("p_retailprice"), 2).alias("price"), "p_name")
+
+
+@query("SELECT p_partkey, i AS daughter, CAST(p_size // 3 + CASE WHEN i < p_size % 3 THEN 1 ELSE 0 END AS BIGINT) AS size FROM part, (VALUES (0), (1), (2)) t(i)")
+def divide_int(spark, d):
+    rows = divide.daughters(table(spark, d, "part"), 3)
+    return rows.select("p_partkey", "daughter", divide.split_int(F.col("p_size"), 3, F.col("daughter")).alias("size"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_totalprice < 300000 UNION ALL SELECT o_orderkey || '_' || i, o_totalprice / 2, o_orderstatus FROM orders, (VALUES (0), (1)) t(i) WHERE o_totalprice >= 300000")
+def divide_sentinel(spark, d):
+    state = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    return divide.divide_rows(state, F.col("price") >= 300000, "id", ["price"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1) % 2 AS daughter FROM lineitem")
+def chain_round_robin(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    dealt = divide.round_robin(table(spark, d, "lineitem"), F.row_number().over(w) - 1, 2)
+    return dealt.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "daughter")
+
+
+# --- graphs -------------------------------------------------------------------------------------
+
+_EDGES = "SELECT DISTINCT 'c' || o_custkey AS a, 'p' || l_partkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
+
+
+def _bought(spark, d):
+    """Customer-part edges."""
+    joined = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
+
+
+@query(f"SELECT DISTINCT b AS neighbor FROM ({_EDGES}) WHERE a = 'c1'")
+def graph_neighbors(spark, d):
+    return graph.neighbors(_bought(spark, d), "c1")
+
+
+@query(f"SELECT a, b FROM ({_EDGES}) WHERE a NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
+def graph_remove_node(spark, d):
+    vertices = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), "c_mktsegment")
+    return graph.remove_vertices(vertices, _bought(spark, d), vertices.where("c_mktsegment = 'MACHINERY'"))[1]
+
+
+@query("WITH n(a, b) AS (SELECT c_nationkey, c_mktsegment FROM customer GROUP BY 1, 2), m(a, b) AS (SELECT s_nationkey, 'SUPPLY' FROM supplier GROUP BY 1 UNION SELECT c_nationkey, 'BUILDING' FROM customer GROUP BY 1) SELECT a, b FROM n UNION ALL SELECT a, b FROM m WHERE (a, b) NOT IN (SELECT a, b FROM n)")
+def graph_union_with(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    n = c.select(F.col("c_nationkey").alias("a"), F.col("c_mktsegment").alias("b")).distinct()
+    m = s.select(F.col("s_nationkey").alias("a"), F.lit("SUPPLY").alias("b")).union(c.select("c_nationkey", F.lit("BUILDING"))).distinct()
+    return graph.union_with(n, m)
+
+
+@query("SELECT c_custkey AS a, s_suppkey AS b, CAST(c_custkey % 2 AS BIGINT) AS daughter FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 2 = s_suppkey % 2")
+def graph_divide(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    edges = c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("s"), "s_suppkey").alias("b"))
+    vertices = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_custkey").alias("n")).union(s.select(F.concat(F.lit("s"), "s_suppkey"), "s_suppkey"))
+    _, kept = graph.divide_graph(vertices, edges, F.pmod("n", F.lit(2)))
+    return kept.select(F.substring("a", 2, 20).cast("long").alias("a"), F.substring("b", 2, 20).cast("long").alias("b"), F.col("daughter").cast("long").alias("daughter"))
+
+
+# --- matching and rewriting ---------------------------------------------------------------------
+
+
+@query("SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+def match_sort_label(spark, d):
+    return rewrite.first_match(table(spark, d, "customer").where("c_mktsegment = 'BUILDING'"), ["c_nationkey"], ["c_custkey"]).select("c_nationkey", "c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def match_absent(spark, d):
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return rewrite.absent(table(spark, d, "customer").select("c_custkey"), urgent, ["c_custkey"])
+
+
+@query("SELECT s_suppkey, min(c_custkey) AS c_custkey FROM supplier JOIN customer ON c_nationkey = s_nationkey GROUP BY 1")
+def match_link_var(spark, d):
+    firsts = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.min("c_custkey").alias("c_custkey"))
+    return table(spark, d, "supplier").join(firsts, "s_nationkey").select("s_suppkey", "c_custkey")
+
+
+_ORD = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+
+
+@query(f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORD}) AS o FROM lineitem), p AS (SELECT a.l_orderkey, a.o AS x, b.o AS y, row_number() OVER (PARTITION BY a.l_orderkey ORDER BY a.o, b.o) AS r FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.o <> b.o WHERE a.l_returnflag = 'R' AND b.l_linestatus = 'F')
+SELECT l_orderkey, x, y FROM p WHERE r = 1""")
+def match_list_multiset(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy(*_ORD.split(", "))
+    lines = table(spark, d, "lineitem").withColumn("o", F.row_number().over(w).cast("long"))
+    pairs = rewrite.multiset_pairs(lines, "l_orderkey", ["o"], F.col("l_returnflag") == "R", F.col("l_linestatus") == "F", ["l_returnflag"])
+    return pairs.select("l_orderkey", F.col("pair.a.o.o").alias("x"), F.col("pair.b.o.o").alias("y"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
+def match_activity(spark, d):
+    nations = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    ancestors = nations.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    return rewrite.active(nations, ancestors, "n_nationkey", F.col("r_name") == "ASIA").select("n_nationkey", "n_name")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN o_totalprice * 0.5 ELSE o_totalprice END AS o_totalprice FROM orders")
+def rule_fire_delta(spark, d):
+    state = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return rewrite.fire(state, state.where("o_orderstatus = 'P'"), ["o_orderkey"], lambda m: m.withColumns({"o_orderstatus": F.lit("O"), "o_totalprice": F.col("o_totalprice") * 0.5}))
+
+
+@query("SELECT p_partkey, round(c, 2) AS cumulative FROM (SELECT p_partkey, sum(p_retailprice) OVER (ORDER BY p_partkey) AS c, sum(p_retailprice) OVER () AS t FROM part) WHERE c >= 0.37 * t ORDER BY p_partkey LIMIT 1")
+def weighted_pick(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    return rewrite.weighted_pick(parts, "p_retailprice", ["p_partkey"], 0.37).select("p_partkey", F.round("cumulative", 2).alias("cumulative"))
+
+
+@query("SELECT n_name, o_orderstatus, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def count_populations(spark, d):
+    o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    per = o.groupBy(F.col("o_custkey").alias("c_custkey"), "o_orderstatus").agg(F.count(F.lit(1)).alias("m"))
+    return per.join(c.select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), "c_custkey").join(n, "n_nationkey").groupBy("n_name", "o_orderstatus").agg(F.sum("m").alias("n"))
+
+
+@query()
+def gillespie_replicates(spark, d):
+    start = table(spark, d, "part").select(F.col("p_partkey").alias("replicate"), F.col("p_size").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    return rewrite.gillespie(start, {"bind": 0.5, "loose": 0.2}, 2.0)
+
+
+# --- ports --------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS key, c_acctbal AS mass, NULL::DOUBLE AS volume FROM customer")
+def view_project(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("mass"), F.lit(None).cast("double").alias("volume"))
+
+
+@query("SELECT r_name, n_name FROM region JOIN nation ON n_regionkey = r_regionkey")
+def star_path(spark, d):
+    nested = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list("n_name").alias("nations"))
+    return table(spark, d, "region").join(nested, "r_regionkey").select("r_name", F.explode("nations").alias("n_name"))
+
+
+# --- traces -------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, i - 1 AS i, round(CASE WHEN p IS NULL THEN v WHEN v <> p THEN v - p END, 4) AS delta FROM (SELECT event_id, row_number() OVER w AS i, value AS v, lag(value) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
+def trace_diff(spark, d):
+    return trace.trace_of(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "i", F.round("delta", 4).alias("delta"))
+
+
+@query("SELECT event_id, round(sum(coalesce(value, 0)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS state FROM events")
+def trace_frames(spark, d):
+    return trace.frames(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", "state").select("event_id", F.round("state", 3).alias("state"))
+
+
+@query("SELECT user_id, round(sum(value), 3) AS state FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) WHERE i <= 5 GROUP BY 1")
+def state_at(spark, d):
+    told = table(spark, d, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    return trace.state_at(told, ["user_id"], "i", 5, "value", "state").withColumn("state", F.round("state", 3))
+
+
+@query("WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events) SELECT a.user_id, round(avg((a.value - b.value) * (a.value - b.value)), 3) AS mse, count(*) AS n FROM e a JOIN e b ON a.user_id = b.user_id AND a.i = b.i WHERE a.event_type = 'click' AND b.event_type = 'view' GROUP BY 1")
+def species_mse(spark, d):
+    e = table(spark, d, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")))
+    return trace.species_mse(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ["user_id"], "i", "value").withColumn("mse", F.round("mse", 3))
+
+
+# --- grids, kinetics, particles -----------------------------------------------------------------
+
+_FIELD = "SELECT 'm' AS mol, (p_partkey % 10) AS y, (p_size % 10) AS x, round(avg(p_retailprice), 4) AS v FROM part GROUP BY 2, 3"
+
+
+def _field(spark, d):
+    cells = table(spark, d, "part").groupBy(F.pmod("p_partkey", F.lit(10)).alias("y"), F.pmod("p_size", F.lit(10)).alias("x"))
+    return cells.agg(F.round(F.avg("p_retailprice"), 4).alias("v")).select(F.lit("m").alias("mol"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v")
+
+
+def _around(outside: str, wrap: bool = False) -> str:
+    place = (lambda c, k: f"(({c} + {k} + 10) % 10)") if wrap else (lambda c, k: f"({c} + {k})")
+    side = lambda n, dy, dx: f"LEFT JOIN f {n} ON {n}.y = {place('f.y', dy)} AND {n}.x = {place('f.x', dx)}"
+    return f"SELECT f.mol, f.y, f.x, f.v, coalesce(w.v, {outside}) AS w, coalesce(e.v, {outside}) AS e, coalesce(n.v, {outside}) AS n, coalesce(s.v, {outside}) AS s FROM f {side('w', 0, -1)} {side('e', 0, 1)} {side('n', -1, 0)} {side('s', 1, 0)}"
+
+
+_DIFFUSED = "SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(greatest(0, v + 0.1 * ((e - 2 * v + w) + (s - 2 * v + n))), 3) AS v FROM g"
+
+
+def _diffused(spark, d, boundary):
+    return grid.diffuse(_field(spark, d), 10, 10, 0.1, 1.0, boundary=boundary).select("y", "x", F.round("v", 3).alias("v"))
+
+
+@query(f"WITH f AS ({_FIELD}), g AS ({_around('f.v')}) {_DIFFUSED}")
+def diffusion_step(spark, d):
+    return _diffused(spark, d, "neumann")
+
+
+@query(f"WITH f AS ({_FIELD}), g AS ({_around('f.v', True)}) {_DIFFUSED}")
+def boundary_periodic(spark, d):
+    return _diffused(spark, d, "periodic")
+
+
+@query(f"WITH f AS ({_FIELD}), g AS ({_around('0')}) {_DIFFUSED}")
+def boundary_dirichlet(spark, d):
+    return _diffused(spark, d, "dirichlet")
+
+
+@query(f"WITH f AS ({_FIELD}), g AS ({_around('f.v')}) SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(greatest(0, v - 0.5 * (0.3 * (v - w) + -0.2 * (s - v))), 3) AS v FROM g")
+def advection_step(spark, d):
+    return grid.advect(_field(spark, d), 10, 10, 0.3, -0.2, 0.5).select("y", "x", F.round("v", 3).alias("v"))
+
+
+@query("""WITH a AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, p_retailprice / 1000 AS m, least(2e0 * p_size / (5e0 + p_size) * (p_retailprice / 1000) * 0.5e0, p_size) AS f FROM part),
+b AS (SELECT *, f * 0.4e0 AS q, least(1e0 * (f * 0.4e0) / (2e0 + f * 0.4e0) * m * 0.5e0, f * 0.4e0) AS g FROM a) SELECT p_partkey, round(s - f, 5) AS glucose, round(q - g, 5) AS acetate, round(m + f * 0.1 + g * 0.05, 5) AS biomass FROM b""")
+def monod_step(spark, d):
+    cells = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("glucose"), F.lit(0.0).alias("acetate"), (F.col("p_retailprice") / 1000).alias("biomass"))
+    rules = [kinetics.Monod("glucose", 5.0, 2.0, 0.1, (("acetate", 0.4),)), kinetics.Monod("acetate", 2.0, 1.0, 0.05)]
+    return kinetics.monod(cells, rules, "biomass", 0.5).select("p_partkey", *[F.round(c, 5).alias(c) for c in ("glucose", "acetate", "biomass")])
+
+
+@query(kinetics.EULER.format(k=0.7, dt=0.2, steps=25))
+def mass_action_euler(spark, d):
+    return kinetics.decay(spark, kinetics.EULER)
+
+
+@query(kinetics.RK4.format(k=0.7, dt=0.2, steps=25))
+def mass_action_rk4(spark, d):
+    return kinetics.decay(spark, kinetics.RK4)
+
+
+_BIN = "CAST(greatest(0, least(9, floor({c} / 10))) AS INTEGER)"
+
+
+def _particles(spark, d):
+    e = table(spark, d, "events").where("value IS NOT NULL")
+    return e.select("event_id", "value", particles.bin_of(F.col("value"), 100.0, 10).alias("bx"), particles.bin_of(F.pmod("user_id", F.lit(100)).cast("double"), 100.0, 10).alias("by"))
+
+
+@query(f"SELECT {_BIN.format(c='(user_id % 100)')} AS \"by\", {_BIN.format(c='value')} AS bx, round(sum(value) / 2, 3) AS deposit, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def particle_exchange(spark, d):
+    given, _ = particles.exchange(_particles(spark, d), _particles(spark, d).groupBy("by", "bx").agg(F.avg("value").alias("v")), "value", "v", 2.0)
+    return given.select("by", "bx", F.round("deposit", 3).alias("deposit"), "n")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_retailprice AS mass FROM part WHERE p_retailprice < 1500 UNION ALL SELECT p_partkey || '_' || i, p_retailprice / 2 FROM part, (VALUES (0), (1)) t(i) WHERE p_retailprice >= 1500")
+def particle_division(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("mass"))
+    return particles.divide_particles(rows, "mass", 1500, "id")
+
+
+@query("SELECT event_id, greatest(5, least(80, value)) - value AS correction FROM events WHERE value IS NOT NULL")
+def manage_boundaries(spark, d):
+    return table(spark, d, "events").where("value IS NOT NULL").select("event_id", particles.clamp(F.col("value"), 5.0, 80.0).alias("correction"))
+
+
+@query("SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def total_mass(spark, d):
+    per = table(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.sum("o_totalprice").alias("m"))
+    held = per.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "m"))).alias("parts"))
+    return held.select("o_custkey", F.round(particles.total_mass(F.col("parts")), 2).alias("total"))
+
+
+@query()
+def brownian_walk(spark, d):
+    rows = _particles(spark, d).select("event_id", F.col("value").alias("x"), F.lit(0.0).alias("y"))
+    return particles.walk(rows, 0.5, 1.0, seed=7)
+
+
+# --- expressions --------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, array_to_string(list_transform(list_filter(list(round(value, 1) ORDER BY ts, event_id), lambda x: x > 50), lambda x: CAST(floor(x * 2) AS BIGINT)), ',') AS xs FROM events WHERE value IS NOT NULL GROUP BY 1")
+def comprehension_filter_map(spark, d):
+    e = table(spark, d, "events").where("value IS NOT NULL").withColumn("one", F.array(F.round("value", 1)))
+    lists = delta.reconcile_list(e, ["user_id"], "one", ["ts", "event_id"], "xs")
+    return lists.select("user_id", F.array_join(exprs.comprehension(F.col("xs"), lambda x: F.floor(x * 2).cast("string"), lambda x: x > 50), ",").alias("xs"))
+
+
+@query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS last FROM events GROUP BY 1, 2")
+def map_comprehension_last_wins(spark, d):
+    return delta.reconcile_last(table(spark, d, "events"), ["user_id", "event_type"], "event_id", ["ts", "event_id"], "last")
+
+
+@query("SELECT c_custkey, c_nationkey IN (SELECT s_nationkey FROM supplier) AS served FROM customer")
+def membership(spark, d):
+    nations = table(spark, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.lit(True).alias("s")).distinct()
+    return table(spark, d, "customer").join(nations, "c_nationkey", "left").select("c_custkey", F.coalesce("s", F.lit(False)).alias("served"))
+
+
+@query("SELECT doc_id, 'doc ' || doc_id || ' (' || coalesce(lang, '') || ') from ' || coalesce(source, '') AS label FROM documents")
+def interpolate(spark, d):
+    return table(spark, d, "documents").select("doc_id", exprs.interpolate(F.lit("doc "), F.col("doc_id"), F.lit(" ("), F.col("lang"), F.lit(") from "), F.col("source")).alias("label"))
+
+
+@query("SELECT event_id, value * 1.8 + 32 AS fahrenheit, value * 1000 AS milli FROM events")
+def unit_convert_affine(spark, d):
+    return table(spark, d, "events").select("event_id", exprs.convert(F.col("value"), 1.8, 32.0).alias("fahrenheit"), exprs.convert(F.col("value"), 1000.0).alias("milli"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity = 0 THEN NULL ELSE l_extendedprice / l_quantity END AS unit_price FROM lineitem")
+def unit_context_bridge(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_quantity") != 0, exprs.divide(F.col("l_extendedprice"), F.col("l_quantity"))).alias("unit_price"))
+
+
+@query("SELECT event_id, CASE WHEN try_cast(event_type AS DOUBLE) IS NOT NULL THEN 'float' ELSE 'string' END AS a, CASE WHEN try_cast(CAST(user_id AS VARCHAR) AS DOUBLE) IS NOT NULL THEN 'float' ELSE 'string' END AS b FROM events")
+def infer_numeric_string(spark, d):
+    return table(spark, d, "events").select("event_id", exprs.numeric_string(F.col("event_type")).alias("a"), exprs.numeric_string(F.col("user_id").cast("string")).alias("b"))
+
+
+@query("SELECT s_suppkey, rtrim(s_name, '/') || '/' || s_nationkey AS path, s_nationkey * 3 - 1 AS n FROM supplier")
+def path_and_int_arithmetic(spark, d):
+    s = table(spark, d, "supplier")
+    three = exprs.int_arithmetic("*", F.col("s_nationkey"), F.lit(3))
+    return s.select("s_suppkey", exprs.join_path(F.col("s_name"), F.col("s_nationkey").cast("string")).alias("path"), exprs.int_arithmetic("-", three, F.lit(1)).cast("int").alias("n"))
