@@ -317,11 +317,11 @@ def advection_step(spark, d):
 
 
 @query("""WITH a AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, p_retailprice / 1000 AS m, least(2e0 * p_size / (5e0 + p_size) * (p_retailprice / 1000) * 0.5e0, p_size) AS f FROM part),
-b AS (SELECT *, f * 0.4e0 AS q, least(1e0 * (f * 0.4e0) / (2e0 + f * 0.4e0) * m * 0.5e0, f * 0.4e0) AS g FROM a) SELECT p_partkey, round(s - f, 5) AS glucose, round(q - g, 5) AS acetate, round(m + f * 0.1 + g * 0.05, 5) AS biomass FROM b""")
+b AS (SELECT *, f * 0.4e0 AS q, least(1e0 * (f * 0.4e0) / (2e0 + f * 0.4e0) * m * 0.5e0, f * 0.4e0) AS g FROM a) SELECT p_partkey, round(s - f, 9) AS glucose, round(q - g, 9) AS acetate, round(m + (f * 0.1e0 + g * 0.05e0), 9) AS biomass FROM b""")
 def monod_step(spark, d):
     cells = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("glucose"), F.lit(0.0).alias("acetate"), (F.col("p_retailprice") / 1000).alias("biomass"))
     rules = [kinetics.Monod("glucose", 5.0, 2.0, 0.1, (("acetate", 0.4),)), kinetics.Monod("acetate", 2.0, 1.0, 0.05)]
-    return kinetics.monod(cells, rules, "biomass", 0.5).select("p_partkey", *[F.round(c, 5).alias(c) for c in ("glucose", "acetate", "biomass")])
+    return kinetics.monod(cells, rules, "biomass", 0.5).select("p_partkey", *[F.round(c, 9).alias(c) for c in ("glucose", "acetate", "biomass")])
 
 
 @query(kinetics.EULER.format(k=0.7, dt=0.2, steps=25))
