@@ -17,6 +17,8 @@ SELECTORS = ((2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10,
 ESCAPE = 0
 BLOCK = 4096
 _WIDEST = 60
+_POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_WIDTH16 = np.array([int(i).bit_length() for i in range(1 << 16)], np.uint8)
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -30,22 +32,20 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     whole = np.zeros(blocks * block, np.uint64)
     whole[:n] = values
     grid[:, :block] = whole.reshape(blocks, block)
-    escaped = grid >> np.uint64(60) != 0
+    width = np.searchsorted(_POWERS, grid.ravel(), "right").astype(np.uint8).reshape(grid.shape) if int(values.max()) >> 16 else _WIDTH16[grid]
     selector = np.zeros((blocks, block), np.uint8)
     count = np.ones((blocks, block), np.uint8)
     open_ = np.ones((blocks, block), bool)
-    top = int(values.max())
     for code, many, bits in SELECTORS:
-        if top >> bits:
-            wide = grid >> np.uint64(bits) != 0
-            sums = np.zeros((blocks, block + _WIDEST + 1), np.int32)
-            np.cumsum(wide, axis=1, out=sums[:, 1:])
-            fits = open_ & (sums[:, many : many + block] == sums[:, :block])
-        else:
-            fits = open_
+        fits, reach = width <= bits, 1
+        while reach < many:  # all of the next `reach` values are narrow enough
+            step = min(reach, many - reach)
+            fits = fits[:, :-step] & fits[:, step:]
+            reach += step
+        fits = fits[:, :block] & open_
         selector[fits] = code
         count[fits] = many
-        open_ = open_ & ~fits
+        open_ &= ~fits
         if not open_.any():
             break
     ends = np.full(blocks, block)
@@ -68,7 +68,6 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     mine = np.flatnonzero(codes == ESCAPE)
     escapes = grid[rows[mine], cols[mine]]
     words[mine] = np.arange(len(mine), dtype=np.uint64)
-    assert bool(escaped[rows[mine], cols[mine]].all())
     offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=blocks))])
     return words, offsets.astype(np.int64), escapes
 
