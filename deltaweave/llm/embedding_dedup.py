@@ -22,7 +22,7 @@ from deltaweave.llm.components import components
 from deltaweave.llm.groups import runs
 from deltaweave.runtime import ship, stage, table
 
-PASSES, BITS, NEIGHBOURS, THRESHOLD, BLOCK = 10, 40, 24, 0.98, 1024
+PASSES, BITS, NEIGHBOURS, THRESHOLD, BLOCK = 10, 40, 24, 0.98, 256
 
 
 def _unit(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
