@@ -14,11 +14,14 @@ region's boundary; the first level therefore uses shingles as pivots.
    Verified pairs make components; a region whose classes are in one component is done.
 4. Remaining regions are joined recursively: members are embedded as counts of shingles per hash
    bucket, whose L1 distance never exceeds the symmetric difference; two far members are pivots of
-   Voronoi cells, the triangle inequality replicates the members near the boundary to both cells,
-   and leaves compare only pairs of different components.  Pairs that the embedding can't exclude
-   are verified on the whole sets.
-
-Whole sets are made only for classes in shared regions (found through a Bloom filter of bounded
+   Voronoi cells, the triangle inequality replicates the members near the boundary to both cells.
+   Each region passes on a spanning forest of the pairs that the embedding can't exclude.
+5. The forests join classes to clusters, within which all further links lie.  A cluster's whole sets
+   are written as differences from the set of its pivot (|x| and x - pivot, pivot - x together give
+   every |x - y| exactly) and compared, in pairs of bounded blocks dealt over tasks, between different components
+   only; each task passes on a spanning forest of the links, so no group sends all its pairs.
+
+Whole sets are made only for classes of pairs that the embedding leaves (found through a Bloom filter of bounded
 size, whose false hits only cost time).  Nothing is sampled or capped.
 """
 
@@ -36,14 +39,16 @@ from deltaweave.llm.components import components
 from deltaweave.llm.groups import runs
 from deltaweave.llm.tokens import slices
 from deltaweave.llm.wordhash import hashes, inside, mix, rolling, words_of
-from deltaweave.runtime import ship, stage, table
+from deltaweave.runtime import ship, shuffle_width, stage, table
 
 WIDTH, PERCENT = 3, 90
-#: Buckets of the embedding, leaf size of in-region recursion.
-SIGNATURE, LEAF = 64, 48
+#: Least and most buckets of the embedding, leaf size of in-region recursion, classes in a block of a cluster.
+SIGNATURE, SIGNATURE_MOST, LEAF, BLOCK = 64, 8192, 48, 256
 #: Frequent shingles that are told from the others (at most, by documents seen), per task slice and in all.
 HOT_SLICE, HOT, HOT_LEAST = 2000, 50_000, 40
 BLOOM_LEAST, BLOOM_MOST = 1 << 16, 1 << 26
+#: Characters of text for each bucket of regions.
+BUCKET_CHARS = 16_000_000
 
 
 class Sets:
@@ -78,9 +83,13 @@ class Sets:
             out[full] = mix(mix(one) + two + self.size[full].astype(np.uint64)).view(np.int64)
         return out
 
-    def signatures(self) -> np.ndarray:
-        bucket = (self.value % np.uint64(SIGNATURE)).astype(np.int64)
-        return np.bincount(self.of * SIGNATURE + bucket, minlength=self.many * SIGNATURE).reshape(self.many, SIGNATURE).astype("<u4")
+    def signatures(self) -> list[bytes]:
+        """Counts of shingles per hash bucket; larger sets have more buckets, so that they stay apart."""
+        wide = tiers(self.size)
+        end = np.cumsum(wide)
+        counts = np.bincount((end - wide)[self.of] + (self.value % wide[self.of].astype(np.uint64)).astype(np.int64), minlength=int(wide.sum()))
+        packed = np.minimum(counts, 65535).astype("<u2").tobytes()  # a lower count only lowers distances, which stays a bound
+        return [packed[2 * (b - n) : 2 * b] for b, n in zip(end.tolist(), wide.tolist())]
 
     def prefix(self, hot: np.ndarray, percent: int) -> np.ndarray:
         """Which shingles are in their set's prefix."""
@@ -92,6 +101,21 @@ class Sets:
         return rank < reach(self.size, percent)[self.of]
 
 
+def tiers(size: np.ndarray) -> np.ndarray:
+    """Buckets of the embedding for sets of the given sizes: powers of two, so coarser counts are sums of finer ones."""
+    need = np.maximum(size // 4, 1)
+    return np.clip(1 << np.ceil(np.log2(need)).astype(np.int64), SIGNATURE, SIGNATURE_MOST)
+
+
+def fold(counts: np.ndarray, wide: int) -> np.ndarray:
+    """Rows of counts in fewer buckets."""
+    return counts.reshape(len(counts), -1, wide).sum(axis=1)
+
+
+def unpack(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2").astype(np.int64) for x in column.to_pylist()]
+
+
 def reach(size: np.ndarray, percent: int) -> np.ndarray:
     """Length of the prefix: |x| - ceil(t |x|) + 1."""
     return size + (-percent * size) // 100 + 1
@@ -108,7 +132,7 @@ def _describe(width: int, percent: int):
         for batch in slices(batches):
             sets = Sets(batch.column(1), width)
             n = sets.many
-            signatures = pa.array([x.tobytes() for x in sets.signatures()], pa.binary())
+            signatures = pa.array(sets.signatures(), pa.binary())
             empty = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.size), pa.array(sets.classes()), signatures, empty, empty], _DESCRIBED)
             low = np.arange(len(sets.value)) - sets.start[sets.of] < 2 * reach(sets.size, percent)[sets.of]
@@ -124,7 +148,7 @@ def _describe(width: int, percent: int):
 _DESCRIBED = ["id", "n", "class", "signature", "shingle", "seen"]
 
 
-def _regions(width: int, percent: int, hot: bytes):
+def _regions(width: int, percent: int, hot: bytes, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.frombuffer(hot, np.uint64)
         for batch in slices(batches):
@@ -133,12 +157,41 @@ def _regions(width: int, percent: int, hot: bytes):
             _, first = np.unique(classes, return_index=True)  # one of each class is enough
             lead = np.zeros(sets.many, bool)
             lead[first] = True
-            keep = lead[sets.of] & sets.prefix(late, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(sets.value[keep].view(np.int64)), pa.array(classes[sets.of[keep]])], ["region", "class"])
+            keep = np.flatnonzero(lead[sets.of] & sets.prefix(late, percent))
+            key, own = sets.value[keep], classes[sets.of[keep]]
+            bucket = (key % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order])) + 1
+            parts = np.split(order, edges) if len(order) else []
+            high = (key >> np.uint64(32)).astype("<u4")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(bucket[x[0]]) for x in parts], pa.int32()), pa.array([high[x].tobytes() for x in parts], pa.binary()), pa.array([own[x].tobytes() for x in parts], pa.binary())],
+                ["bucket", "keys", "classes"],
+            )
 
     return run
 
 
+def _shared(table_: pa.Table) -> pa.Table:
+    """Members of the regions of one bucket that have at least two classes, by the region's pivot.
+
+    A region is known by its bucket and 32 bits of its shingle's hash; two shingles that agree in
+    them make one larger region, which loses nothing.  Regions with one pivot are united: copies of
+    a document share most of their regions.
+    """
+    key = np.concatenate([np.frombuffer(x, "<u4") for x in table_.column("keys").to_pylist()])
+    own = np.concatenate([np.frombuffer(x, np.int64) for x in table_.column("classes").to_pylist()])
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    first = np.ones(len(key), bool)
+    first[1:] = np.diff(key) != 0
+    group = np.cumsum(first) - 1
+    pivot = own[first][group]
+    keep = (np.bincount(group, own != pivot) > 0)[group]
+    pairs = np.unique(np.stack([pivot[keep], own[keep]], 1), axis=0)
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["pivot", "class"])
+
+
 def _bloom_bits(keys: np.ndarray, bits: int) -> np.ndarray:
     h = mix(keys.astype(np.int64).view(np.uint64))
     return np.concatenate([h % np.uint64(bits), (h >> np.uint64(32)) % np.uint64(bits)]).astype(np.int64)
@@ -185,8 +238,13 @@ def _bounded(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").astype(np.int64).reshape(-1, SIGNATURE) for i in (4, 5))
-            apart = np.abs(one - two).sum(axis=1)
+            one, two = unpack(batch.column(4)), unpack(batch.column(5))
+            kinds = np.array([(len(x), len(y)) for x, y in zip(one, two)], np.int64).reshape(-1, 2)
+            apart = np.zeros(len(kinds), np.int64)
+            for m, n in np.unique(kinds, axis=0).tolist():
+                rows = np.flatnonzero((kinds == (m, n)).all(axis=1))
+                left, right = (fold(np.stack([side[r] for r in rows]), min(m, n)) for side in (one, two))
+                apart[rows] = np.abs(left - right).sum(axis=1)
             keep = may_reach(np.asarray(batch.column(2), np.int64), np.asarray(batch.column(3), np.int64), apart, percent)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
@@ -210,52 +268,82 @@ def _verified(percent: int):
     return run
 
 
-def region_pairs(label: np.ndarray, size: np.ndarray, signature: np.ndarray, percent: int, rows: np.ndarray | None = None) -> set[tuple[int, int]]:
-    """Pairs of rows with different labels that may reach the similarity, by recursive Voronoi cells.
+def region_forest(label: np.ndarray, size: np.ndarray, signatures: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows that may reach the similarity, only as many as join all groups that such pairs join.
 
-    The widest difference that a pair of the given sizes may have bounds the triangle windows.
+    Rows of one label are joined from the start.  Cells split recursively in the coarsest counts; the
+    widest difference that a pair of the given sizes may have bounds the triangle windows.  Pairs that
+    stay are compared in the finest counts that both have.
     """
-    rows = np.arange(len(label)) if rows is None else rows
-    if len(rows) < 2 or (label[rows] == label[rows[0]]).all():
-        return set()
-    if len(rows) > LEAF:
-        top = size[rows].max()
-        widest = (100 - percent) * 2 * top // (100 + percent) + 1
+    _, root = np.unique(label, return_inverse=True)
+    edges: list[tuple[int, int]] = []
+    wide = np.array([len(x) for x in signatures])
+    signature = np.stack([x.reshape(-1, SIGNATURE).sum(axis=0) for x in signatures])
+    place = np.zeros(len(label), np.int64)
+    fine = {}
+    for kind in np.unique(wide).tolist():
+        rows_ = np.flatnonzero(wide == kind)
+        place[rows_] = np.arange(len(rows_))
+        fine[kind] = np.stack([signatures[r] for r in rows_])
+
+    def finer(row: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that the finer counts leave."""
+        keep = []
+        for kind in np.unique(wide[others]).tolist():
+            some = others[wide[others] == kind]
+            least = min(kind, int(wide[row]))
+            apart = np.abs(fold(fine[kind][place[some]], least) - signatures[row].reshape(-1, least).sum(axis=0)).sum(axis=1)
+            keep.append(some[may_reach(size[some], size[row], apart, percent)])
+        return np.concatenate(keep)
+
+    def compare(left: np.ndarray, right: np.ndarray) -> None:
+        apart = np.abs(signature[left][:, None, :] - signature[right][None, :, :]).sum(axis=2)
+        fits = may_reach(size[left][:, None], size[right][None, :], apart, percent)
+        for row, hits in zip(left.tolist(), fits):
+            others = right[hits]
+            others = others[root[others] != root[row]]
+            if len(others) and (wide[row] > SIGNATURE or (wide[others] > SIGNATURE).any()):
+                others = finer(row, others)
+            for other in others.tolist():
+                if root[other] != root[row]:
+                    edges.append((row, other))
+                    root[root == root[other]] = root[row]
+
+    def cells(rows: np.ndarray) -> None:
+        if len(rows) < 2 or (root[rows] == root[rows[0]]).all():
+            return
+        if len(rows) <= LEAF:
+            compare(rows, rows)
+            return
+        widest = (100 - percent) * 2 * size[rows].max() // (100 + percent) + 1
         far = lambda r: np.abs(signature[rows] - signature[r]).sum(axis=1)
-        one = rows[np.argmax(far(rows[0]))]
-        to_one = far(one)
-        two = rows[np.argmax(to_one)]
-        to_two = far(two)
-        # x in the cell of `one`, y in the cell of `two`, at most `widest` apart: then |x1 - x2| and |y1 - y2| <= 2 widest
+        to_one = far(rows[np.argmax(far(rows[0]))])
+        to_two = far(rows[np.argmax(to_one)])
+        # a pair differs in at most `widest`: if one of it is nearer to a pivot, the other is in this window
         left, right = rows[to_one - to_two <= 2 * widest], rows[to_two - to_one <= 2 * widest]
         if max(len(left), len(right)) < 0.9 * len(rows):
-            return region_pairs(label, size, signature, percent, left) | region_pairs(label, size, signature, percent, right)
+            cells(left)
+            cells(right)
+            return
         order = rows[np.argsort(size[rows], kind="stable")]  # no separation: blocks of near sizes
-        found: set[tuple[int, int]] = set()
         for at in range(0, len(order), LEAF):
             block = order[at : at + LEAF]
-            last = np.searchsorted(size[order], 100 * size[block[-1]] // percent, "right")
-            for other in range(at, int(last), 16 * LEAF):
-                found |= _leaf(label, size, signature, percent, block, order[other : min(other + 16 * LEAF, int(last))])
-        return found
-    return _leaf(label, size, signature, percent, rows, rows)
-
+            last = int(np.searchsorted(size[order], 100 * size[block[-1]] // percent, "right"))
+            for other in range(at, last, 16 * LEAF):
+                compare(block, order[other : min(other + 16 * LEAF, last)])
 
-def _leaf(label, size, signature, percent, left, right) -> set[tuple[int, int]]:
-    apart = np.abs(signature[left][:, None, :] - signature[right][None, :, :]).sum(axis=2)
-    fits = may_reach(size[left][:, None], size[right][None, :], apart, percent) & (label[left][:, None] != label[right][None, :])
-    i, j = np.nonzero(fits)
-    return {(min(a, b), max(a, b)) for a, b in zip(left[i].tolist(), right[j].tolist())}
+    cells(np.arange(len(label)))
+    return edges
 
 
 def _in_regions(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table_, edges in runs(batches, 1):
             classes, label, size = (np.asarray(table_.column(i).combine_chunks(), np.int64) for i in (1, 2, 3))
-            signature = np.frombuffer(b"".join(table_.column(4).to_pylist()), "<u4").astype(np.int64).reshape(-1, SIGNATURE)
+            signatures = unpack(table_.column(4))
             found = set()
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                for x, y in region_pairs(label[a:b], size[a:b], signature[a:b], percent):
+                for x, y in region_forest(label[a:b], size[a:b], signatures[a:b], percent):
                     one, two = int(classes[a + x]), int(classes[a + y])
                     found.add((min(one, two), max(one, two)))
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
@@ -264,6 +352,77 @@ def _in_regions(percent: int):
     return run
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """Intersection sizes of sorted sets, all of ``left`` against all of ``right``, exactly."""
+    both = np.concatenate([*left, *right])
+    of = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    value, column, seen = np.unique(both, return_inverse=True, return_counts=True)
+    number = np.full(len(value), -1)
+    number[seen > 1] = np.arange((seen > 1).sum())
+    column = number[column]
+    of, column = of[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    total = int((seen > 1).sum())
+    edges = np.searchsorted(column, np.arange(0, total + chunk, chunk))
+    for number_, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        dense = np.zeros((len(left) + len(right), chunk), np.float32)
+        dense[of[a:b], column[a:b] - number_ * chunk] = 1
+        out += dense[: len(left)] @ dense[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set as its size and its symmetric difference from the set of its cluster's pivot.
+
+    Rows come sorted by (cluster, block, rank); the row of rank 0 holds the pivot's set.
+    """
+    pivot = np.zeros(0, np.uint64)
+    for batch in batches:
+        keep, sizes, parts = [], [], []
+        for i, (rank, members) in enumerate(zip(batch.column(2).to_pylist(), batch.column(5))):
+            own = np.frombuffer(members.as_buffer(), np.uint64)
+            if rank == 0:
+                pivot = own.copy()
+                continue
+            keep.append(i)
+            sizes.append(len(own))
+            parts.append(np.setxor1d(own, pivot, assume_unique=True).tobytes())
+        rows = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(3), rows.column(4), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], ["cluster", "block", "class", "label", "size", "apart"])
+
+
+def _blocks(percent: int):
+    """Links inside clusters, block by block; only as many as join what links join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table_, edges in runs(batches, 3, 2_000):
+            i, block, classes, label, sizes = (np.asarray(table_.column(c).combine_chunks(), np.int64) for c in (1, 3, 4, 5, 6))
+            src, dst = [], []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if (label[a:b] == label[a]).all():
+                    continue
+                apart = [np.frombuffer(x, np.uint64) for x in table_.column(7).slice(a, b - a).to_pylist()]
+                size, far = sizes[a:b], np.array([len(x) for x in apart])
+                left, right = np.flatnonzero(block[a:b] == i[a]), np.flatnonzero(block[a:b] != i[a])
+                right = right if len(right) else left
+                shared = overlaps([apart[x] for x in left], [apart[x] for x in right])
+                differ = far[left][:, None] + far[right][None, :] - 2 * shared
+                both = (size[left][:, None] + size[right][None, :] - differ) // 2
+                near = 100 * both >= percent * (both + differ)
+                _, root = np.unique(label[a:b], return_inverse=True)
+                for row, hits in zip(left.tolist(), near):
+                    for other in right[hits].tolist():
+                        if root[other] != root[row]:
+                            src.append(int(classes[a + row]))
+                            dst.append(int(classes[a + other]))
+                            root[root == root[other]] = root[row]
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return run
+
+
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``id, n, class, component`` per row: ``component`` is the smallest id reachable by links.
 
@@ -283,31 +442,63 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = described.where("n > 0 AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = stage(classes, "classes")
 
-    entries = stage(rows.where("id IS NOT NULL").mapInArrow(_regions(width, percent, late), "region long, class long"), "entries")
-    shared = entries.groupBy("region").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot <> last").select("region", "pivot")
-    members = stage(entries.join(shared, "region").distinct(), "members")
-    ids = stage(members.select("class").distinct().join(classes.select("class", "id"), "class").select("id"), "wanted")
-    flags, bits = bloom_filter(ids, ids.count())
-    sets = stage(rows.mapInArrow(_whole_sets(width, flags, bits), "class long, members binary").dropDuplicates(["class"]), "sets")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(shuffle_width(spark), -(-chars // BUCKET_CHARS))
+    entries = rows.where("id IS NOT NULL").mapInArrow(_regions(width, percent, late, buckets), "bucket int, keys binary, classes binary").repartition(buckets, "bucket")
+    members = stage(entries.groupBy("bucket").applyInArrow(_shared, "pivot long, class long").distinct(), "members")
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        one = sets.select(F.col("class").alias("a"), F.col("members").alias("x"))
-        two = sets.select(F.col("class").alias("b"), F.col("members").alias("y"))
-        return stage(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "src long, dst long"), name)
+    def whole(wanted: DataFrame, name: str) -> DataFrame:
+        """``class, members`` of the wanted classes (and of a few others), one row each."""
+        ids = stage(wanted.join(classes.select("class", "id"), "class").select("id"), f"{name}_ids")
+        flags, bits = bloom_filter(ids, ids.count())
+        sets = rows.mapInArrow(_whole_sets(width, flags, bits), "class long, members binary").withColumn("row", F.monotonically_increasing_id())
+        sets = stage(sets, f"{name}_sets")
+        one_each = sets.groupBy("class").agg(F.min("row").alias("row"))  # repeated rows and false hits of the filter
+        return sets.join(one_each.select("row"), "row", "left_semi").select("class", "members")
 
     half = lambda x, n, s: classes.select(F.col("class").alias(x), F.col("n").alias(n), F.col("signature").alias(s))
-    stars = members.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
+    stars = members.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
     stars = stars.join(half("a", "na", "sa"), "a").join(half("b", "nb", "sb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     stars = stars.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_bounded(percent), "a long, b long")
-    links = verify(stars, "star_links")
+    stars = stage(stars, "stars")
+    sets = whole(stars.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "star")
+    full = stars.join(sets.select(F.col("class").alias("a"), F.col("members").alias("x")), "a")
+    full = full.join(sets.select(F.col("class").alias("b"), F.col("members").alias("y")), "b")
+    links = stage(full.select("a", "b", "x", "y").mapInArrow(_verified(percent), "src long, dst long"), "star_links")
     label = components(links).select(F.col("id").alias("class"), F.col("component").alias("label"))
 
-    marked = members.join(label, "class", "left").select("region", "class", "pivot", F.coalesce("label", "class").alias("label"))
+    marked = members.join(label, "class", "left").select("pivot", "class", F.coalesce("label", "class").alias("label"))
     marked = stage(marked, "marked")
-    mixed = marked.groupBy("region").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("m")).where("p <> q AND m > 2").select("region")
-    rest = marked.where("class <> pivot").join(mixed, "region").join(classes.select("class", "n", "signature"), "class")
-    rest = rest.select("region", "class", "label", "n", "signature").repartition("region").sortWithinPartitions("region")
-    more = verify(rest.mapInArrow(_in_regions(percent), "a long, b long").distinct(), "region_links")
+    mixed = marked.groupBy("pivot").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("m")).where("p <> q AND m > 2").select("pivot")
+    rest = marked.where("class <> pivot").join(mixed, "pivot").join(classes.select("class", "n", "signature"), "class")
+    rest = rest.select("pivot", "class", "label", "n", "signature").repartition("pivot").sortWithinPartitions("pivot")
+    maybe = stage(rest.mapInArrow(_in_regions(percent), "a long, b long").distinct(), "maybe")
+    cluster = stage(components(links.unionAll(maybe)).select(F.col("id").alias("class"), F.col("component").alias("cluster")), "cluster")
+    open_ = cluster.join(maybe.select(F.col("a").alias("class")).distinct(), "class").select("cluster").distinct()
+    inside_ = stage(cluster.join(open_, "cluster").join(label, "class", "left").select("cluster", "class", F.coalesce("label", "class").alias("label")), "open")
+    # a large component has blocks of its own, which need no comparison among themselves; small ones share blocks
+    parts = inside_.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("m"))
+    parts = parts.select("cluster", "label", F.when(F.col("m") >= BLOCK // 2, F.concat(F.lit("c"), F.col("label"))).otherwise("shared").alias("part"), "m")
+    parts = stage(parts, "parts")
+    widths = parts.groupBy("cluster", "part").agg((F.floor((F.sum("m") - 1) / BLOCK) + 1).cast("int").alias("blocks"))
+    number = lambda i: F.xxhash64("cluster", "part", i)
+    blocks = widths.select("cluster", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("cluster", "part", number(F.col("i")).alias("block"))
+    blocks = stage(blocks, "blocks")
+    other = blocks.select("cluster", F.col("part").alias("other_part"), F.col("block").alias("other"))
+    pairs = blocks.join(other, "cluster").where("block <= other AND (part <> other_part OR part = 'shared')").select("cluster", F.col("block").alias("i"), F.col("other").alias("j"))
+    ends = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    dealt = inside_.join(parts.select("cluster", "label", "part"), ["cluster", "label"]).join(widths, ["cluster", "part"])
+    dealt = dealt.select("cluster", "class", "label", number(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).alias("block"))
+    sets = whole(inside_.select("class"), "open")
+    heads = inside_.groupBy("cluster").agg(F.min("class").alias("class")).join(sets, "class").select("cluster", "members")
+    none = F.lit(0).cast("long")
+    heads = blocks.select("cluster", "block").join(heads, "cluster").select("cluster", "block", F.lit(0).alias("rank"), none.alias("class"), none.alias("label"), "members")
+    rows_ = dealt.join(sets, "class").select("cluster", "block", F.lit(1).alias("rank"), "class", "label", "members")
+    apart = heads.unionAll(rows_).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "rank")
+    apart = apart.mapInArrow(_differences, "cluster long, block long, class long, label long, size long, apart binary")
+    spread = apart.join(ends, ["cluster", "block"]).select("cluster", "i", "j", "block", "class", "label", "size", "apart")
+    spread = spread.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    more = stage(spread.mapInArrow(_blocks(percent), "src long, dst long"), "more_links")
     found = components(links.unionAll(more)).select(F.col("id").alias("class"), F.col("component").alias("root"))
     least = found.join(classes.select("class", "id"), "class").groupBy("root").agg(F.min("id").alias("component"))
     answer = classes.select("class", "id").join(found, "class", "left").join(least, "root", "left")
