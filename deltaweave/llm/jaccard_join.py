@@ -83,9 +83,9 @@ class Sets:
             out[full] = mix(mix(one) + two + self.size[full].astype(np.uint64)).view(np.int64)
         return out
 
-    def signatures(self) -> list[bytes]:
+    def signatures(self, percent: int) -> list[bytes]:
         """Counts of shingles per hash bucket; larger sets have more buckets, so that they stay apart."""
-        wide = tiers(self.size)
+        wide = tiers(self.size, percent)
         end = np.cumsum(wide)
         counts = np.bincount((end - wide)[self.of] + (self.value % wide[self.of].astype(np.uint64)).astype(np.int64), minlength=int(wide.sum()))
         packed = np.minimum(counts, 65535).astype("<u2").tobytes()  # a lower count only lowers distances, which stays a bound
@@ -101,9 +101,14 @@ class Sets:
         return rank < reach(self.size, percent)[self.of]
 
 
-def tiers(size: np.ndarray) -> np.ndarray:
-    """Buckets of the embedding for sets of the given sizes: powers of two, so coarser counts are sums of finer ones."""
-    need = np.maximum(size // 4, 1)
+def tiers(size: np.ndarray, percent: int) -> np.ndarray:
+    """Buckets of the embedding for sets of the given sizes: powers of two, so coarser counts are sums of finer ones.
+
+    Random sets of n elements are about 1.1 sqrt(n buckets) apart in L1; that has to exceed what a pair
+    within the wanted distance may differ in.
+    """
+    allowed = 2 * (100 - percent) / (100 + percent)
+    need = np.maximum(4 * allowed * allowed * size, 1)
     return np.clip(1 << np.ceil(np.log2(need)).astype(np.int64), SIGNATURE, SIGNATURE_MOST)
 
 
@@ -132,7 +137,7 @@ def _describe(width: int, percent: int):
         for batch in slices(batches):
             sets = Sets(batch.column(1), width)
             n = sets.many
-            signatures = pa.array(sets.signatures(), pa.binary())
+            signatures = pa.array(sets.signatures(percent), pa.binary())
             empty = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.size), pa.array(sets.classes()), signatures, empty, empty], _DESCRIBED)
             low = np.arange(len(sets.value)) - sets.start[sets.of] < 2 * reach(sets.size, percent)[sets.of]
@@ -456,9 +461,10 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         one_each = sets.groupBy("class").agg(F.min("row").alias("row"))  # repeated rows and false hits of the filter
         return sets.join(one_each.select("row"), "row", "left_semi").select("class", "members")
 
-    half = lambda x, n, s: classes.select(F.col("class").alias(x), F.col("n").alias(n), F.col("signature").alias(s))
+    of = lambda x, n, c: classes.select(F.col("class").alias(x), F.col(c).alias(n))
     stars = members.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-    stars = stars.join(half("a", "na", "sa"), "a").join(half("b", "nb", "sb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    stars = stars.join(of("a", "na", "n"), "a").join(of("b", "nb", "n"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    stars = stars.join(of("a", "sa", "signature"), "a").join(of("b", "sb", "signature"), "b")  # only pairs of fitting sizes carry counts
     stars = stars.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_bounded(percent), "a long, b long")
     stars = stage(stars, "stars")
     sets = whole(stars.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "star")
