@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltaweave.functions import exprs
-from deltaweave.operators import delta, divide, graph, grid, kinetics, particles, rewrite, trace
+from deltaweave.functions import exprs, sorts
+from deltaweave.operators import delta, divide, flux, graph, grid, kinetics, particles, rewrite, trace
+from deltaweave.plans import schedule
 from deltaweave.runtime import table
+from deltaweave.sources import documents
+from deltaweave.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -418,3 +421,59 @@ def path_and_int_arithmetic(spark, d):
     s = table(spark, d, "supplier")
     three = exprs.int_arithmetic("*", F.col("s_nationkey"), F.lit(3))
     return s.select("s_suppkey", exprs.join_path(F.col("s_name"), F.col("s_nationkey").cast("string")).alias("path"), exprs.int_arithmetic("-", three, F.lit(1)).cast("int").alias("n"))
+
+
+# --- sorts, supersteps, flux balance, streams, documents ----------------------------------------
+
+_ORDER = "price:float|units:integer|status:overwrite[string]"
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END AS price, CAST(0 AS BIGINT) AS units, o_orderstatus AS status FROM orders")
+def realize_defaults(spark, d):
+    shown = F.to_json(F.struct(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price"), F.col("o_orderstatus").alias("status")))
+    return table(spark, d, "orders").select("o_orderkey", sorts.realize(shown, sorts.parse(_ORDER)).alias("o")).select("o_orderkey", "o.*")
+
+
+@query("""WITH RECURSIVE r AS (SELECT c_custkey, c_acctbal AS a, 0 AS k FROM customer UNION ALL SELECT c_custkey, a + 0.5e0 * a, k + 1 FROM r WHERE k < 3)
+SELECT c_custkey, round(a + 2e0 * 10, 6) AS c_acctbal FROM r WHERE k = 3 AND c_custkey % 2 = 0 UNION ALL SELECT c_custkey, round(a, 6) FROM r WHERE k = 3 AND c_custkey % 2 = 1""")
+def superstep(spark, d):
+    """Growth by half in each unit of time; at time 3 a slower process adds ten twice over, from the same snapshot."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    even = F.col("c_custkey") % 2 == 0
+    grow = schedule.Process("grow", ("balance",), lambda v, dt: {"balance": schedule.Change(v["balance"].withColumn("c_acctbal", F.col("c_acctbal") * 0.5 * dt))})
+    slow = schedule.Process("slow", ("balance",), lambda v, dt: {"balance": schedule.Change(v["balance"].where(even).withColumn("c_acctbal", F.lit(20.0)))}, 3.0)
+    engine = schedule.Engine({"balance": schedule.Store(rows, ("c_custkey",), "c_acctbal")}, [grow, slow])
+    return engine.run(3.5)["balance"].withColumn("c_acctbal", F.round("c_acctbal", 6))
+
+
+#: Respiration needs two oxygen a sugar and yields 0.1, fermentation yields 0.03.
+_NETWORK = {
+    "metabolites": [{"id": "sugar"}, {"id": "oxygen"}, {"id": "mass"}],
+    "reactions": [
+        {"id": "EX_sugar", "metabolites": {"sugar": -1}, "lower_bound": 0, "upper_bound": 1000},
+        {"id": "EX_oxygen", "metabolites": {"oxygen": -1}, "lower_bound": -3, "upper_bound": 1000},
+        {"id": "respire", "metabolites": {"sugar": -1, "oxygen": -2, "mass": 0.1}, "lower_bound": 0, "upper_bound": 1000},
+        {"id": "ferment", "metabolites": {"sugar": -1, "mass": 0.03}, "lower_bound": 0, "upper_bound": 1000},
+        {"id": "Biomass", "metabolites": {"mass": -1}, "lower_bound": 0, "upper_bound": 1000},
+    ],
+}
+
+
+@query("""WITH a AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, p_retailprice / 1000 AS m, 6e0 * p_size / (5e0 + p_size) AS u FROM part), b AS (SELECT *, 0.1e0 * least(u, 1.5e0) + 0.03e0 * greatest(u - 1.5e0, 0) AS g FROM a)
+SELECT p_partkey, round(greatest(0, s - u * m * 0.1e0), 6) AS sugar, round(m + g * m * 0.1e0, 6) AS biomass, round(g, 6) AS growth FROM b""")
+def flux_balance(spark, d):
+    cells = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("sugar"), (F.col("p_retailprice") / 1000).alias("biomass"))
+    after = flux.balance_rows(cells, flux.network(_NETWORK), [flux.Uptake("sugar", "EX_sugar", 5.0, 6.0)], "biomass", 0.1)
+    return after.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("sugar", "biomass", "growth")])
+
+
+@query("SELECT user_id, round(sum(value), 3) AS state, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
+def live_totals(spark, d):
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    return live.drain(live.totals(stream, ["user_id"], "value"), ["user_id"]).withColumn("state", F.round("state", 3))
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def arrow_round_trip(spark, d):
+    rows = table(spark, d, "events").select("event_id", "user_id", "value")
+    return documents.from_arrow(documents.to_arrow(rows), rows.schema)
