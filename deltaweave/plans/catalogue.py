@@ -477,3 +477,11 @@ def live_totals(spark, d):
 def arrow_round_trip(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", "value")
     return documents.from_arrow(documents.to_arrow(rows), rows.schema)
+
+
+@query("SELECT event_type, CAST(epoch(CAST(date_trunc('day', ts) AS TIMESTAMP)) AS BIGINT) AS day, round(sum(value), 3) AS total, count(*) AS n FROM events GROUP BY 1, 2")
+def live_windows(spark, d):
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events*.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    told = live.drain(live.windows(stream, ["event_type"], "at", "value", "1 day", "1 hour"), ["window", "event_type"])
+    return told.select("event_type", F.unix_timestamp("window.start").alias("day"), F.round("total", 3).alias("total"), "n")
