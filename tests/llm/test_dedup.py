@@ -125,3 +125,20 @@ def test_embedding_dedup(spark):
     assert all(got[i][1] == want[i] for i in range(len(rows)))
     assert [got[i] for i in (901, 902, 903, 904, 906)] == [(0, i, True) for i in (901, 902, 903, 904, 906)]
     assert got[905] == (2, 905, True) and got[907][:2] == (2, 905)
+
+
+def test_embedding_dedup_is_exact_in_a_crowded_label(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    crowd = unit(np.sqrt(0.95) * unit(rng.standard_normal(64)) + np.sqrt(0.05) * unit(rng.standard_normal((1500, 64))))  # about 0.95 alike
+    side = unit(rng.standard_normal((150, 64)))
+    side = unit(side - (side * crowd[:150]).sum(axis=1, keepdims=True) * crowd[:150])
+    pairs = 0.982 * crowd[:150] + np.sqrt(1 - 0.982**2) * side
+    v = np.concatenate([crowd, pairs, unit(rng.standard_normal((900, 64)))])
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)]
+    near = (v @ v.T >= 0.98) & ~np.eye(len(v), dtype=bool)
+    want = union(range(len(v)), [tuple(p) for p in np.argwhere(near).tolist()])
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    for sizes in ({}, {"region": 100, "block": 64}):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(frame_, **sizes).collect()}
+        assert got == {i: (int(near[i].sum()), want[i]) for i in want}
