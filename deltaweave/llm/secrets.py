@@ -1,7 +1,8 @@
 """Secret scan in DataFrame expressions: fixed formats plus sliding-window entropy.
 
-Candidate strings are maximal runs of token characters.  The characters of a run decide its class
-(hexadecimal or base64-like).  A window of ``WINDOW`` characters slides over it; the sum of
+Candidate strings are maximal runs of token characters and, inside those that are no secrets, maximal
+runs of hexadecimal digits: a name or sign glued to a key doesn't raise the limit for its digits.  The
+characters of a run decide its class (hexadecimal or base64-like).  A window of ``WINDOW`` characters slides over it; the sum of
 c*log2(c) over the window's character counts c is kept up to date with the two counts that a step
 changes, and the highest entropy of any window is compared with the class's limit.  Strings on the
 allow list (identifiers and samples with known shapes) and runs without both letters and digits are
@@ -25,6 +26,7 @@ LEAST_ASSIGNED = 6
 
 #: Candidate runs, the entropy window, and the limits in bits by class.
 RUN = r"[A-Za-z0-9+/=_-]{20,}+"
+HEX_RUN = r"[0-9a-fA-F]{20,}+"
 WINDOW, HEX_BITS, BASE64_BITS = 20, 3.0, 3.7
 #: Shapes that are no secrets: UUIDs, counting or repeated samples, named placeholders.
 ALLOWED = r"(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$|0123456789|abcdefghij|(.)\1{7}|example|placeholder|changeme|dummy|sample"
@@ -60,6 +62,12 @@ def is_secret(run: Column) -> Column:
     return F.when(mixed, highest_entropy(run) >= limit).otherwise(F.lit(False))
 
 
+def _secret_parts(run: Column, start: Column) -> Column:
+    """The run if it is a secret, else the hexadecimal runs in it that are."""
+    whole = F.array(spans.span(start, start + F.length(run), "entropy", 3))
+    return F.when(is_secret(run), whole).otherwise(spans.shift(spans.find(run, HEX_RUN, "entropy", 3, is_secret), start))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``key``, the text, ``base`` spans and ``found`` spans (base ones and entropy hits).
 
@@ -73,7 +81,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         "key",
         "text",
         spans.sort(spans.find(body, ASSIGN, "assign", 0, long_enough), spans.find(body, ACCESS, "access", 1), spans.find(body, HEX, "hex", 2)).alias("base"),
-        spans.find(body, RUN, "entropy", 3, is_secret).alias("runs"),
+        spans.find_parts(body, RUN, _secret_parts).alias("runs"),
     )
     return rows.select(F.col("key").alias(key), F.col("text").alias(text), "base", spans.sort(F.col("base"), spans.apart(F.col("runs"), F.col("base"))).alias("found"))
 
@@ -93,7 +101,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     body = F.coalesce(F.col(text), F.lit(""))
     long_enough = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= LEAST_ASSIGNED
     base = spans.sort(spans.find(body, ASSIGN, "assign", 0, long_enough), spans.find(body, ACCESS, "access", 1), spans.find(body, HEX, "hex", 2))
-    rows = docs.select(*docs.columns, base.alias("_base"), spans.find(body, RUN, "entropy", 3, is_secret).alias("_runs"))
+    rows = docs.select(*docs.columns, base.alias("_base"), spans.find_parts(body, RUN, _secret_parts).alias("_runs"))
     rows = rows.select(*docs.columns, spans.sort(F.col("_base"), spans.apart(F.col("_runs"), F.col("_base"))).alias("_found"))
 
     def step(state: Column, span: Column) -> Column:

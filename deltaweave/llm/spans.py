@@ -21,23 +21,39 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def find(text: Column, pattern: str, kind: str, rank: int, valid: Callable[[Column], Column] | None = None) -> Column:
-    """Spans of the matches of ``pattern`` in ``text`` that ``valid`` accepts."""
+def find_parts(text: Column, pattern: str, parts: Callable[[Column, Column], Column]) -> Column:
+    """All spans that ``parts`` gives for the matches of ``pattern`` in ``text``, from a match and its start."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     zero = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
         stop = start + F.coalesce(F.length(pair["hit"]), F.lit(0))
-        keep = pair["hit"].isNotNull()
-        if valid is not None:
-            keep = keep & valid(pair["hit"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.when(keep, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
+        found = F.when(pair["hit"].isNotNull(), F.concat(state["found"], parts(pair["hit"], start))).otherwise(state["found"])
+        return F.struct(stop.alias("at"), found.alias("found"))
 
     return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step)["found"]).otherwise(no_spans())
 
 
+def find(text: Column, pattern: str, kind: str, rank: int, valid: Callable[[Column], Column] | None = None) -> Column:
+    """Spans of the matches of ``pattern`` in ``text`` that ``valid`` accepts."""
+
+    def whole(hit: Column, start: Column) -> Column:
+        one = F.array(span(start, start + F.length(hit), kind, rank))
+        return one if valid is None else F.when(valid(hit), one).otherwise(no_spans())
+
+    return find_parts(text, pattern, whole)
+
+
+def span(start: Column, stop: Column, kind: str, rank: int) -> Column:
+    return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), stop.alias("stop"))
+
+
+def shift(spans: Column, by: Column) -> Column:
+    """The spans moved by ``by`` code points."""
+    return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), (s["stop"] + by).alias("stop")))
+
+
 def sort(*spans: Column) -> Column:
     """All spans by start, then rank, then stop."""
     return F.array_sort(F.concat(*spans))

@@ -129,6 +129,21 @@ def test_entropy_and_redaction(spark):
     assert cut[1] == ("key [SECRET] end", 16) and cut[4] == ('[SECRET]" x', 11) and cut[5] == (None, 0) and cut[2][0] == rows[1][1]
 
 
+def test_hex_keys_glued_to_names_are_found(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for before in ("", "KEY=", "id_", "k=", "0x", "a/b-"):
+        for _ in range(40):
+            key = "".join(rng.choice("0123456789ABCDEF") for _ in range(32))
+            rows.append((len(rows), f"set {before}{key} now", 4 + len(before)))
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = {r["doc_id"]: r["found"] for r in secrets.scan(frame).collect()}
+    assert sum(any(s["start"] <= at and s["stop"] == at + 32 for s in found[i]) for i, _, at in rows) >= len(rows) - 2
+    assert all("[SECRET] now" in r["text"] for r in secrets.redact(frame).collect() if found[r["doc_id"]])
+
+
 def test_boosting_separates_and_calibrates():
     cells = [dict.fromkeys(pii.FEATURES, 0) | {"digits": d, "cue": c, "n": 50, "pos": 48 if d > 2 else 1} for d in range(6) for c in (0, 1)]
     prior, trees = pii.boost(cells)
