@@ -4,9 +4,10 @@ Candidate strings are maximal runs of token characters and, inside those that ar
 runs of hexadecimal digits: a name or sign glued to a key doesn't raise the limit for its digits.  The
 characters of a run decide its class (hexadecimal or base64-like).  A window of ``WINDOW`` characters slides over it; the sum of
 c*log2(c) over the window's character counts c is kept up to date with the two counts that a step
-changes, and the highest entropy of any window is compared with the class's limit.  Strings on the
-allow list (identifiers and samples with known shapes) and runs without both letters and digits are
-suppressed.  A run that overlaps a span of a fixed format adds nothing.
+changes, and the highest entropy of any window is compared with the class's limit.  Spans of fixed
+formats and pieces on the allow list (identifiers and samples with known shapes) are cut out of a run
+first, and each remaining part of at least ``WINDOW`` characters is a candidate.  Candidates without
+both letters and digits are suppressed.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ LEAST_ASSIGNED = 6
 RUN = r"[A-Za-z0-9+/=_-]{20,}+"
 HEX_RUN = r"[0-9a-fA-F]{20,}+"
 WINDOW, HEX_BITS, BASE64_BITS = 20, 3.0, 3.7
-#: Shapes that are no secrets: UUIDs, counting or repeated samples, named placeholders.
-ALLOWED = r"(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$|0123456789|abcdefghij|(.)\1{7}|example|placeholder|changeme|dummy|sample"
+#: Shapes that are no secrets: UUIDs that stand alone, counting samples, named placeholders.
+ALLOWED = r"(?i)(?<![a-z0-9+/=_-])[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}(?![a-z0-9+/=_-])|0123456789|abcdefghij|example|placeholder|changeme|dummy|sample"
 
 
 def _part(count: Column) -> Column:
@@ -57,7 +58,7 @@ def highest_entropy(run: Column, window: int = WINDOW) -> Column:
 
 
 def is_secret(run: Column) -> Column:
-    mixed = run.rlike("[0-9]") & run.rlike("[A-Za-z]") & ~run.rlike(ALLOWED)
+    mixed = run.rlike("[0-9]") & run.rlike("[A-Za-z]")
     limit = F.when(run.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))
     return F.when(mixed, highest_entropy(run) >= limit).otherwise(F.lit(False))
 
@@ -68,6 +69,23 @@ def _secret_parts(run: Column, start: Column) -> Column:
     return F.when(is_secret(run), whole).otherwise(spans.shift(spans.find(run, HEX_RUN, "entropy", 3, is_secret), start))
 
 
+def _entropy_spans(run: Column, start: Column, base: Column) -> Column:
+    """Secrets in what a run has besides ``base`` spans and allowed pieces."""
+    near = spans.shift(spans.over(base, start, start + F.length(run)), -start)
+    allowed = lambda left: spans.blank(left, spans.find(left, ALLOWED, "allowed", 0))
+    found = spans.let(spans.blank(run, near), lambda left: spans.let(allowed(left), lambda rest: spans.find_parts(rest, RUN, _secret_parts)))
+    return spans.shift(found, start)
+
+
+def _base(body: Column) -> Column:
+    long_enough = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= LEAST_ASSIGNED
+    return spans.sort(spans.find(body, ASSIGN, "assign", 0, long_enough), spans.find(body, ACCESS, "access", 1), spans.find(body, HEX, "hex", 2))
+
+
+def _found(body: Column, base: Column) -> Column:
+    return spans.sort(base, spans.find_parts(body, RUN, lambda run, start: _entropy_spans(run, start, base)))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``key``, the text, ``base`` spans and ``found`` spans (base ones and entropy hits).
 
@@ -75,15 +93,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     allowed; an empty table gives an empty result.  Whole texts of any length are read.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
-    long_enough = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= LEAST_ASSIGNED
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = rows.select(
-        "key",
-        "text",
-        spans.sort(spans.find(body, ASSIGN, "assign", 0, long_enough), spans.find(body, ACCESS, "access", 1), spans.find(body, HEX, "hex", 2)).alias("base"),
-        spans.find_parts(body, RUN, _secret_parts).alias("runs"),
-    )
-    return rows.select(F.col("key").alias(key), F.col("text").alias(text), "base", spans.sort(F.col("base"), spans.apart(F.col("runs"), F.col("base"))).alias("found"))
+    rows = rows.select("key", "text", _base(body).alias("base"))
+    return rows.select(F.col("key").alias(key), F.col("text").alias(text), "base", _found(body, F.col("base")).alias("found"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +111,8 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     Overlapping spans become one mark.  Texts without spans, null ones too, stay as they are.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    long_enough = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= LEAST_ASSIGNED
-    base = spans.sort(spans.find(body, ASSIGN, "assign", 0, long_enough), spans.find(body, ACCESS, "access", 1), spans.find(body, HEX, "hex", 2))
-    rows = docs.select(*docs.columns, base.alias("_base"), spans.find_parts(body, RUN, _secret_parts).alias("_runs"))
-    rows = rows.select(*docs.columns, spans.sort(F.col("_base"), spans.apart(F.col("_runs"), F.col("_base"))).alias("_found"))
+    rows = docs.select(*docs.columns, _base(body).alias("_base"))
+    rows = rows.select(*docs.columns, _found(body, F.col("_base")).alias("_found"))
 
     def step(state: Column, span: Column) -> Column:
         before = F.substring(F.col(text), state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))

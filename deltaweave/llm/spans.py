@@ -68,6 +68,21 @@ def count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def apart(spans: Column, others: Column) -> Column:
-    """The spans that overlap none of ``others``."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (o["start"] < s["stop"]) & (s["start"] < o["stop"])))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def blank(text: Column, spans: Column) -> Column:
+    """``text`` with the characters of ``spans``, as far as they lie in it, replaced by spaces."""
+
+    def step(now: Column, s: Column) -> Column:
+        start, stop = F.greatest(s["start"], F.lit(0)), F.least(s["stop"], F.length(text))
+        return F.concat(F.substring(now, F.lit(1), start), F.repeat(F.lit(" "), stop - start), F.substring(now, stop + 1, F.length(text)))
+
+    return F.aggregate(spans, text, step)
+
+
+def over(spans: Column, start: Column, stop: Column) -> Column:
+    """The spans that share a character with ``start`` to ``stop``."""
+    return F.filter(spans, lambda s: (s["start"] < stop) & (start < s["stop"]))
