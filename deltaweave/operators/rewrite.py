@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deltaweave.operators.kinetics import Reaction
+
 
 def first_match(candidates: DataFrame, node: list[str], order: list[str]) -> DataFrame:
     """The first candidate of each node."""
@@ -71,28 +73,59 @@ def weighted_pick(choices: DataFrame, weight: str, order: list[str], share: floa
     return picked.orderBy(*order).limit(1).drop("_b", "_from")
 
 
-def gillespie(replicates: DataFrame, rates: dict[str, float], interval: float, seed: int = 0) -> DataFrame:
-    """Exact stochastic simulation of A -> B (rate ``bind``) and B -> A (rate ``loose``) per replicate row.
+def simulate(replicates: DataFrame, reactions: list[Reaction], species: list[str], interval: float, seed: int = 0, key: str = "replicate") -> DataFrame:
+    """Exact stochastic simulation of any reactions, by the direct method, per replicate row.
 
-    ``replicates(replicate, a, b)``; the event beyond the interval is discarded.  Replicates are
-    independent, so they are dealt over tasks.
+    ``replicates`` has ``key`` and a column of counts for each of ``species`` (null counts as 0).  A
+    reaction's propensity is its rate times the number of ways to take its reactants from the counts;
+    the first reaction whose running propensity reaches the draw fires, and the event beyond the
+    interval is discarded.  ``events`` counts what fired.  Replicates are independent, so they are
+    dealt over tasks.
     """
+    place = {name: i for i, name in enumerate(species)}
+    if unknown := {name for r in reactions for name, _ in (*r.reactants, *r.products)} - set(species):
+        raise ValueError(f"reactions name unknown species {sorted(unknown)}")
+    needs, changes = [], []
+    for r in reactions:
+        need, change = dict.fromkeys(range(len(species)), 0), [0] * len(species)
+        for name, n in r.reactants:
+            need[place[name]] += n
+            change[place[name]] -= n
+        for name, n in r.products:
+            change[place[name]] += n
+        needs.append([(i, n) for i, n in need.items() if n])
+        changes.append(change)
+    rates = [r.k for r in reactions]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for name, a, b in frame[["replicate", "a", "b"]].itertuples(index=False):
+            for name, *counts in frame[[key, *species]].itertuples(index=False):
+                counts = [0 if pd.isna(c) else int(c) for c in counts]
                 rng, t, events = random.Random(seed * 1_000_003 + int(name)), 0.0, 0
                 while True:
-                    there, back = rates["bind"] * a, rates["loose"] * b
-                    if there + back <= 0:
+                    weights = [k * math.prod(math.comb(counts[i], n) for i, n in need) for k, need in zip(rates, needs)]
+                    total = sum(weights)
+                    if total <= 0:
                         break
-                    t += -math.log(1.0 - rng.random()) / (there + back)
+                    t += -math.log(1.0 - rng.random()) / total
                     if t > interval:
                         break
-                    step = 1 if rng.random() * (there + back) <= there else -1
-                    a, b, events = a - step, b + step, events + 1
-                out.append((name, a, b, events))
-            yield pd.DataFrame(out, columns=["replicate", "a", "b", "events"])
+                    share, reached, last = rng.random() * total, 0.0, 0
+                    for j, weight in enumerate(weights):
+                        if weight > 0:
+                            last, reached = j, reached + weight
+                            if reached >= share:
+                                break
+                    counts = [c + d for c, d in zip(counts, changes[last])]
+                    events += 1
+                out.append((name, *counts, events))
+            yield pd.DataFrame(out, columns=[key, *species, "events"])
+
+    return replicates.mapInPandas(run, ", ".join([f"`{key}` long", *(f"`{n}` long" for n in species), "events long"]))
 
-    return replicates.mapInPandas(run, "replicate long, a long, b long, events long")
+
+def gillespie(replicates: DataFrame, rates: dict[str, float], interval: float, seed: int = 0) -> DataFrame:
+    """``simulate`` for A -> B (rate ``bind``) and B -> A (rate ``loose``) over ``replicates(replicate, a, b)``."""
+    there, back = Reaction((("a", 1),), (("b", 1),), rates["bind"]), Reaction((("b", 1),), (("a", 1),), rates["loose"])
+    return simulate(replicates, [there, back], ["a", "b"], interval, seed)

@@ -327,14 +327,20 @@ def monod_step(spark, d):
     return kinetics.monod(cells, rules, "biomass", 0.5).select("p_partkey", *[F.round(c, 9).alias(c) for c in ("glucose", "acetate", "biomass")])
 
 
+def _decay(spark, method):
+    """A -> B from (1, 0)."""
+    start = spark.range(1).select(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    return kinetics.mass_action(start, [kinetics.Reaction((("a", 1),), (("b", 1),), 0.7)], ["a", "b"], 0.2, 25, method)
+
+
 @query(kinetics.EULER.format(k=0.7, dt=0.2, steps=25))
 def mass_action_euler(spark, d):
-    return kinetics.decay(spark, kinetics.EULER)
+    return _decay(spark, "euler").select("i", F.round("t", 6).alias("t"), F.round("a", 9).alias("a"), F.round("b", 9).alias("b"))
 
 
 @query(kinetics.RK4.format(k=0.7, dt=0.2, steps=25))
 def mass_action_rk4(spark, d):
-    return kinetics.decay(spark, kinetics.RK4)
+    return _decay(spark, "rk4").select("i", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"))
 
 
 _BIN = "CAST(greatest(0, least(9, floor({c} / 10))) AS INTEGER)"

@@ -61,3 +61,35 @@ def test_particles_divide_and_stay_inside(spark):
     assert sorted(map(tuple, particles.divide_particles(df, "mass", 2.0, "id").collect())) == [("1_0", 2.0), ("1_1", 2.0), ("2", 1.0)]
     row = df.select((F.col("mass") + particles.clamp(F.col("mass"), 2.0, 3.0)).alias("m")).collect()
     assert [r["m"] for r in row] == [3.0, 2.0]
+
+
+def test_mass_action_takes_any_stoichiometry(spark):
+    start = spark.createDataFrame([(1, 2.0, 1.0, 0.0), (2, 0.5, None, 3.0)], "id long, x double, y double, z double")
+    network = [kinetics.Reaction((("x", 2), ("y", 1)), (("z", 3),), 0.4), kinetics.Reaction((("z", 1),), (("y", 1), ("y", 1)), 0.3), kinetics.Reaction((), (("x", 1),), 0.1)]
+    euler = {(r["id"], r["i"]): (r["x"], r["y"], r["z"]) for r in kinetics.mass_action(start, network, ["x", "y", "z"], 0.1, 20, "euler").collect()}
+
+    def flow(x, y, z):
+        a, b, c = 0.4 * x * x * y, 0.3 * z, 0.1
+        return -2 * a + c, -a + 2 * b, 3 * a - b
+
+    for i, state in ((1, (2.0, 1.0, 0.0)), (2, (0.5, 0.0, 3.0))):
+        for n in range(21):
+            assert all(abs(p - q) < 1e-12 for p, q in zip(euler[i, n], state))
+            state = tuple(v + 0.1 * d for v, d in zip(state, flow(*state)))
+    fine = {r["id"]: r for r in kinetics.mass_action(start, network, ["x", "y", "z"], 0.001, 2000, "euler").where("i = 2000").collect()}
+    rk4 = {r["id"]: r for r in kinetics.mass_action(start, network, ["x", "y", "z"], 0.1, 20).where("i = 20").collect()}
+    assert all(abs(rk4[i][c] - fine[i][c]) < 2e-3 for i in (1, 2) for c in "xyz")
+
+
+def test_simulation_takes_any_reactions(spark):
+    start = spark.createDataFrame([(i, 30, 0, None) for i in range(400)], "replicate long, x long, y long, z long")
+    pair = [kinetics.Reaction((("x", 2),), (("y", 1),), 0.01)]
+    rows = rewrite.simulate(start, pair, ["x", "y", "z"], 1.0, seed=1).collect()
+    assert all(r["x"] + 2 * r["y"] == 30 and r["y"] == r["events"] and r["z"] == 0 for r in rows)
+    p = [1.0] + [0.0] * 15  # chances of n events by small steps of the master equation
+    rate = lambda n: 0.01 * math.comb(30 - 2 * n, 2)
+    for _ in range(2000):
+        p = [p[n] + (p[n - 1] * rate(n - 1) if n else 0.0) / 2000 - p[n] * rate(n) / 2000 for n in range(16)]
+    assert abs(sum(r["events"] for r in rows) / 400 - sum(n * q for n, q in enumerate(p))) < 0.3
+    born = rewrite.simulate(start.limit(50), [kinetics.Reaction((), (("z", 2),), 5.0), kinetics.Reaction((("z", 1),), (), 1.0)], ["x", "y", "z"], 3.0).collect()
+    assert any(r["z"] for r in born) and all(r["z"] >= 0 and r["x"] == 30 for r in born)
