@@ -3,7 +3,7 @@
 Training.  A bounded sample of labelled documents (``MAX_TRAIN``, by hash of their key) is read.
 Features are the presence of words and of word beginnings; those whose presence differs most
 between the labels are kept (``MAX_FEATURES``).  A logistic regression is fitted to them.  For every
-sentence of the sample that names an identity group, a counterfactual is made by swapping the term
+sentence of the sample that names an identity group (at most ``MAX_PAIRS``, by hash), a counterfactual is made by swapping the term
 for another of its list, and the squared change of the score between the two is added to the loss:
 so a group's name alone cannot carry weight, and neutral mentions are not rejected.
 
@@ -13,6 +13,7 @@ executors.  The score depends on the text alone.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -88,18 +89,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([every[f] for f in names], pa.int64()), pa.array([toxic[f] for f in names], pa.int64())], ["feature", "n", "pos"])
 
 
+def least_pairs(pairs: list[tuple]) -> list[tuple]:
+    """``MAX_PAIRS`` pairs of least hash, which comes first in each; the choice doesn't depend on their order."""
+    return sorted(pairs)[:MAX_PAIRS]
+
+
 def _rows(names: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda found: sorted(names[f] for f in found if f in names)
         for batch in slices(batches):
-            found, minus, plus = [], [], []
+            found, pairs = [], []
             for text, words in zip(batch.column(1).to_pylist(), plain_words(batch.column(1)).to_pylist()):
                 found.append(number(features(set(words))))
-                pairs = swapped(text or "")[:8]
-                minus.append([number(a - b) for a, b in pairs])
-                plus.append([number(b - a) for a, b in pairs])
-            kinds = (pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip((found, minus, plus), kinds))], ["label", "found", "minus", "plus"])
+                own = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
+                for i, (a, b) in enumerate(swapped(text or "")):
+                    pairs.append((hashlib.blake2b(own + i.to_bytes(8, "little"), digest_size=8).hexdigest(), number(a - b), number(b - a), len(found) - 1))
+            pairs = least_pairs(pairs)
+            by_row: list[list] = [[] for _ in found]
+            for *pair, row in pairs:
+                by_row[row].append(pair)
+            column = lambda i, t: pa.array([[x[i] for x in own] for own in by_row], pa.list_(t))
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, ints), column(0, pa.string()), column(1, ints), column(2, ints)], ["label", "found", "place", "minus", "plus"])
 
     return run
 
@@ -151,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     best = counts.where("n >= 4").withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
     names = [r["feature"] for r in best.collect()]
     numbered = {f: i for i, f in enumerate(names)}
-    rows = sample.mapInArrow(_rows(numbered), "label int, found array<int>, minus array<array<int>>, plus array<array<int>>").collect()
-    pairs = [(a, b) for r in rows for a, b in zip(r["minus"], r["plus"])][:MAX_PAIRS]
+    rows = sample.mapInArrow(_rows(numbered), "label int, found array<int>, place array<string>, minus array<array<int>>, plus array<array<int>>").collect()
+    pairs = [(a, b) for _, a, b in least_pairs([x for r in rows for x in zip(r["place"], r["minus"], r["plus"])])]
     bias, weights = fit_weights([r["found"] for r in rows], [r["label"] for r in rows], pairs, len(names))
     return {"bias": bias, "weights": {f: float(x) for f, x in zip(names, weights) if abs(x) > 1e-6}}
 

@@ -183,6 +183,18 @@ def test_swap_penalty_frees_identity_terms():
     assert toxicity.swapped("Die Frauen sind hier. Nothing.")
 
 
+def test_every_swapped_sentence_of_a_long_text_counts(monkeypatch):
+    texts = [". ".join(f"the men say word{i}" for i in range(30)) + ".", None, "Die Frauen sind hier. Nothing."]
+    names = {f: i for i, f in enumerate(sorted(set().union(*(a | b for t in texts for a, b in toxicity.swapped(t or "")))))}
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 0, 0], pa.int32()), pa.array(texts)], ["label", "text"])
+    rows = [r for b in toxicity._rows(names)(iter([batch])) for r in b.to_pylist()]
+    assert [len(r["minus"]) for r in rows] == [30, 0, 1] == [len(r["plus"]) for r in rows]
+    monkeypatch.setattr(toxicity, "MAX_PAIRS", 10)
+    both = [[r for b in toxicity._rows(names)(iter([x])) for r in b.to_pylist()] for x in (batch, batch.take(pa.array([2, 1, 0])))]
+    chosen = [sorted(p for r in rows for p in r["place"]) for rows in both]
+    assert len(chosen[0]) == 10 and chosen[0] == chosen[1]
+
+
 def test_scores_of_empty_texts():
     model = {"bias": -2.0, "weights": {"idiot": 4.0, "vequ*": 3.0}}
     got = toxicity.score_texts(pa.array([None, "", "IDIOT!", "vequxyz idiot"]), model)
