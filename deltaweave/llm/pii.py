@@ -33,8 +33,10 @@ KINDS = ("email", "ip", "card", "phone")
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 #: Generators of further candidates.
-WRITTEN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++"
-NUMBER = r"(?<![0-9])\+?\(?[0-9][0-9\x20().-]{6,38}[0-9]"
+WRITTEN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++"
+NUMBER = r"(?<![0-9])\+?\(?[0-9][0-9\x20().-]{6,}[0-9]"
+#: The end of a written-out address with a named domain.
+NAMED = r"(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z][A-Za-z-]*[A-Za-z]$"
 CUES = r"(?i)(phone|tel|call|mobile|fax|mail|contact|card|visa|ssn|ip|address|konto|rufnummer|correo|telefon|appel|courriel)[^A-Za-z]{0,12}$"
 FEATURES = ("digits", "separators", "dots", "groups", "plus", "cue", "glued", "at")
 CONTEXT, ROUNDS, RATE, PRECISION = 24, 24, 0.3, 0.9
@@ -86,6 +88,13 @@ def features(text: Column, span: Column) -> Column:
     return F.struct(*[values[name].cast("int").alias(name) for name in FEATURES])
 
 
+def _sure(text: Column, span: Column, x: Column) -> Column:
+    """Weak labels that need no base span: written-out addresses with a named domain, numbers of 7 to 16 digits right after a cue."""
+    body = F.substring(text, span["start"] + 1, span["stop"] - span["start"])
+    number = (x["cue"] == 1) & (x["glued"] == 0) & x["digits"].between(1, 4)
+    return F.when(span["kind"] == "written", body.rlike(NAMED)).otherwise(number)
+
+
 @dataclass(frozen=True)
 class Tree:
     """Split on one feature, then on one feature of each side; four leaf values."""
@@ -171,14 +180,15 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             F.exists(F.col("base"), lambda o: (o["start"] < s["stop"]) & (s["start"] < o["stop"])).alias("known"),
         ),
     )
+    described = F.transform(described, lambda c: F.struct(c["span"].alias("span"), c["x"].alias("x"), c["known"].alias("known"), _sure(F.col("text"), c["span"], c["x"]).alias("sure")))
     rows = stage(rows.select("key", "base", F.when(F.size("proposed") > 0, described).alias("proposed")), "candidates")
     fold = F.pmod(F.crc32(F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(4)) == 3
-    single = rows.select(fold.alias("held"), F.explode("proposed").alias("c")).select("held", F.col("c.span.kind").alias("kind"), "c.x.*", "c.known")
-    counted = single.groupBy("kind", "held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("known").cast("long")).alias("pos"))
+    single = rows.select(fold.alias("held"), F.explode("proposed").alias("c")).select("held", F.col("c.span.kind").alias("kind"), "c.x.*", "c.known", "c.sure")
+    counted = single.groupBy("kind", "held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("known") | F.col("sure")).cast("long")).alias("pos"), F.sum((~F.col("known")).cast("long")).alias("new"), F.sum((~F.col("known") & F.col("sure")).cast("long")).alias("right"))
     cells = [r.asDict() for r in counted.collect()]
     cells.sort(key=lambda c: (c["kind"], c["held"], *(c[f] for f in FEATURES)))
     prior, trees = boost([c for c in cells if not c["held"]])
-    limits = {kind: calibrate([c for c in cells if c["held"] and c["kind"] == kind], prior, trees) for kind in ("written", "number")}
+    limits = {kind: calibrate([{**c, "n": c["new"], "pos": c["right"]} for c in cells if c["held"] and c["kind"] == kind and c["new"]], prior, trees) for kind in ("written", "number")}
 
     def chosen(c: Column) -> Column:
         score = F.lit(prior)

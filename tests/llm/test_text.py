@@ -166,6 +166,15 @@ def test_boosting_separates_and_calibrates():
     assert all((score(c) >= limit) == (c["digits"] > 2) for c in cells)
 
 
+def test_written_out_addresses_are_found_however_many(spark):
+    for many in (40, 600):
+        rows = [(i, f"write to user{i}@mail.example.org today") for i in range(4000)]
+        rows += [(10_000 + i, f"write to {'j' * (1 + i % 70)} (at) example{i} (dot) org today") for i in range(many)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        found = {r["doc_id"]: r["s"] for r in pii.detect(frame).select("doc_id", spans.show(F.col("found")).alias("s")).collect()}
+        assert sum(found[i].startswith("written:9:") for i, _ in rows[4000:]) == many
+
+
 def test_toxicity_held_out(spark):
     got = {r["doc_id"]: r for r in toxicity.op2_toxicity(spark, "/root/testdata/sf0.1").collect()}
     labels = {r["doc_id"]: r["toxic"] for r in table(spark, "/root/testdata/sf0.1", "labels").collect()}
