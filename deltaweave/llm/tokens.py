@@ -10,6 +10,7 @@ length are handled alike: nothing is cut.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -53,7 +54,7 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = "|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values())
         self.fast = Tokenizer.from_file(path)  # for plain lower-case pre-tokens with spaces between
         self.fast.normalizer = None
         self.fast.encode_special_tokens = True
@@ -91,6 +92,8 @@ class WordEncoder:
     def _words(self, words: pa.StringArray) -> Ragged:
         """Ids of distinct words."""
         plain = np.asarray(pc.match_substring_regex(words, PLAIN))
+        if self.special:  # their texts are single ids, which the tokenizers library gives
+            plain = plain & ~np.asarray(pc.match_substring_regex(words, self.special))
         cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(words.filter(pa.array(plain))), PIECES, r"\1 "))
         many = np.asarray(pc.list_value_length(cut), np.int64)
         numbered = pc.list_flatten(cut).dictionary_encode()

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from deltaweave.llm import byte_bpe, packing, pii, secrets, simple8b, spans, token_store, toxicity
+from deltaweave.llm import byte_bpe, packing, pii, secrets, simple8b, spans, token_store, tokens, toxicity
 from deltaweave.runtime import table
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -56,6 +56,13 @@ def test_token_store(docs):
         at += n
 
 
+def test_special_tokens_in_texts_are_single_ids():
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y z <|startoftext|>", "A<|EndOfText|>b", "é<|endoftext|>É ²<|startoftext|>", "<|endoftext|>" * 3, "<| endoftext |>", "plain"]
+    got = tokens.encoder(WORDS).packed(pa.array(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(t, 0)[:-1] for t in texts]
+    assert np.frombuffer(got[0], "<u4").tolist()[1] == 49407
+
+
 def test_packing(docs):
     rows, frame = docs
     got = packing.pack_documents(frame, WORDS).collect()
