@@ -116,6 +116,18 @@ def solve(net: Network, lower: np.ndarray, upper: np.ndarray) -> np.ndarray | No
     return lower + shifted[:n]
 
 
+def _balanced(net: Network, fluxes: np.ndarray) -> float:
+    """The objective's flux; where it drains one metabolite, the sum of what the other reactions make of it, in their order."""
+    drained = [row for row in net.balance if row[net.objective]]
+    if len(drained) != 1:
+        return fluxes[net.objective]
+    made = 0.0
+    for j, n in enumerate(drained[0]):
+        if n and j != net.objective:
+            made += n * fluxes[j]
+    return made / -drained[0][net.objective]
+
+
 def balance_rows(rows: DataFrame, net: Network, uptakes: list[Uptake], biomass: str, dt: float) -> DataFrame:
     """Each row after ``dt``: uptake bounded by Monod kinetics, growth as great as the network allows.
 
@@ -142,7 +154,7 @@ def balance_rows(rows: DataFrame, net: Network, uptakes: list[Uptake], biomass:
                 fluxes = solve(net, lower, upper)
                 if fluxes is None:
                     continue
-                growth[i] = fluxes[net.objective]
+                growth[i] = _balanced(net, fluxes)
                 for u in uptakes:
                     amounts[u][i] = max(0.0, amounts[u][i] + fluxes[place[u.reaction]] * mass[i] * dt)
                 mass[i] = max(0.0, mass[i] + growth[i] * mass[i] * dt)

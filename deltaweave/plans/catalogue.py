@@ -465,12 +465,14 @@ _NETWORK = {
 }
 
 
-@query("""WITH a AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, p_retailprice / 1000 AS m, 6.283185307179586e0 * p_size / (5e0 + p_size) AS u FROM part), b AS (SELECT *, 0.1e0 * least(u, 1.5e0) + 0.03e0 * greatest(u - 1.5e0, 0) AS g FROM a)
+@query("""WITH a AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, p_retailprice / 1000 AS m, 6e0 * p_size / (5e0 + p_size) AS u FROM part), b AS (SELECT *, 0.1e0 * least(u, 1.5e0) + 0.03e0 * greatest(u - 1.5e0, 0) AS g FROM a)
 SELECT p_partkey, round(greatest(0, s - u * m * 0.1e0), 6) AS sugar, round(m + g * m * 0.1e0, 6) AS biomass, round(g, 6) AS growth FROM b""")
 def flux_balance(spark, d):
     cells = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("sugar"), (F.col("p_retailprice") / 1000).alias("biomass"))
-    after = flux.balance_rows(cells, flux.network(_NETWORK), [flux.Uptake("sugar", "EX_sugar", 5.0, 6.283185307179586)], "biomass", 0.1)
-    return after.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("sugar", "biomass", "growth")])
+    after = flux.balance_rows(cells, flux.network(_NETWORK), [flux.Uptake("sugar", "EX_sugar", 5.0, 6.0)], "biomass", 0.1)
+    # as the SQL side rounds: the product with 10**6 to the nearest whole number, ties away from zero
+    nearest = lambda c: F.signum(c) * F.floor(F.abs(F.col(c)) * 1e6 + 0.5) / 1e6
+    return after.select("p_partkey", *[nearest(c).alias(c) for c in ("sugar", "biomass", "growth")])
 
 
 @query("SELECT user_id, round(sum(value), 3) AS state, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")

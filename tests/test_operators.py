@@ -5,7 +5,8 @@ import math
 from pyspark.sql import functions as F
 
 from deltaweave.functions import exprs
-from deltaweave.operators import delta, divide, grid, kinetics, particles, rewrite
+from deltaweave.operators import delta, divide, flux, grid, kinetics, particles, rewrite
+from deltaweave.plans import catalogue
 
 
 def test_diff_then_apply_gives_the_target(spark):
@@ -93,3 +94,11 @@ def test_simulation_takes_any_reactions(spark):
     assert abs(sum(r["events"] for r in rows) / 400 - sum(n * q for n, q in enumerate(p))) < 0.3
     born = rewrite.simulate(start.limit(50), [kinetics.Reaction((), (("z", 2),), 5.0), kinetics.Reaction((("z", 1),), (), 1.0)], ["x", "y", "z"], 3.0).collect()
     assert any(r["z"] for r in born) and all(r["z"] >= 0 and r["x"] == 30 for r in born)
+
+
+def test_growth_has_the_bits_of_its_mass_balance(spark):
+    cells = spark.createDataFrame([(float(n), 1.0) for n in range(1, 51)], "sugar double, biomass double").withColumn("start", F.col("sugar"))
+    rows = flux.balance_rows(cells, flux.network(catalogue._NETWORK), [flux.Uptake("sugar", "EX_sugar", 5.0, 6.0)], "biomass", 0.1).collect()
+    for r in rows:
+        u = 6.0 * r["start"] / (5.0 + r["start"])
+        assert r["growth"] == 0.1 * min(u, 1.5) + 0.03 * max(u - 1.5, 0.0)
