@@ -2,12 +2,14 @@
 
 Documents are tokenised once; only ``(key, piece, start, length, crc)`` rows travel.  Pieces of
 exactly the capacity are sequences of their own.  The other pieces are dealt at random into cells
-of bounded size.  Each cell is evolved by several islands (rows of a DataFrame): populations start
-from best-fit-decreasing and randomised best fit; crossover injects whole well-filled bins of one
-parent into the other, drops the bins that hold duplicates and best-fits the displaced pieces;
-after each epoch the elite of every island migrates to the next island of its ring.  The best
-island of a cell wins.  Bins that stay poorly filled are opened again and their pieces are dealt
-into fewer cells, until one round closes them all; so leftovers of different cells meet.
+of bounded size.  Each cell is evolved by several islands (rows of a DataFrame, which carry their
+whole population from epoch to epoch).  Founders are best fits of random orders; the first island
+also has best-fit-decreasing, so no cell ends worse than that.  Crossover injects whole well-filled
+bins of one parent into the other, drops the bins that hold duplicates, swaps displaced pieces for
+smaller ones where that fills a bin better, and best-fits the rest; after each epoch the elite of
+every island replaces the worst of the next island of its ring.  The best island of a cell wins.
+Fewer bins count first, then the sum of squared fills: so free room gathers in few bins, which are
+opened again and dealt into fewer cells, until one round closes them all.
 
 No step needs more than one cell in a task, and the number of cells grows with the input.
 """
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,9 @@ from deltaweave.runtime import ship, shuffle_width, stage, table
 
 CAPACITY = 2048
 #: Pieces in a cell, islands of a cell, epochs (a migration lies between two), generations of an epoch, individuals of an island.
-CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1500, 2, 2, 2, 4
+CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1500, 3, 3, 3, 4
+#: Bins of a child in which pairs of pieces are tried against displaced pairs.
+PAIR_BINS = 8
 #: A bin is opened again for the next round if more than this share of it is free; the most rounds.
 LOOSE, ROUNDS = 0.02, 4
 
@@ -56,12 +60,54 @@ def best_fit(lengths: list[int], order: list[int], bins: Bins, free: list[int],
 
 
 def fitness(free: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then the mean squared fill; smaller is better."""
-    return len(free), -sum((1 - f / capacity) ** 2 for f in free) / max(1, len(free))
+    """Fewer bins first, then the sum of squared fills; smaller is better."""
+    return len(free), -sum((1 - f / capacity) ** 2 for f in free)
+
+
+def swap_in(lengths: list[int], displaced: list[int], bins: Bins, free: list[int], rng: random.Random) -> list[int]:
+    """Swap displaced items for smaller ones where a bin gets fuller; returns what is displaced then. Changes its arguments."""
+    items = sorted(displaced, key=lambda x: lengths[x])
+    sizes = [lengths[x] for x in items]
+
+    def trade(index: int, out: list[int], come: list[int]) -> None:
+        for x in come:
+            at = items.index(x, bisect_left(sizes, lengths[x]))
+            del items[at], sizes[at]
+        for x in out:
+            at = bisect_left(sizes, lengths[x])
+            items.insert(at, x)
+            sizes.insert(at, lengths[x])
+        bins[index] = [x for x in bins[index] if x not in out] + come
+        free[index] -= sum(lengths[x] for x in come) - sum(lengths[x] for x in out)
+
+    open_ = [i for i, f in enumerate(free) if f > 0]
+    rng.shuffle(open_)
+    for index in open_:
+        for x in list(bins[index]):
+            at = bisect_right(sizes, lengths[x] + free[index]) - 1
+            if at >= 0 and sizes[at] > lengths[x]:
+                trade(index, [x], [items[at]])
+                if not free[index]:
+                    break
+    for index in [i for i in open_ if free[i]][:PAIR_BINS]:
+        old = bins[index][:6]
+        pair = max(((lengths[x] + lengths[y], x, y) for i, x in enumerate(old) for y in old[:i]), default=None, key=lambda t: (rng.random(), t))
+        if pair:
+            best, low, high = (pair[0], -1, -1), 0, len(items) - 1
+            while low < high:
+                total = sizes[low] + sizes[high]
+                if total > pair[0] + free[index]:
+                    high -= 1
+                else:
+                    best = max(best, (total, low, high))
+                    low += 1
+            if best[1] >= 0:
+                trade(index, [pair[1], pair[2]], [items[best[1]], items[best[2]]])
+    return items
 
 
 def crossover(lengths: list[int], a: Bins, a_free: list[int], b: Bins, b_free: list[int], capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
-    """Inject well-filled bins of ``b`` into ``a``, drop bins with duplicates, best-fit the displaced items."""
+    """Inject well-filled bins of ``b`` into ``a``, drop bins with duplicates, place the displaced items."""
     ranked = sorted(range(len(b)), key=lambda i: (b_free[i], rng.random()))
     chosen = [i for i in ranked[: max(1, len(ranked) // 2)] if rng.random() < 0.5] or ranked[:1]
     injected = {x for i in chosen for x in b[i]}
@@ -73,20 +119,26 @@ def crossover(lengths: list[int], a: Bins, a_free: list[int], b: Bins, b_free: l
             free.append(a_free[i])
         else:
             displaced += [x for x in items if x not in injected]
-    displaced.sort(key=lambda x: -lengths[x])
-    return best_fit(lengths, displaced, bins, free, capacity)
+    displaced = swap_in(lengths, displaced, bins, free, rng)
+    return best_fit(lengths, displaced[::-1], bins, free, capacity)
 
 
 def mutate(lengths: list[int], bins: Bins, free: list[int], capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
-    """Open the emptiest bins and a few at random, and best-fit their items again."""
+    """Open the emptiest bins and a few at random, and place their items again."""
     n = len(bins)
     drop = set(sorted(range(n), key=lambda i: -free[i])[: max(1, n // 20)]) | {rng.randrange(n) for _ in range(max(1, n // 50))}
-    items = sorted((x for i in drop for x in bins[i]), key=lambda x: -lengths[x] * rng.uniform(0.9, 1.1))
-    return best_fit(lengths, items, [list(b) for i, b in enumerate(bins) if i not in drop], [f for i, f in enumerate(free) if i not in drop], capacity)
+    kept, kept_free = [list(b) for i, b in enumerate(bins) if i not in drop], [f for i, f in enumerate(free) if i not in drop]
+    items = swap_in(lengths, [x for i in drop for x in bins[i]], kept, kept_free, rng)
+    return best_fit(lengths, sorted(items, key=lambda x: -lengths[x] * rng.uniform(0.9, 1.1)), kept, kept_free, capacity)
 
 
-def evolve(lengths: list[int], seed: int, migrant: list[int] | None, elite: list[int] | None, capacity: int = CAPACITY, generations: int = GENERATIONS, population: int = POPULATION) -> tuple[list[int], tuple[int, float]]:
-    """One epoch of one island; returns the bin number of each item and its fitness."""
+def evolve(lengths: list[int], seed: int, people: list[list[int]] | None, migrant: list[int] | None, capacity: int = CAPACITY, generations: int = GENERATIONS, population: int = POPULATION, decreasing: bool = True) -> tuple[list[list[int]], tuple[int, float], int]:
+    """One epoch of one island: its population (the bin number of each item, best first), the best fitness, and the crossovers made.
+
+    Without ``people`` the island is founded: by best-fit-decreasing if ``decreasing``, and by best fits
+    of random orders.  ``migrant`` replaces the worst.  Evolution ends early only when, after at
+    least one crossover, no packing could be fitter: one bin alone has room.
+    """
     rng = random.Random(seed)
 
     def unpack(assigned: list[int]) -> tuple[Bins, list[int]]:
@@ -95,42 +147,49 @@ def evolve(lengths: list[int], seed: int, migrant: list[int] | None, elite: list
             bins[index].append(item)
         return bins, [capacity - sum(lengths[x] for x in b) for b in bins]
 
-    falling = sorted(range(len(lengths)), key=lambda x: -lengths[x])
-    people = [unpack(x) for x in (elite, migrant) if x]
-    if not people:
-        people.append(best_fit(lengths, falling, [], [], capacity))
-    while len(people) < population:
-        noisy = sorted(falling, key=lambda x: -lengths[x] * rng.uniform(0.7, 1.3))
-        people.append(best_fit(lengths, noisy, [], [], capacity))
-    floor = -(-sum(lengths) // capacity)
     score = lambda p: fitness(p[1], capacity)
-    for _ in range(generations):
-        people.sort(key=score)
-        if len(people[0][0]) <= floor:
+    packings = [unpack(x) for x in people or []]
+    if not packings:
+        if decreasing:
+            packings.append(best_fit(lengths, sorted(range(len(lengths)), key=lambda x: -lengths[x]), [], [], capacity))
+        while len(packings) < population:
+            packings.append(best_fit(lengths, rng.sample(range(len(lengths)), len(lengths)), [], [], capacity))
+    packings.sort(key=score)
+    if migrant:
+        packings = sorted([*packings[: population - 1], unpack(migrant)], key=score)
+    made = 0
+    for _ in range(generations if len(packings[0][0]) > 1 and len(packings) > 1 else 0):
+        if made and sum(f > 0 for f in packings[0][1]) <= 1:
             break
         young = []
         for _ in range(population - 1):
-            first, second = rng.sample(people, 2)
+            first, second = rng.sample(packings, 2)
             child = crossover(lengths, *first, *second, capacity, rng)
-            young.append(mutate(lengths, *child, capacity, rng) if rng.random() < 0.5 else child)
-        people = sorted(people + young, key=score)[:population]
-    bins, free = min(people, key=score)
-    out = [0] * len(lengths)
-    for index, items in enumerate(bins):
-        for item in items:
-            out[item] = index
-    return out, fitness(free, capacity)
+            made += 1
+            young.append(mutate(lengths, *child, capacity, rng) if rng.random() < 0.3 else child)
+        packings = sorted(packings + young, key=score)[:population]
+    out = []
+    for bins, _ in packings:
+        assigned = [0] * len(lengths)
+        for index, items in enumerate(bins):
+            for item in items:
+                assigned[item] = index
+        out.append(assigned)
+    return out, score(packings[0]), made
+
+
+_STATE = "cell int, island int, lengths array<int>, people array<array<int>>, n_bins long, loss double, crossovers long"
 
 
 def _epoch(capacity: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            done = [evolve(r["lengths"], hash((r["cell"], r["island"], salt)), r["migrant"], r["elite"], capacity) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([d[0] for d in done], pa.list_(pa.int32())), pa.array([d[1][0] for d in done], pa.int64()), pa.array([d[1][1] for d in done], pa.float64())],
-                ["cell", "island", "lengths", "elite", "n_bins", "loss"],
-            )
+            for i, r in enumerate(batch.to_pylist()):
+                seed = (r["cell"] * 1009 + r["island"]) * 8191 + salt
+                people, (n_bins, loss), made = evolve(r["lengths"], seed, r["people"], r["migrant"], capacity, decreasing=r["island"] == 0)
+                row = batch.slice(i, 1)
+                columns = [pa.array([people], pa.list_(pa.list_(pa.int32()))), pa.array([n_bins], pa.int64()), pa.array([loss], pa.float64()), pa.array([r["crossovers"] + made], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*row.columns[:3], *columns], ["cell", "island", "lengths", "people", "n_bins", "loss", "crossovers"])
 
     return run
 
@@ -141,16 +200,15 @@ def _pack_round(items: DataFrame, cells: int, capacity: int, islands: int, epoch
     packed = dealt.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("item", "length"))).alias("items"))
     packed = stage(packed, f"cells{number}")
     state = packed.select("cell", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("items.length").alias("lengths"))
-    state = state.withColumns({"migrant": F.lit(None).cast("array<int>"), "elite": F.lit(None).cast("array<int>")})
+    state = state.withColumns({"people": F.lit(None).cast("array<array<int>>"), "migrant": F.lit(None).cast("array<int>"), "crossovers": F.lit(0).cast("long")})
     width = max(shuffle_width(items.sparkSession), -(-cells * islands // 16))
     for epoch in range(epochs):
-        spread = state.repartition(width, "cell", "island")
-        state = spread.mapInArrow(_epoch(capacity, number * 97 + epoch), "cell int, island int, lengths array<int>, elite array<int>, n_bins long, loss double")
-        state = stage(state, f"islands{number}_{epoch}")
+        spread = state.repartition(width, "cell", "island").select("cell", "island", "lengths", "people", "migrant", "crossovers")
+        state = stage(spread.mapInArrow(_epoch(capacity, number * 97 + epoch), _STATE), f"islands{number}_{epoch}")
         if epoch + 1 < epochs:
-            ring = state.select("cell", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("migrant"))
-            state = state.select("cell", "island", "lengths", "elite").join(ring, ["cell", "island"]).select("cell", "island", "lengths", "migrant", "elite")
-    best = state.groupBy("cell").agg(F.min(F.struct("n_bins", "loss", "island", "elite")).alias("best")).select("cell", "best.elite")
+            ring = state.select("cell", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("people")[0].alias("migrant"))
+            state = state.select("cell", "island", "lengths", "people", "crossovers").join(ring, ["cell", "island"])
+    best = state.groupBy("cell").agg(F.min(F.struct("n_bins", "loss", "island", F.col("people")[0].alias("elite"))).alias("best")).select("cell", "best.elite")
     rows = packed.join(best, "cell").select("cell", F.explode(F.arrays_zip("items", "elite")).alias("x"))
     rows = rows.select("cell", F.col("x.items.item").alias("item"), F.col("x.items.length").alias("length"), F.col("x.elite").alias("bin"))
     free = rows.groupBy("cell", "bin").agg((F.lit(capacity) - F.sum("length")).alias("free"))
@@ -160,11 +218,11 @@ def _pack_round(items: DataFrame, cells: int, capacity: int, islands: int, epoch
 def pack(items: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """``(item, sequence_id, offset)`` for ``items(item long, length int)`` with 1 <= length <= capacity.
 
-    Items are distinct numbers.  Offsets are gapless from 0 in each sequence.  An empty table gives
+    Items are distinct numbers from 0.  Offsets are gapless from 0 in each sequence.  An empty table gives
     an empty result.
     """
     ship(items.sparkSession)
-    full = items.where(F.col("length") == capacity).select("item", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = items.where(F.col("length") == capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = items.where(F.col("length") < capacity).select("item", "length")
     done: list[DataFrame] = []
     count = rest.count()

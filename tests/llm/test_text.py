@@ -1,5 +1,6 @@
 """Tokens, packing, spans and toxicity: round trips, brute force and held-out accuracy."""
 
+import random
 import re
 import zlib
 
@@ -81,8 +82,6 @@ def test_packing(docs):
 
 
 def test_crossover_keeps_every_item():
-    import random
-
     lengths = [random.Random(i).randrange(1, 900) for i in range(80)]
     order = list(range(80))
     a = packing.best_fit(lengths, order, [], [], 2048)
@@ -92,6 +91,64 @@ def test_crossover_keeps_every_item():
     assert all(f == 2048 - sum(lengths[x] for x in items) >= 0 for f, items in zip(free, bins))
 
 
+def triplets(seed, many=20):
+    """Lengths that fill ``many`` bins of 1000 exactly, three to a bin."""
+    rng, lengths = random.Random(seed), []
+    for _ in range(many):
+        x = rng.randint(380, 490)
+        y = rng.randint(260, (1000 - x) // 2 + 40)
+        lengths += [x, y, 1000 - x - y]
+    return lengths
+
+
+def decreasing(lengths, capacity):
+    return packing.best_fit(lengths, sorted(range(len(lengths)), key=lambda x: -lengths[x]), [], [], capacity)
+
+
+def test_search_beats_best_fit_decreasing():
+    for seed in range(4):
+        lengths, people, made = triplets(seed), None, 0
+        for epoch in range(6):
+            people, (n_bins, _), more = packing.evolve(lengths, seed * 100 + epoch, people, None, 1000, generations=10, population=8)
+            made += more
+        assert n_bins < len(decreasing(lengths, 1000)[0]) and made == 6 * 10 * 7
+        assert all(sum(x for x, b in zip(lengths, people[0]) if b == i) <= 1000 for i in range(n_bins))
+
+
+def test_search_runs_where_decreasing_order_reaches_the_bound_and_is_never_worse():
+    rng = random.Random(3)
+    for n, top in ((400, 300), (300, 2000), (40, 1100)):
+        lengths = [rng.randrange(1, top) for _ in range(n)]
+        people, score, made = packing.evolve(lengths, n, None, None)
+        assert made >= packing.POPULATION - 1 and score <= packing.fitness(decreasing(lengths, 2048)[1], 2048)
+    assert packing.evolve([5, 7], 0, None, None)[1:] == ((1, -((12 / 2048) ** 2)), 0)
+
+
+def test_migrant_takes_the_place_of_the_worst():
+    lengths = triplets(1)
+    best = [i // 3 for i in range(60)]  # the packing that fills every bin
+    poor, score, _ = packing.evolve(lengths, 1, None, None, 1000, generations=0, decreasing=False)
+    assert score[0] > 20
+    people, score, _ = packing.evolve(lengths, 1, poor, best, 1000, generations=0)
+    assert score[0] == 20 and len(people) == packing.POPULATION and people[1:] == poor[:-1]
+
+
+def test_displaced_items_fill_bins():
+    lengths = [50, 60, 30, 35, 70]
+    bins, free = [[0, 2]], [20]
+    left = packing.swap_in(lengths, [1, 3], bins, free, random.Random(0))
+    assert free[0] == 5 and sorted(bins[0]) == [1, 3] and sorted(left) == [0, 2]
+
+
+def test_islands_search_every_cell(spark, tmp_path):
+    rng = random.Random(9)
+    lengths = [rng.randrange(1, 2048) for _ in range(900)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length int")
+    got = packing.pack(items, cell=300).collect()
+    assert sorted(r["item"] for r in got) == list(range(900))
+    assert len({r["sequence_id"] for r in got}) <= len(decreasing(lengths, 2048)[0]) + 3
+
+
 def test_byte_bpe(docs):
     rows, frame = docs
     own = byte_bpe.ByteBpe(BYTES, public_tokenizers.PATTERN)
@@ -137,8 +194,6 @@ def test_entropy_and_redaction(spark):
 
 
 def test_hex_keys_glued_to_names_are_found(spark):
-    import random
-
     rng = random.Random(4)
     rows = []
     for before in ("", "KEY=", "id_", "k=", "0x", "a/b-"):
