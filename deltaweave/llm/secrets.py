@@ -2,9 +2,9 @@
 
 Candidate strings are maximal runs of token characters and, inside those that are no secrets, maximal
 runs of hexadecimal digits: a name or sign glued to a key doesn't raise the limit for its digits.  The
-characters of a run decide its class (hexadecimal or base64-like).  A window of ``WINDOW`` characters slides over it; the sum of
-c*log2(c) over the window's character counts c is kept up to date with the two counts that a step
-changes, and the highest entropy of any window is compared with the class's limit.  Spans of fixed
+characters of a run decide its class (hexadecimal or base64-like).  A window of ``WINDOW`` characters slides over it; its
+character counts and the sum of c*log2(c) over them are carried along and changed by the character
+that leaves and the one that enters, and the highest entropy of any window is compared with the class's limit.  Spans of fixed
 formats and pieces on the allow list (identifiers and samples with known shapes) are cut out of a run
 first, and each remaining part of at least ``WINDOW`` characters is a candidate.  Candidates without
 both letters and digits are suppressed.
@@ -29,6 +29,8 @@ LEAST_ASSIGNED = 6
 RUN = r"[A-Za-z0-9+/=_-]{20,}+"
 HEX_RUN = r"[0-9a-fA-F]{20,}+"
 WINDOW, HEX_BITS, BASE64_BITS = 20, 3.0, 3.7
+#: The least and the greatest character of a run, as numbers.
+FIRST, LAST = ord("+"), ord("z")
 #: Shapes that are no secrets: UUIDs that stand alone, counting samples, named placeholders.
 ALLOWED = r"(?i)(?<![a-z0-9+/=_-])[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}(?![a-z0-9+/=_-])|0123456789|abcdefghij|example|placeholder|changeme|dummy|sample"
 
@@ -39,22 +41,30 @@ def _part(count: Column) -> Column:
 
 
 def highest_entropy(run: Column, window: int = WINDOW) -> Column:
-    """Highest Shannon entropy, in bits, of any window of ``window`` characters of ``run`` (at least that long)."""
-    chars = F.split(run, "")
-    first = F.slice(chars, 1, window)
-    times = lambda part, c: F.size(F.filter(part, lambda x: x == c))
-    total = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda s, c: s + _part(times(first, c)))
+    """Highest Shannon entropy, in bits, of any window of ``window`` characters of ``run`` (at least that long, of ``RUN``'s characters)."""
 
-    def step(state: Column, i: Column) -> Column:
-        part, out, new = F.slice(chars, i, window), F.element_at(chars, i), F.element_at(chars, i + window)
-        gone, came = times(part, out), times(part, new)
-        moved = state["sum"] - _part(gone) + _part(gone - 1) - _part(came) + _part(came + 1)
-        now = F.when(out == new, state["sum"]).otherwise(moved)
-        return F.struct(now.alias("sum"), F.least(state["least"], now).alias("least"))
+    def highest(codes: Column) -> Column:
+        first = F.slice(codes, 1, window)
+        counts = F.transform(F.sequence(F.lit(0), F.lit(LAST - FIRST)), lambda k: F.size(F.filter(first, lambda c: c == k)))
+        total = lambda counts: F.aggregate(counts, F.lit(0.0), lambda s, c: s + _part(c))
 
-    zero = F.struct(total.alias("sum"), total.alias("least"))
-    steps = F.when(F.size(chars) > window, F.sequence(F.lit(1), F.size(chars) - window)).otherwise(F.array().cast("array<int>"))
-    return F.log2(F.lit(float(window))) - F.aggregate(steps, zero, step)["least"] / window
+        def step(state: Column, i: Column) -> Column:
+            out, new = F.get(codes, i), F.get(codes, i + window)
+            gone, came = F.get(state["counts"], out), F.get(state["counts"], new)
+            now = state["sum"] - _part(gone) + _part(gone - 1) - _part(came) + _part(came + 1)
+            moved = F.transform(state["counts"], lambda c, k: c - (k == out).cast("int") + (k == new).cast("int"))
+            changed = F.struct(moved.alias("counts"), now.alias("sum"), F.least(state["least"], now).alias("least"))
+            return F.when(out == new, state).otherwise(changed)
+
+        def least(counts: Column) -> Column:
+            zero = F.struct(counts.alias("counts"), total(counts).alias("sum"), total(counts).alias("least"))
+            steps = F.when(F.size(codes) > window, F.sequence(F.lit(0), F.size(codes) - window - 1)).otherwise(F.array().cast("array<int>"))
+            return F.aggregate(steps, zero, step)["least"]
+
+        return spans.let(counts, least)
+
+    codes = F.transform(F.split(run, ""), lambda c: F.ascii(c) - FIRST)
+    return F.log2(F.lit(float(window))) - spans.let(codes, highest) / window
 
 
 def is_secret(run: Column) -> Column:
@@ -69,31 +79,26 @@ def _secret_parts(run: Column, start: Column) -> Column:
     return F.when(is_secret(run), whole).otherwise(spans.shift(spans.find(run, HEX_RUN, "entropy", 3, is_secret), start))
 
 
-def _entropy_spans(run: Column, start: Column, base: Column) -> Column:
-    """Secrets in what a run has besides ``base`` spans and allowed pieces."""
-    near = spans.shift(spans.over(base, start, start + F.length(run)), -start)
-    allowed = lambda left: spans.blank(left, spans.find(left, ALLOWED, "allowed", 0))
-    found = spans.let(spans.blank(run, near), lambda left: spans.let(allowed(left), lambda rest: spans.find_parts(rest, RUN, _secret_parts)))
-    return spans.shift(found, start)
-
-
 def _base(body: Column) -> Column:
     long_enough = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= LEAST_ASSIGNED
     return spans.sort(spans.find(body, ASSIGN, "assign", 0, long_enough), spans.find(body, ACCESS, "access", 1), spans.find(body, HEX, "hex", 2))
 
 
 def _found(body: Column, base: Column) -> Column:
-    return spans.sort(base, spans.find_parts(body, RUN, lambda run, start: _entropy_spans(run, start, base)))
+    """Base spans and the secrets in what the text has besides them and allowed pieces."""
+    allowed = lambda left: spans.blank(left, spans.find(left, ALLOWED, "allowed", 0))
+    added = lambda left: F.when(left.rlike(RUN), spans.let(allowed(left), lambda rest: spans.find_parts(rest, RUN, _secret_parts))).otherwise(spans.no_spans())
+    return spans.let(base, lambda own: F.when(body.rlike(RUN), spans.sort(own, spans.let(spans.blank(body, own), added))).otherwise(own))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``key``, the text, ``base`` spans and ``found`` spans (base ones and entropy hits).
 
-    Null texts count as empty and have no spans; null keys, repeated rows and extra columns are
-    allowed; an empty table gives an empty result.  Whole texts of any length are read.
+    Null texts count as empty and have no spans; null keys, repeated rows and extra columns of any
+    name are allowed; an empty table gives an empty result.  Whole texts of any length are read.
     """
-    body = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    body = F.coalesce(F.col("text"), F.lit(""))
     rows = rows.select("key", "text", _base(body).alias("base"))
     return rows.select(F.col("key").alias(key), F.col("text").alias(text), "base", _found(body, F.col("base")).alias("found"))
 
@@ -108,20 +113,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mark``; a column ``n_chars`` follows the new length.
 
-    Overlapping spans become one mark.  Texts without spans, null ones too, stay as they are.
+    Overlapping spans become one mark.  Texts without spans, null ones too, stay as they are; so do
+    all other columns, whatever their names, repeated rows and empty tables.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*docs.columns, _base(body).alias("_base"))
-    rows = rows.select(*docs.columns, _found(body, F.col("_base")).alias("_found"))
-
-    def step(state: Column, span: Column) -> Column:
-        before = F.substring(F.col(text), state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        new = F.when(span["start"] >= state["at"], F.concat(state["out"], before, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["stop"]).alias("at"), new.alias("out"))
-
-    cut = F.aggregate("_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    rest = F.concat(cut["out"], F.substring(F.col(text), cut["at"] + 1, F.length(text)))
-    rows = rows.withColumn("_new", F.when(F.size("_found") > 0, rest).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_found") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.withColumn(text, F.col("_new")).select(*docs.columns)
+    body = lambda rows: F.coalesce(rows["text"], F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    rows = rows.select("row", "text", _base(body(rows)).alias("base"))
+    rows = rows.select("row", "text", _found(body(rows), F.col("base")).alias("found"))
+    fill = lambda s, before: F.when(s["start"] >= before, F.lit(mark)).otherwise(F.lit(""))
+    hit = F.size("found") > 0
+    rows = rows.select("row", "found", F.when(hit, spans.replace(body(rows), F.col("found"), fill)).otherwise(F.col("text")).alias("text"))
+    values = {name: F.col("row")[name] for name in docs.columns}
+    values[text] = F.col("text")
+    if "n_chars" in docs.columns and text != "n_chars":
+        values["n_chars"] = F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return rows.select(*[value.alias(name) for name, value in values.items()])

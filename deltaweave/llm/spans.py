@@ -3,8 +3,10 @@
 A span is ``struct<start int, rank int, kind string, stop int>``: code points, stop exclusive; rank is
 the place of its kind in the operator's list of kinds.  ``split`` gives the gaps between the
 leftmost non-overlapping matches that ``regexp_extract_all`` gives, so running sums of lengths are the
-positions.  Patterns here have no backtracking into repeated groups (possessive quantifiers), so
-neither very long texts nor very long runs exhaust the stack or take quadratic time.
+positions.  Running sums and maxima are made by doubling (n log n steps), parts of a text are taken
+from pieces of ``PIECE`` code points, and overlaps are found by binary search, so many hits in one text
+take little more than proportional time.  Patterns here have no backtracking into repeated groups
+(possessive quantifiers), so very long runs don't exhaust the stack.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Code points of the pieces that parts of texts are taken from (a power of two).
+PIECE = 256
 SPANS = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 
 
@@ -21,18 +25,30 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """``values[0]``, ``join(values[0], values[1])`` and so on, for an associative ``join``."""
+    powers = F.array(*[F.lit(1 << i) for i in range(31)])
+
+    def doubled(now: Column, k: Column) -> Column:
+        return F.transform(now, lambda v, i: F.when(i >= k, join(F.get(now, i - k), v)).otherwise(v))
+
+    return let(values, lambda v: F.aggregate(F.filter(powers, lambda k: k < F.size(v)), v, doubled))
+
+
 def find_parts(text: Column, pattern: str, parts: Callable[[Column, Column], Column]) -> Column:
     """All spans that ``parts`` gives for the matches of ``pattern`` in ``text``, from a match and its start."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        stop = start + F.coalesce(F.length(pair["hit"]), F.lit(0))
-        found = F.when(pair["hit"].isNotNull(), F.concat(state["found"], parts(pair["hit"], start))).otherwise(state["found"])
-        return F.struct(stop.alias("at"), found.alias("found"))
+    def placed(gaps: Column, hits: Column) -> Column:
+        widths = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.length(gap) + F.length(hit))
+        return let(running(widths, lambda a, b: a + b), lambda ends: F.flatten(F.transform(hits, lambda hit, i: parts(hit, F.get(ends, i) - F.length(hit)))))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step)["found"]).otherwise(no_spans())
+    found = let(F.split(text, pattern, -1), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: placed(gaps, hits)))
+    return F.when(text.rlike(pattern), found).otherwise(no_spans())
 
 
 def find(text: Column, pattern: str, kind: str, rank: int, valid: Callable[[Column], Column] | None = None) -> Column:
@@ -68,21 +84,55 @@ def count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with the value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def pieces(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` code points."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}+"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, stop: Column) -> Column:
+    """Code points ``start`` to ``stop`` of a text given as its ``pieces``."""
+    bits = PIECE.bit_length() - 1
+    piece = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+    first, last = F.shiftright(start, bits), F.shiftright(stop, bits)
+    skip = start.bitwiseAND(F.lit(PIECE - 1))
+    middle = F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    over_pieces = F.concat(F.substring(piece(first), skip + 1, F.lit(PIECE)), middle, F.substring(piece(last), F.lit(1), stop.bitwiseAND(F.lit(PIECE - 1))))
+    return F.when(stop <= start, F.lit("")).when(first == last, F.substring(piece(first), skip + 1, stop - start)).otherwise(over_pieces)
+
+
+def reach(spans: Column) -> Column:
+    """The highest stop of each span and those before it."""
+    return running(F.transform(spans, lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
+
+
+def replace(text: Column, spans: Column, fill: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with ``fill(span, end of the spans before)`` in place of each of the sorted ``spans``."""
+
+    def put(parts: Column, ends: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            return let(F.coalesce(F.get(ends, i - 1), F.lit(0)), lambda before: F.concat(cut(parts, before, F.greatest(before, s["start"])), fill(s, before)))
+
+        return F.concat(F.array_join(F.transform(spans, one), ""), cut(parts, F.element_at(ends, -1), F.length(text)))
+
+    return F.when(F.size(spans) > 0, let(pieces(text), lambda parts: let(reach(spans), lambda ends: put(parts, ends)))).otherwise(text)
 
 
 def blank(text: Column, spans: Column) -> Column:
-    """``text`` with the characters of ``spans``, as far as they lie in it, replaced by spaces."""
+    """``text`` with the characters of the sorted ``spans`` replaced by spaces."""
+    return replace(text, spans, lambda s, before: F.repeat(F.lit(" "), F.greatest(s["stop"] - F.greatest(before, s["start"]), F.lit(0))))
+
+
+def below(values: Column, limit: Column) -> Column:
+    """How many of the sorted ``values`` are below ``limit``, by binary search."""
+    powers = F.array(*[F.lit(1 << i) for i in reversed(range(31))])
+    step = lambda at, k: F.when(F.get(values, at + k - 1) < limit, at + k).otherwise(at)
+    return F.aggregate(F.filter(powers, lambda k: k <= F.size(values)), F.lit(0), step)
 
-    def step(now: Column, s: Column) -> Column:
-        start, stop = F.greatest(s["start"], F.lit(0)), F.least(s["stop"], F.length(text))
-        return F.concat(F.substring(now, F.lit(1), start), F.repeat(F.lit(" "), stop - start), F.substring(now, stop + 1, F.length(text)))
 
-    return F.aggregate(spans, text, step)
+def touched(spans: Column, use: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``use`` of a test whether a span shares a character with any of the sorted ``spans``."""
 
+    def test(starts: Column, ends: Column) -> Callable[[Column], Column]:
+        return lambda s: F.coalesce(F.get(ends, below(starts, s["stop"]) - 1) > s["start"], F.lit(False))
 
-def over(spans: Column, start: Column, stop: Column) -> Column:
-    """The spans that share a character with ``start`` to ``stop``."""
-    return F.filter(spans, lambda s: (s["start"] < stop) & (start < s["stop"]))
+    return let(F.transform(spans, lambda s: s["start"]), lambda starts: let(reach(spans), lambda ends: use(test(starts, ends))))
