@@ -3,11 +3,15 @@
 1. Fixed formats (e-mail, IP, card, phone) with their own checks give the base spans; they stay.
 2. High-recall generators propose further, overlapping spans: written-out addresses and any run of
    digits with separators.
-3. Each candidate is described by a few coarse format and context features.  How often each
-   combination of them occurs, and how often it coincides with a base span, is counted over all
-   documents; the table is bounded by the product of the features' values.
-4. Boosted depth-two trees are fitted to those counts, and each generator's threshold is calibrated
-   on a held-out fold of documents to the wanted precision.  Candidates that score above it and
+3. Labels come from planted evidence: every base span is rewritten into a form that its fixed format
+   refuses (``jane (at) mail (dot) org``, a phone number without its plus, a card number with dots)
+   and stands in the base span's own context as a positive.  Proposals that overlap no base span are
+   unlabelled and count as negatives, but for those that a weak label vouches for.
+4. Each candidate is described by a few coarse format and context features.  How often each
+   combination of them occurs, and how often it is positive, is counted over all documents; the
+   table is bounded by the product of the features' values.
+5. Boosted depth-two trees are fitted to those counts, and each generator's threshold is calibrated
+   on a held-out fold of documents to the wanted precision.  Proposals that score above it and
    overlap no base span are added.
 
 Scanning, counting and scoring are Column expressions; the driver sees only the bounded table.
@@ -68,11 +72,8 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def features(text: Column, span: Column) -> Column:
-    """Coarse format and context features of one candidate, each a small whole number."""
-    body = F.substring(text, span["start"] + 1, span["stop"] - span["start"])
-    before = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
-    after = F.substring(text, span["stop"] + 1, F.lit(1))
+def features(body: Column, before: Column, after: Column) -> Column:
+    """Coarse format and context features of a candidate, each a small whole number, from its text and what is around it."""
     of = lambda pattern: F.length(F.regexp_replace(body, pattern, ""))
     digits, groups = of("[^0-9]"), F.size(F.split(body, "[^0-9A-Za-z]+"))
     values = {
@@ -88,11 +89,25 @@ def features(text: Column, span: Column) -> Column:
     return F.struct(*[values[name].cast("int").alias(name) for name in FEATURES])
 
 
-def _sure(text: Column, span: Column, x: Column) -> Column:
+def rewritten(kind: Column, body: Column, choice: Column) -> Column:
+    """A base span's text in a form that no base format has; ``choice`` is any whole number.  IPs and what no generator proposes give null."""
+    pick = lambda *ways: F.element_at(F.array(*ways), F.pmod(choice, F.lit(len(ways))).cast("int") + 1)
+    local, domain = F.substring_index(body, "@", 1), F.substring_index(body, "@", -1)
+    spoken = lambda at, dot: F.concat(local, F.lit(at), F.regexp_replace(domain, r"\.", dot))
+    email = pick(spoken(" (at) ", " (dot) "), spoken("(at)", "."), spoken(" [at] ", "[dot]"), spoken(" @ ", " . "))
+    bare = F.ltrim(F.regexp_replace(body, r"\+", ""))
+    phone = pick(bare, F.regexp_replace(bare, r"[\x20()-]+", "."), F.regexp_replace(bare, "[()]", ""))
+    digits = F.regexp_replace(body, "[^0-9]", "")
+    card = F.regexp_replace(F.regexp_replace(digits, "([0-9]{4})", "$1."), r"\.$", "")
+    new = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card)
+    fits = F.when(kind == "email", new.rlike(f"^(?:{WRITTEN})$")).otherwise(new.rlike(f"^(?:{NUMBER})$"))
+    return F.when(fits, new)
+
+
+def _sure(kind: Column, body: Column, x: Column) -> Column:
     """Weak labels that need no base span: written-out addresses with a named domain, numbers of 7 to 16 digits right after a cue."""
-    body = F.substring(text, span["start"] + 1, span["stop"] - span["start"])
     number = (x["cue"] == 1) & (x["glued"] == 0) & x["digits"].between(1, 4)
-    return F.when(span["kind"] == "written", body.rlike(NAMED)).otherwise(number)
+    return F.when(kind == "written", body.rlike(NAMED)).otherwise(number)
 
 
 @dataclass(frozen=True)
@@ -163,39 +178,83 @@ def calibrate(cells: list[dict], prior: float, trees: list[Tree], precision: flo
     return best
 
 
+def _described(text: Column, base: Column, proposed: Column, key: Column) -> Column:
+    """Proposals and rewritten base spans of one text with their features: ``kind, start, stop, x, known, sure, planted``."""
+
+    def around(parts: Column, start: Column, stop: Column, use) -> Column:
+        return spans.let(F.struct(spans.cut(parts, start, stop).alias("body"), spans.cut(parts, F.greatest(start - CONTEXT, F.lit(0)), start).alias("before"), spans.cut(parts, stop, stop + 1).alias("after")), use)
+
+    def candidate(s: Column, kind: Column, x: Column, known: Column, sure: Column, planted: bool) -> Column:
+        return F.struct(s.alias("span"), kind.alias("kind"), x.alias("x"), known.alias("known"), sure.alias("sure"), F.lit(planted).alias("planted"))
+
+    def own(parts: Column, s: Column, known: Column) -> Column:
+        with_x = lambda t: spans.let(features(t["body"], t["before"], t["after"]), lambda x: candidate(s, s["kind"], x, known, _sure(s["kind"], t["body"], x), False))
+        return around(parts, s["start"], s["stop"], with_x)
+
+    def plant(parts: Column, s: Column) -> Column:
+        kind = F.when(s["kind"] == "email", F.lit("written")).otherwise(F.lit("number"))
+        choice = F.pmod(F.crc32(F.concat_ws(":", key.cast("string"), s["start"].cast("string"))), F.lit(12))
+        with_x = lambda t: spans.let(rewritten(s["kind"], t["body"], choice), lambda new: F.when(new.isNotNull(), candidate(s, kind, features(new, t["before"], t["after"]), F.lit(False), F.lit(True), True)))
+        return around(parts, s["start"], s["stop"], with_x)
+
+    def both(parts: Column) -> Column:
+        real = spans.touched(base, lambda known: F.transform(proposed, lambda s: own(parts, s, known(s))))
+        planted = F.filter(F.transform(base, lambda s: plant(parts, s)), lambda c: c.isNotNull())
+        return F.concat(real, planted)
+
+    return F.when((F.size(base) > 0) | (F.size(proposed) > 0), spans.let(spans.pieces(text), both))
+
+
+def learn(cells: list[dict]) -> tuple[float, list[Tree], dict[str, float], dict[str, dict]]:
+    """Prior, trees, each generator's limit, and what the limit gives on held-out planted and unlabelled candidates.
+
+    ``cells`` have the features, ``kind``, ``held``, the count ``n`` and the positives ``pos`` among
+    them, and the planted ones ``planted``.
+    """
+    cells = sorted(cells, key=lambda c: (c["kind"], c["held"], *(c[f] for f in FEATURES)))
+    prior, trees = boost([c for c in cells if not c["held"]])
+    limits, report = {}, {}
+    for kind in ("written", "number"):
+        held = [c for c in cells if c["held"] and c["kind"] == kind]
+        limits[kind] = calibrate(held, prior, trees)
+        taken = [c for c in held if prior + sum(t.value(c) for t in trees) >= limits[kind] - 1e-9]
+        add = lambda rows, name: sum(c[name] for c in rows)
+        report[kind] = {"planted": add(held, "planted"), "planted_taken": add(taken, "planted"), "unlabelled": add(held, "n") - add(held, "pos"), "unlabelled_taken": add(taken, "n") - add(taken, "pos")}
+    return prior, trees, limits, report
+
+
+def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, base, proposed``: base spans, and described proposals and rewritten base spans (null if a text has neither)."""
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    body = F.col("text")
+    rows = rows.select("key", "text", base_spans(body).alias("base"), F.concat(spans.find(body, WRITTEN, "written", 4), spans.find(body, NUMBER, "number", 5)).alias("proposed"))
+    described = spans.let(F.col("base"), lambda base: spans.let(F.col("proposed"), lambda proposed: _described(F.col("text"), base, proposed, F.col("key"))))
+    return rows.select("key", "base", described.alias("proposed"))
+
+
+def counts(rows: DataFrame) -> list[dict]:
+    """How often each combination of features occurs among the candidates that overlap no base span, by fold."""
+    fold = F.pmod(F.crc32(F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(4)) == 3
+    single = rows.select(fold.alias("held"), F.explode("proposed").alias("c")).where("NOT c.known").select("held", "c.kind", "c.x.*", "c.sure", "c.planted")
+    grouped = single.groupBy("kind", "held", *FEATURES)
+    return [r.asDict() for r in grouped.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("sure").cast("long")).alias("pos"), F.sum(F.col("planted").cast("long")).alias("planted")).collect()]
+
+
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``key``, ``base`` spans and ``found`` spans (base ones and added ones).
 
-    Null texts count as empty and have no spans; null keys, repeated rows and extra columns are
-    allowed; an empty table gives an empty result.  Whole texts of any length are read.
+    Null texts count as empty and have no spans; null keys, repeated rows and extra columns of any
+    name are allowed; an empty table gives an empty result.  Whole texts of any length are read.
     """
-    body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = rows.select("key", body.alias("text"), base_spans(body).alias("base"), F.concat(spans.find(body, WRITTEN, "written", 4), spans.find(body, NUMBER, "number", 5)).alias("proposed"))
-    described = F.transform(
-        "proposed",
-        lambda s: F.struct(
-            s.alias("span"),
-            features(F.col("text"), s).alias("x"),
-            F.exists(F.col("base"), lambda o: (o["start"] < s["stop"]) & (s["start"] < o["stop"])).alias("known"),
-        ),
-    )
-    described = F.transform(described, lambda c: F.struct(c["span"].alias("span"), c["x"].alias("x"), c["known"].alias("known"), _sure(F.col("text"), c["span"], c["x"]).alias("sure")))
-    rows = stage(rows.select("key", "base", F.when(F.size("proposed") > 0, described).alias("proposed")), "candidates")
-    fold = F.pmod(F.crc32(F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(4)) == 3
-    single = rows.select(fold.alias("held"), F.explode("proposed").alias("c")).select("held", F.col("c.span.kind").alias("kind"), "c.x.*", "c.known", "c.sure")
-    counted = single.groupBy("kind", "held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("known") | F.col("sure")).cast("long")).alias("pos"), F.sum((~F.col("known")).cast("long")).alias("new"), F.sum((~F.col("known") & F.col("sure")).cast("long")).alias("right"))
-    cells = [r.asDict() for r in counted.collect()]
-    cells.sort(key=lambda c: (c["kind"], c["held"], *(c[f] for f in FEATURES)))
-    prior, trees = boost([c for c in cells if not c["held"]])
-    limits = {kind: calibrate([{**c, "n": c["new"], "pos": c["right"]} for c in cells if c["held"] and c["kind"] == kind and c["new"]], prior, trees) for kind in ("written", "number")}
+    rows = stage(candidates(docs, key, text), "candidates")
+    prior, trees, limits, _ = learn(counts(rows))
 
     def chosen(c: Column) -> Column:
         score = F.lit(prior)
         for tree in trees:
             score = score + tree.column(c["x"])
-        limit = F.when(c["span"]["kind"] == "written", F.lit(limits["written"])).otherwise(F.lit(limits["number"]))
-        return ~c["known"] & (score >= limit - 1e-9)
+        limit = F.when(c["kind"] == "written", F.lit(limits["written"])).otherwise(F.lit(limits["number"]))
+        return ~c["known"] & ~c["planted"] & (score >= limit - 1e-9)
 
     added = F.transform(F.filter("proposed", chosen), lambda c: c["span"])
     return rows.select(F.col("key").alias(key), "base", spans.sort(F.col("base"), F.coalesce(added, spans.no_spans())).alias("found"))

@@ -237,6 +237,63 @@ def test_written_out_addresses_are_found_however_many(spark):
         assert sum(found[i].startswith("written:9:") for i, _ in rows[4000:]) == many
 
 
+def test_planted_forms_are_told_from_other_numbers(spark):
+    rng = random.Random(2)
+    some = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = [(i, f"call +1 ({some(3)}) {some(3)}-{some(4)} or a{i}@mail.example.org, order {some(16)} of lot {some(9)}") for i in range(400)]
+    new = [(1000 + i, f"so write bob{i} (at) mail (dot) example (dot) org or 1 ({some(3)}) {some(3)}-{some(4)}, order {some(16)}") for i in range(20)]
+    frame = spark.createDataFrame(rows + new, "doc_id long, text string")
+    _, _, limits, report = pii.learn(pii.counts(pii.candidates(frame)))
+    for kind in ("written", "number"):
+        taken, planted = report[kind]["planted_taken"], report[kind]["planted"]
+        assert taken >= 0.9 * planted > 0 and taken >= 0.9 * (taken + report[kind]["unlabelled_taken"])
+    found = {r["doc_id"]: r["found"] for r in pii.detect(frame).collect()}
+    for i, text in new:
+        by_kind = {s["kind"]: text[s["start"] : s["stop"]] for s in found[i]}
+        assert len(re.sub("[^0-9]", "", by_kind["number"])) == 11 and by_kind["written"].startswith("bob")
+    assert all(s["kind"] != "number" for i, _ in rows for s in found[i])
+
+
+def entropies(run):
+    return [-sum(run[i : i + 20].count(c) / 20 * np.log2(run[i : i + 20].count(c) / 20) for c in set(run[i : i + 20])) for i in range(len(run) - 19)]
+
+
+def test_entropy_equals_brute_force(spark):
+    rng = random.Random(8)
+    runs = ["a" * 20, "ab" * 30, "0123456789abcdef" * 3] + ["".join(rng.choice("AZaz09+/=_-bcdef12345"[: rng.randrange(2, 21)]) for _ in range(rng.randrange(20, 90))) for _ in range(60)]
+    frame = spark.createDataFrame([(r,) for r in runs], "run string")
+    got = frame.select(secrets.highest_entropy(F.col("run")).alias("h"), "run").collect()
+    assert all(abs(r["h"] - max(entropies(r["run"]))) < 1e-9 for r in got)
+
+
+def test_secrets_by_class_and_allow_list(spark):
+    rng = random.Random(6)
+    hexes = ["".join(rng.choice("0123456789ABCDEF") for _ in range(32)) for _ in range(100)]
+    mixed = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40)) for _ in range(100)]
+    names = [f"some_long_identifier_name_{i}" for i in range(100)]
+    frame = spark.createDataFrame(list(enumerate(f"let {x} be" for x in hexes + mixed + names)), "doc_id long, text string")
+    found = {r["doc_id"]: len(r["found"]) > 0 for r in secrets.scan(frame).collect()}
+    assert sum(found[i] for i in range(100)) >= 98 and sum(found[100 + i] for i in range(100)) >= 98 and not any(found[200 + i] for i in range(100))
+
+
+def test_many_hits_take_about_proportional_time(spark):
+    import time
+
+    def took(n):
+        text = " ".join(f"u{i}@mail.org token=abcdef{i}" for i in range(n // 2))
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        out = []
+        for run in (lambda: pii.candidates(frame), lambda: secrets.redact(frame)):
+            began = time.time()
+            run().write.format("noop").mode("overwrite").save()
+            out.append(time.time() - began)
+        return out
+
+    took(4000)
+    small, large = took(8000), took(32000)
+    assert all(b < 8 * a + 1 for a, b in zip(small, large)), (small, large)  # quadratic time would be 16 times
+
+
 def test_toxicity_held_out(spark):
     got = {r["doc_id"]: r for r in toxicity.op2_toxicity(spark, "/root/testdata/sf0.1").collect()}
     labels = {r["doc_id"]: r["toxic"] for r in table(spark, "/root/testdata/sf0.1", "labels").collect()}
