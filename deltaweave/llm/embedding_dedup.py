@@ -1,12 +1,22 @@
-"""Embedding near-dedup by pivot regions, exact at every size.
-
-Equal vectors of a label are one class.  A label with many classes gets pivots, about one in
-``REGION`` of its vectors by hash, and each vector lives in the region of its nearest pivot.  For unit
-vectors x near pivot c and y near pivot p, the distance of x and y is at least x.(c - p) / |c - p|; so
-x is copied to the regions of smaller number that this bound can't exclude, and every pair that may
-link meets in exactly one region.  Regions are compared whole, in blocks of bounded size dealt over
-tasks: no window or cap loses a link.  Pivots save work where vectors form clusters; for a label
-without any the comparisons grow with the square of its size.
+"""Embedding near-dedup by sorted projection passes, completed exactly.
+
+Equal vectors of a label are one class.
+
+1. Passes.  In each pass every class gets a key of concatenated random hyperplane bits; the rows are
+   range partitioned and sorted by (label, key), ties in an order of the pass's own, and each vector
+   is compared with the ``NEIGHBOURS`` that follow it.  Verified pairs of all passes are united to
+   clusters: a task passes on only those that join two groups it had not joined before, so a dense
+   cluster sends fewer rows than it has vectors.
+2. Completion.  Bounded windows can miss pairs of a crowded label, so the rest is compared exactly.
+   A label with many classes gets pivots, about one in ``REGION`` of its vectors by hash, and each
+   vector lives in the region of its nearest pivot.  For unit vectors x near pivot c and y near
+   pivot p, the distance of x and y is at least x.(c - p) / |c - p|; so x is copied to the regions of
+   smaller number that this bound can't exclude, and every pair that may link meets in exactly one
+   region.  Regions are compared whole, in blocks of bounded size dealt over tasks: every link is
+   counted, and pairs that join two clusters of the passes are passed on.
+
+Pivots save work where vectors form groups; for a label without any the comparisons of the second
+step grow with the square of its size.
 """
 
 from __future__ import annotations
@@ -22,6 +32,7 @@ from deltaweave.llm.components import components
 from deltaweave.llm.groups import runs
 from deltaweave.runtime import ship, stage, table
 
+PASSES, BITS, NEIGHBOURS = 10, 40, 24
 THRESHOLD, REGION, MOST_PIVOTS, BLOCK = 0.98, 1024, 1024, 1024
 
 
@@ -33,6 +44,61 @@ def _unit(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 
+def _passes(passes: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.asarray(batch.column(2))
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                unit = _unit(part.column(3), dim)
+                for number in range(passes):
+                    planes = np.random.default_rng([dim, number]).standard_normal((dim, bits))
+                    key = ((unit @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64)[::-1])).astype(np.int64)
+                    columns = [pa.array(np.full(len(key), number), pa.int32()), part.column(1), part.column(2), pa.array(key), part.column(0), part.column(3)]
+                    yield pa.RecordBatch.from_arrays(columns, ["pass", "label", "dim", "sort", "rep", "vector"])
+
+    return run
+
+
+def _neighbours(neighbours: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            own = pa.Table.from_batches([batch])
+            both = own if kept is None else pa.concat_tables([kept, own])
+            kept = both.slice(max(0, both.num_rows - neighbours))
+            fresh = both.num_rows - batch.num_rows
+            group = np.stack([np.asarray(both.column(i).combine_chunks(), np.int64) for i in range(3)])
+            rep = np.asarray(both.column(4).combine_chunks(), np.int64)
+            src, dst = [], []
+            for dim in np.unique(group[2]).tolist():
+                rows = np.flatnonzero(group[2] == dim)
+                unit = _unit(both.column(5).take(pa.array(rows)), dim)
+                for step in range(1, min(neighbours, len(rows) - 1) + 1):
+                    a, b = rows[:-step], rows[step:]
+                    close = (group[:, a] == group[:, b]).all(axis=0) & (b >= fresh)
+                    i = np.flatnonzero(close)
+                    i = i[np.einsum("ij,ij->i", unit[i], unit[i + step]) >= threshold]
+                    for x, y in zip(rep[a[i]].tolist(), rep[b[i]].tolist()):
+                        p, q = find(x), find(y)
+                        if p != q:
+                            root[q] = p
+                            src.append(x)
+                            dst.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+            if len(root) > 500_000:
+                root.clear()  # pairs may repeat from here on
+
+    return run
+
+
 def _regions(pivots: dict[tuple[int, int], np.ndarray], threshold: float):
     """Each vector at its own region and as a copy wherever a link may be; ``pivots`` by label and length."""
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
@@ -46,7 +112,7 @@ def _regions(pivots: dict[tuple[int, int], np.ndarray], threshold: float):
             for rows in np.split(order, cuts) if len(order) else []:
                 group = (int(label[rows[0]]), int(dims[rows[0]]))
                 if group in pivots:
-                    part = _unit(batch.column(4).take(pa.array(rows)), group[1])
+                    part = _unit(batch.column(5).take(pa.array(rows)), group[1])
                     dots = part @ pivots[group].T
                     home = dots.argmax(axis=1)
                     near = dots[np.arange(len(rows)), home][:, None] - dots <= reach * gaps[group][home] + 1e-9
@@ -58,7 +124,7 @@ def _regions(pivots: dict[tuple[int, int], np.ndarray], threshold: float):
                 for low in range(0, len(at), 10_000):
                     a, r = at[low : low + 10_000], region[low : low + 10_000]
                     whole = batch.take(pa.array(rows[a]))
-                    yield pa.RecordBatch.from_arrays([*whole.columns[:2], pa.array(r.astype(np.int32)), pa.array(r == home[a]), *whole.columns[2:]], ["label", "dim", "region", "home", "rep", "size", "vector"])
+                    yield pa.RecordBatch.from_arrays([*whole.columns[:2], pa.array(r.astype(np.int32)), pa.array(r == home[a]), *whole.columns[2:]], ["label", "dim", "region", "home", "rep", "size", "cluster", "vector"])
 
     return run
 
@@ -78,17 +144,17 @@ def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(threshold: float):
-    """Rows (src, links, null) with links met and (src, 0, dst) of one group; equal ends don't occur."""
+    """Rows (src, links, null) with links met and (src, 0, dst) that join two clusters of the passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table_, edges in runs(batches, 5, 4_000):
-            dims, i, block, rep, size = (np.asarray(table_.column(c).combine_chunks(), np.int64) for c in (1, 3, 5, 7, 8))
+            dims, i, j, block, rep, size, cluster = (np.asarray(table_.column(c).combine_chunks(), np.int64) for c in (1, 3, 4, 5, 7, 8, 9))
             home = np.asarray(table_.column(6).combine_chunks().cast(pa.int8()), bool)
             for at, to in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                unit = _unit(table_.column(9).slice(at, to - at), int(dims[at]))
+                unit = _unit(table_.column(10).slice(at, to - at), int(dims[at]))
                 rows = np.arange(at, to)
                 left, right = np.flatnonzero(block[rows] == i[at]), np.flatnonzero(block[rows] != i[at])
-                if int(table_.column(4)[at].as_py()) == i[at]:
+                if j[at] == i[at]:
                     right = left
                 near = unit[left] @ unit[right].T >= threshold
                 near &= home[rows[left]][:, None] | home[rows[right]]
@@ -98,13 +164,12 @@ def _compare(threshold: float):
                 links[left] = near @ size[rows[right]]
                 if right is not left:
                     links[right] = near.T @ size[rows[left]]
-                a, b = np.nonzero(near)
-                if not len(a):
-                    continue
-                least = _joined(to - at, left[a], right[b])
-                met, moved = np.flatnonzero(links), np.flatnonzero(least != np.arange(to - at))
-                src = np.concatenate([rep[rows[met]], rep[rows[moved]]])
-                dst = pa.array(np.concatenate([rep[rows[met]], rep[rows[least[moved]]]]), pa.int64(), mask=np.arange(len(src)) < len(met))
+                names, group = np.unique(cluster[rows], return_inverse=True)
+                a, b = np.nonzero(near & (group[left][:, None] != group[right]))
+                least = _joined(len(names), group[left[a]], group[right[b]])
+                met, moved = np.flatnonzero(links), np.flatnonzero(least != np.arange(len(names)))
+                src = np.concatenate([rep[rows[met]], names[moved]])
+                dst = pa.array(np.concatenate([rep[rows[met]], names[least[moved]]]), pa.int64(), mask=np.arange(len(src)) < len(met))
                 counts = np.concatenate([links[met], np.zeros(len(moved), np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(counts), dst], ["src", "links", "dst"])
 
@@ -116,14 +181,22 @@ def _usable(vector: Column, label: Column, key: Column) -> Column:
     return key.isNotNull() & label.isNotNull() & vector.isNotNull() & (F.size(vector) > 0) & whole & F.exists(vector, lambda x: x != 0)
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, region: int = REGION, block: int = BLOCK) -> DataFrame:
+def window_links(classes: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """``src, dst``: verified pairs of ``classes(rep, label, dim, vector)`` found by the passes, as many as join their clusters."""
+    order = ["pass", "label", "dim", "sort", "tie"]
+    coded = classes.select("rep", "label", "dim", "vector").mapInArrow(_passes(passes, BITS), "pass int, label long, dim int, sort long, rep long, vector array<double>")
+    coded = coded.withColumn("tie", F.xxhash64("pass", "rep")).repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+    return coded.mapInArrow(_neighbours(neighbours, threshold), "src long, dst long")
+
+
+def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, region: int = REGION, block: int = BLOCK, passes: int = PASSES, neighbours: int = NEIGHBOURS) -> DataFrame:
     """``key, n_links, component_id, kept`` of every row; ``kept`` marks the smallest key of a component.
 
     Vectors are compared when their labels and lengths are equal.  A vector that is null, empty, zero
     or holds a null or non-finite component, or whose key or label is null, links with nothing and is
     its own component.  Repeated rows are separate vectors that link with each other.  Extra columns
-    are ignored; an empty table gives an empty result.  All pairs of at least
-    ``threshold`` link and no others; ``region`` and ``block`` only deal the work.
+    of any name are ignored; an empty table gives an empty result.  All pairs of at least
+    ``threshold`` link and no others; the other parameters only deal the work.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
@@ -140,18 +213,21 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     for r in chosen.select("label", "dim", "rep", "vector").orderBy("rep").collect():
         listed.setdefault((r["label"], r["dim"]), []).append(r["vector"])
     pivots = {k: _unit(pa.array(v, pa.list_(pa.float64())), k[1]) for k, v in listed.items()}
-    fields = "label long, dim int, region int, home boolean, rep long, size long, vector array<double>"
-    placed = stage(classes.select("label", "dim", "rep", "size", "vector").mapInArrow(_regions(pivots, threshold), fields), "regions")
+    links = stage(window_links(classes, threshold, passes, neighbours), "window_links")
+    clusters = components(links).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    told = classes.join(clusters, "rep", "left").select("label", "dim", "rep", "size", F.coalesce("cluster", "rep").alias("cluster"), "vector")
+    fields = "label long, dim int, region int, home boolean, rep long, size long, cluster long, vector array<double>"
+    placed = stage(told.mapInArrow(_regions(pivots, threshold), fields), "regions")
     group = ["label", "dim", "region"]
     sizes = placed.groupBy(*group).agg((F.floor((F.count(F.lit(1)) - 1) / block) + 1).cast("int").alias("blocks"))
     members = placed.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = members.select(*group, "block", "home", "rep", "size", "vector", other.alias("other"))
+    spread = members.select(*group, "block", "home", "rep", "size", "cluster", "vector", other.alias("other"))
     dealt = [*group, "i", "j"]
-    spread = spread.select(*group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "home", "rep", "size", "vector")
+    spread = spread.select(*group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "home", "rep", "size", "cluster", "vector")
     spread = spread.repartition(*dealt).sortWithinPartitions(*dealt)
     compared = stage(spread.mapInArrow(_compare(threshold), "src long, links long, dst long"), "compared")
-    found = stage(components(compared.where("dst IS NOT NULL").select("src", "dst")).withColumnRenamed("id", "rep"), "clusters")
+    found = stage(components(links.unionAll(compared.where("dst IS NOT NULL").select("src", "dst"))).withColumnRenamed("id", "rep"), "clusters")
     degrees = compared.groupBy(F.col("src").alias("rep")).agg(F.sum("links").alias("links"))
     answer = classes.select(*same, "rep", "size").join(found, "rep", "left").join(degrees, "rep", "left")
     answer = stage(answer.select(*same, "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component")), "answer")
