@@ -2,12 +2,14 @@
 
 1. Every text is reduced to its SHA-256 digest inside the JVM; only ``(row key, digest)`` is kept.
 2. A Misra-Gries summary of each partition finds digests that may be frequent; the summaries are
-   merged by summing.  A digest that holds more than 1/(capacity+1) of all rows survives in at
-   least one summary, so no group that large can be missed.
+   merged by summing, and the ``capacity`` largest sums are candidates.  No digest of more than
+   1/(capacity+1) of all rows can be missed: each summary has lost at most 1/(capacity+1) of the rows
+   that it does not hold, so such a digest's sum exceeds the (capacity+1)-th largest.
 3. The candidates are counted exactly (a broadcast semi join and a map-side combined aggregate)
    and only verified winners are kept.
 4. Winners are broadcast: their rows get their answer on the map side and are never shuffled.
-   All other digests form small groups and take an ordinary shuffle.
+   All other digests are aggregated with map-side combination and joined back, so no task holds
+   the rows of a group.
 
 The broadcast is bounded by ``capacity`` rows of about 80 bytes, whatever the input size.
 """
@@ -17,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaweave.runtime import ship, stage, table
@@ -73,26 +75,29 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", capaci
     Of equal texts the row with the largest key stays.  Repeated rows with the same key and text
     are one document in several copies: each counts in ``group_size`` and all have ``kept`` true
     if they hold the largest key.  A null key never wins over another key; a group of only null
-    keys keeps no id and its rows have ``kept`` true.  Extra columns are ignored.  An empty table
-    gives an empty result.
+    keys keeps no id and its rows have ``kept`` true.  Extra columns of any name are ignored.  An
+    empty table gives an empty result.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    digests = stage(docs.select(F.col(key).alias(key), F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest")), "digests")
-    winners = heavy_winners(digests, key, capacity, least)
+    digests = stage(docs.select(F.col(key).alias("id"), _digest(F.col(text)).alias("digest")), "digests")
+    winners = heavy_winners(digests, "id", capacity, least)
     tagged = digests.join(F.broadcast(winners), "digest", "left")
     heavy = tagged.where("group_size IS NOT NULL")
-    same = Window.partitionBy("digest")
-    light = tagged.where("group_size IS NULL").withColumns({"keep_id": F.max(key).over(same), "group_size": F.count(F.lit(1)).over(same)})
-    rows = heavy.select(key, "digest", "keep_id", "group_size").unionAll(light.select(key, "digest", "keep_id", "group_size"))
+    light = tagged.where("group_size IS NULL").select("id", "digest")
+    groups = light.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rows = heavy.select("id", "digest", "keep_id", "group_size").unionAll(light.join(groups, "digest").select("id", "digest", "keep_id", "group_size"))
     return rows.select(
-        key,
+        F.col("id").alias(key),
         "keep_id",
         "group_size",
-        F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents."""
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -109,7 +114,11 @@ FROM documents
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text stays under a larger key; columns and repeated rows as they are."""
-    gone = exact_dedup(docs, key, text).where(~F.col("kept")).select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha")).distinct()
-    own = docs.withColumn("_own", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    return own.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_sha")), "left_anti").drop("_own")
+    """``docs`` without the rows whose text stays under a larger key; columns of any name and repeated rows as they are.
+
+    Null and empty texts are one group; a group of only null keys stays whole.
+    """
+    found = exact_dedup(docs.select(F.col(key).alias("id"), F.col(text).alias("body")), "id", "body")
+    gone = found.where(~F.col("kept")).select("id", F.unhex("text_sha256").alias("digest")).distinct()
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), _digest(F.col(text)).alias("digest"))
+    return own.alias("a").join(gone.alias("b"), F.expr("a.id <=> b.id AND a.digest = b.digest"), "left_anti").select(*[F.col("a.row")[c].alias(c) for c in docs.columns])
