@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from deltaweave.llm.tokens import slices
 from deltaweave.runtime import ship, stage, table
@@ -145,8 +146,8 @@ def fit_weights(rows: list[list[int]], labels: list[int], pairs: list[tuple[list
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN) -> dict:
     """The model ``{"bias", "weights": feature -> weight}`` from labelled documents that are not held out.
 
-    Rows without a label or text, and keys with contradicting labels beyond the first, do no harm;
-    with no usable row the score of every text is 0.05.
+    Rows without a label are left out, null texts count as empty, and a key with contradicting labels
+    counts as toxic; with no usable row the score of every text is 0.05.
     """
     ship(docs.sparkSession)
     usable = labels.where(~held_out(F.col(key)) & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max("toxic").alias("label"))
@@ -200,25 +201,35 @@ def score_texts(texts: pa.StringArray, model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(score, -500, 500)))
 
 
-def _score(model: dict):
+def _score(model: dict, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            scores = pa.array(score_texts(batch.column(batch.schema.get_field_index("text")), model), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
+        for batch in batches:
+            for part in slices([batch], batch.schema.names[at]):
+                scores = pa.array(score_texts(part.column(at), model), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, "score"])
 
     return run
 
 
+def _scored(docs: DataFrame, model: dict, text: str) -> DataFrame:
+    """``docs`` with columns ``c0``, ``c1`` and so on, in order, and ``score``."""
+    ship(docs.sparkSession)
+    source = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return source.mapInArrow(_score(model, docs.columns.index(text)), StructType([*source.schema.fields, StructField("score", DoubleType())]))
+
+
+def _named(scored: DataFrame, names: list[str]) -> list[Column]:
+    return [F.col(f"c{i}").alias(name) for i, name in enumerate(names)]
+
+
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """``docs`` with a ``score`` column (an own column of that name is replaced).
 
-    Null texts count as empty and get the score of an empty text; repeated rows and null keys are
-    scored like any other; an empty table gives an empty result.
+    Null texts count as empty and get the score of an empty text; repeated rows, null keys and extra
+    columns of any name pass as they are; an empty table gives an empty result.
     """
-    ship(docs.sparkSession)
-    source = docs.drop("score").withColumnRenamed(text, "text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    return source.mapInArrow(_score(model), f"{fields}, score double").withColumnRenamed("text", text)
+    scored = _scored(docs, model, text)
+    return scored.select(*[c for c, name in zip(_named(scored, docs.columns), docs.columns) if name != "score"], "score")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,6 +241,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:
-    """``docs`` without the rows that score ``cut`` or more under a model learnt from ``labels``."""
-    scored = score(docs, fit(docs, labels, key, text), text)
-    return scored.where(F.col("score") < cut).select(*docs.columns)
+    """``docs`` without the rows that score ``cut`` or more under a model learnt from ``labels``.
+
+    All columns, whatever their names, repeated rows, null texts and null keys pass as they are.
+    """
+    scored = _scored(docs, fit(docs, labels, key, text), text)
+    return scored.where(F.col("score") < cut).select(*_named(scored, docs.columns))
