@@ -130,17 +130,20 @@ def _stitch(path: str, pattern: str):
 def byte_bpe(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Encode and decode every whole text: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
-    Null texts count as empty (no tokens).  Repeated rows, null keys and extra columns are allowed;
-    one row comes back for each row.
+    Null texts count as empty (no tokens).  Repeated rows, null keys and extra columns of any name are
+    allowed; one row comes back for each row, none for an empty table.
     """
+    if overlap > chunk:
+        raise ValueError("chunks may overlap by their own length at most")
     ship(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     long_ = F.coalesce(F.length("text"), F.lit(0)) > chunk
     short = source.where(~long_).mapInArrow(_whole(path, pattern), _SHORT)
     many = F.ceil(F.length("text") / F.lit(chunk)).cast("int")
     cut = source.where(long_).withColumn("row", F.monotonically_increasing_id()).withColumn("many", many)
-    piece = lambda i: F.substring("text", i * chunk + 1, F.lit(chunk + overlap))
-    parts = cut.select("row", "doc_id", "many", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("many") - 1), piece)).alias("number", "part"))
+    pieces = cut.select("row", "doc_id", "many", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}+"), F.lit(0)).alias("pieces"))  # one pass over the text
+    tail = lambda i: F.substring(F.coalesce(F.get("pieces", i + 1), F.lit("")), F.lit(1), F.lit(overlap))
+    parts = pieces.select("row", "doc_id", "many", F.posexplode(F.transform("pieces", lambda piece, i: F.concat(piece, tail(i)))).alias("number", "part"))
     parts = parts.select("row", "doc_id", "number", "many", F.col("part").alias("text")).repartition("row", "number")
     coded = stage(parts.mapInArrow(_chunks(path, pattern, chunk), "row long, doc_id long, number int, many int, ids binary"), "chunks")
     grouped = coded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("ids").alias("n"), F.first("many").alias("many"), F.sort_array(F.collect_list(F.struct("number", "ids"))).alias("parts"))
