@@ -2,8 +2,9 @@
 
 Each level maps every node to the neighbour (or itself) of least random priority, contracts the
 edges along that map and repeats on the smaller graph.  Every level is a durable table; no level
-collects nodes or edges to the driver, and groups are only reduced by map-side combinable
-aggregates, so a hub node costs one partial row per task.
+collects nodes or edges to the driver.  Groups are only reduced by map-side combinable aggregates,
+and joins deal the rows of hubs over many tasks.  The maps are composed from the smallest graph
+upwards.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltaweave.llm.hot import hot_keys, join_hot
 from deltaweave.runtime import stage
 
 
@@ -34,18 +36,22 @@ def components(edges: DataFrame) -> DataFrame:
         level += 1
         both = live.select("src", "dst").unionAll(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         priority = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(level)).alias("p"), F.col(c).alias("v"))
-        best = both.groupBy("src").agg(F.min(priority("dst")).alias("near"))
+        best = both.groupBy("src").agg(F.min(priority("dst")).alias("near"), F.count(F.lit(1)).alias("n"))
         own = priority("src")
-        parent = stage(best.select(F.col("src").alias("id"), F.least(F.col("near"), own)["v"].alias("parent")), f"parent{level}")
-        maps.append(parent)
+        parent = stage(best.select(F.col("src").alias("id"), F.least(F.col("near"), own)["v"].alias("parent"), "n"), f"parent{level}")
+        maps.append(parent.select("id", "parent"))
+        hot = hot_keys(parent, "id")
         left = parent.select(F.col("id").alias("src"), F.col("parent").alias("a"))
         right = parent.select(F.col("id").alias("dst"), F.col("parent").alias("b"))
-        moved = live.join(left, "src").join(right, "dst").where("a <> b")
+        moved = join_hot(join_hot(live, left, ["src"], hot, "dst"), right, ["dst"], hot, "src").where("a <> b")
         current = stage(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), f"edges{level}")
-    labels = nodes.select("id", F.col("id").alias("root"))
-    for parent in maps:
-        step = parent.select(F.col("id").alias("root"), "parent")
-        labels = labels.join(step, "root", "left").select("id", F.coalesce("parent", "root").alias("root"))
-    labels = stage(labels, "roots") if maps else labels
-    least = labels.groupBy("root").agg(F.min("id").alias("component"))
-    return labels.join(least, "root").select("id", "component")
+    if not maps:
+        return nodes.select("id", F.col("id").alias("component"))
+    root = maps[-1].select("id", F.col("parent").alias("root"))
+    for parent in maps[-2::-1]:
+        hot = hot_keys(parent.groupBy("parent").agg(F.count(F.lit(1)).alias("n")), "parent")
+        above = root.select(F.col("id").alias("parent"), "root")
+        root = join_hot(parent, above, ["parent"], hot, "id", "left").select("id", F.coalesce("root", "parent").alias("root"))
+    labels = stage(nodes.join(root, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
+    least = stage(labels.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n")), "least")
+    return join_hot(labels, least.select("root", "component"), ["root"], hot_keys(least, "root"), "id").select("id", "component")

@@ -12,7 +12,7 @@ region's boundary; the first level therefore uses shingles as pivots.
    lost.
 3. Pivots.  Each region's pivot is one of its classes; every other class is verified against it.
    Verified pairs make components; a region whose classes are in one component is done.
-4. Remaining regions are joined recursively: members are embedded as counts of shingles per hash
+4. Remaining regions (larger ones in pairs of bounded blocks dealt over tasks) are joined recursively: members are embedded as counts of shingles per hash
    bucket, whose L1 distance never exceeds the symmetric difference; two far members are pivots of
    Voronoi cells, the triangle inequality replicates the members near the boundary to both cells.
    Each region passes on a spanning forest of the pairs that the embedding can't exclude.
@@ -21,8 +21,9 @@ region's boundary; the first level therefore uses shingles as pivots.
    every |x - y| exactly) and compared, in pairs of bounded blocks dealt over tasks, between different components
    only; each task passes on a spanning forest of the links, so no group sends all its pairs.
 
-Whole sets are made only for classes of pairs that the embedding leaves (found through a Bloom filter of bounded
-size, whose false hits only cost time).  Nothing is sampled or capped.
+Whole sets are made only for classes of pairs that the embedding leaves: found through a Bloom filter
+of bounded size, whose false hits only cost time, or by a join if there are too many for it.  Joins
+deal the rows of hot classes, pivots and clusters over many tasks.  Nothing is sampled or capped.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 
 from deltaweave.llm.components import components
 from deltaweave.llm.groups import runs
+from deltaweave.llm.hot import hot_keys, join_hot
 from deltaweave.llm.tokens import slices
 from deltaweave.llm.wordhash import hashes, inside, mix, rolling, words_of
 from deltaweave.runtime import ship, shuffle_width, stage, table
@@ -47,8 +49,10 @@ SIGNATURE, SIGNATURE_MOST, LEAF, BLOCK = 64, 8192, 48, 256
 #: Frequent shingles that are told from the others (at most, by documents seen), per task slice and in all.
 HOT_SLICE, HOT, HOT_LEAST = 2000, 50_000, 40
 BLOOM_LEAST, BLOOM_MOST = 1 << 16, 1 << 26
-#: Characters of text for each bucket of regions.
-BUCKET_CHARS = 16_000_000
+#: Characters of text for each bucket of regions; the most shuffle partitions, each of which takes many buckets one by one.
+BUCKET_CHARS, MOST_PARTITIONS = 32_000_000, 1 << 14
+#: Members of a region that one task joins; larger regions are dealt in pairs of blocks.
+REGION = 2000
 
 
 class Sets:
@@ -139,18 +143,18 @@ def _describe(width: int, percent: int):
             n = sets.many
             signatures = pa.array(sets.signatures(percent), pa.binary())
             empty = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.size), pa.array(sets.classes()), signatures, empty, empty], _DESCRIBED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets.size), pa.array(sets.classes()), signatures, empty, empty], _DESCRIBED)
             low = np.arange(len(sets.value)) - sets.start[sets.of] < 2 * reach(sets.size, percent)[sets.of]
             value, seen = np.unique(sets.value[low], return_counts=True)
             often = np.flatnonzero(seen > 1)
             often = often[np.argsort(-seen[often], kind="stable")[:HOT_SLICE]]
             nothing = pa.nulls(len(often), pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(often), pa.binary()), pa.array(value[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], _DESCRIBED)
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.nulls(len(often), pa.binary()), pa.array(value[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], _DESCRIBED)
 
     return run
 
 
-_DESCRIBED = ["id", "n", "class", "signature", "shingle", "seen"]
+_DESCRIBED = ["id", "tag", "n", "class", "signature", "shingle", "seen"]
 
 
 def _regions(width: int, percent: int, hot: bytes, buckets: int):
@@ -343,9 +347,9 @@ def region_forest(label: np.ndarray, size: np.ndarray, signatures: list[np.ndarr
 
 def _in_regions(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table_, edges in runs(batches, 1):
-            classes, label, size = (np.asarray(table_.column(i).combine_chunks(), np.int64) for i in (1, 2, 3))
-            signatures = unpack(table_.column(4))
+        for table_, edges in runs(batches, 3):
+            classes, label, size = (np.asarray(table_.column(i).combine_chunks(), np.int64) for i in (3, 4, 5))
+            signatures = unpack(table_.column(6))
             found = set()
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 for x, y in region_forest(label[a:b], size[a:b], signatures[a:b], percent):
@@ -428,90 +432,116 @@ def _blocks(percent: int):
     return run
 
 
+def block_pairs(inside_: DataFrame, block: int, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(group, class, label, block)``, ``(group, block)`` and ``(group, i, j, block)``: blocks of about ``block`` classes, and their pairs.
+
+    All pairs of classes with different labels meet in at least one pair of blocks.  A large label has
+    blocks of its own, which need no comparison among themselves; small ones share blocks.
+    """
+    parts = inside_.groupBy("group", "label").agg(F.count(F.lit(1)).alias("m"))
+    parts = parts.select("group", "label", F.when(F.col("m") >= block // 2, F.concat(F.lit("c"), F.col("label"))).otherwise("shared").alias("part"), "m")
+    parts = stage(parts, f"{name}_parts")
+    hot = hot_keys(parts.groupBy("group").agg(F.sum("m").alias("n")), "group")
+    widths = parts.groupBy("group", "part").agg((F.floor((F.sum("m") - 1) / block) + 1).cast("int").alias("blocks"))
+    number = lambda i: F.xxhash64("group", "part", i)
+    blocks = widths.select("group", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("group", "part", number(F.col("i")).alias("block"))
+    blocks = stage(blocks, f"{name}_blocks")
+    other = blocks.select("group", F.col("part").alias("other_part"), F.col("block").alias("other"))
+    pairs = blocks.join(other, "group").where("block <= other AND (part <> other_part OR part = 'shared')").select("group", F.col("block").alias("i"), F.col("other").alias("j"))
+    ends = pairs.select("group", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    whole = parts.join(widths, ["group", "part"]).select("group", "label", "part", "blocks")
+    dealt = join_hot(inside_, whole, ["group", "label"], hot, "class")
+    dealt = dealt.select("group", "class", "label", number(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).alias("block"))
+    return stage(dealt, f"{name}_dealt"), stage(blocks.select("group", "block"), f"{name}_all"), ends
+
+
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``id, n, class, component`` per row: ``component`` is the smallest id reachable by links.
+    """``id, tag, n, class, component`` per row: ``component`` is the smallest id reachable by links.
 
     Links join sets whose intersection is at least ``percent`` hundredths of their union.  Texts
     without words (or null) have the empty set and link with nothing; so do rows with a null key.
-    Rows that share a key are separate nodes of their classes.  Extra columns are ignored; an empty
-    table gives an empty result.
+    Rows that share a key are separate nodes of their classes, told apart by ``tag``, a hash of the
+    text.  Extra columns of any name are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    told = stage(rows.mapInArrow(_describe(width, percent), "id long, n long, class long, signature binary, shingle long, seen long"), "described")
-    described = told.where("n IS NOT NULL").select("id", "n", "class", "signature")
+    tagged = rows.select("id", "text", F.xxhash64("text").alias("tag"))
+    told = stage(tagged.mapInArrow(_describe(width, percent), "id long, tag long, n long, class long, signature binary, shingle long, seen long"), "described")
+    described = told.where("n IS NOT NULL").select("id", "tag", "n", "class", "signature")
     hot_rows = told.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= HOT_LEAST)
     hot = hot_rows.orderBy(F.desc("seen"), "shingle").limit(HOT).select("shingle").collect()
     late = np.sort(np.array([r["shingle"] for r in hot], np.int64).view(np.uint64)).tobytes()
-    classes = described.where("n > 0 AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    classes = described.where("n > 0 AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("copies"))
     classes = stage(classes, "classes")
 
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(shuffle_width(spark), -(-chars // BUCKET_CHARS))
-    entries = rows.where("id IS NOT NULL").mapInArrow(_regions(width, percent, late, buckets), "bucket int, keys binary, classes binary").repartition(buckets, "bucket")
+    entries = rows.where("id IS NOT NULL").mapInArrow(_regions(width, percent, late, buckets), "bucket int, keys binary, classes binary").repartition(min(buckets, MOST_PARTITIONS), "bucket")
     members = stage(entries.groupBy("bucket").applyInArrow(_shared, "pivot long, class long").distinct(), "members")
+    hot_pivots = hot_keys(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")), "pivot")
 
     def whole(wanted: DataFrame, name: str) -> DataFrame:
         """``class, members`` of the wanted classes (and of a few others), one row each."""
         ids = stage(wanted.join(classes.select("class", "id"), "class").select("id"), f"{name}_ids")
-        flags, bits = bloom_filter(ids, ids.count())
-        sets = rows.mapInArrow(_whole_sets(width, flags, bits), "class long, members binary").withColumn("row", F.monotonically_increasing_id())
-        sets = stage(sets, f"{name}_sets")
+        count = ids.count()
+        if 16 * count <= BLOOM_MOST:
+            sets = rows.mapInArrow(_whole_sets(width, *bloom_filter(ids, count)), "class long, members binary")
+        else:
+            every = np.full(BLOOM_LEAST // 8, 255, np.uint8).tobytes()
+            sets = rows.join(ids, "id", "left_semi").mapInArrow(_whole_sets(width, every, BLOOM_LEAST), "class long, members binary")
+        sets = stage(sets.withColumn("row", F.monotonically_increasing_id()), f"{name}_sets")
         one_each = sets.groupBy("class").agg(F.min("row").alias("row"))  # repeated rows and false hits of the filter
         return sets.join(one_each.select("row"), "row", "left_semi").select("class", "members")
 
     of = lambda x, n, c: classes.select(F.col("class").alias(x), F.col(c).alias(n))
+    with_pivot = lambda pairs, lookup: join_hot(pairs, lookup, ["a"], hot_pivots, "b")
     stars = members.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-    stars = stars.join(of("a", "na", "n"), "a").join(of("b", "nb", "n"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    stars = stars.join(of("a", "sa", "signature"), "a").join(of("b", "sb", "signature"), "b")  # only pairs of fitting sizes carry counts
+    stars = with_pivot(stars, of("a", "na", "n")).join(of("b", "nb", "n"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    stars = with_pivot(stars, of("a", "sa", "signature")).join(of("b", "sb", "signature"), "b")  # only pairs of fitting sizes carry counts
     stars = stars.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_bounded(percent), "a long, b long")
     stars = stage(stars, "stars")
     sets = whole(stars.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "star")
-    full = stars.join(sets.select(F.col("class").alias("a"), F.col("members").alias("x")), "a")
+    full = with_pivot(stars, sets.select(F.col("class").alias("a"), F.col("members").alias("x")))
     full = full.join(sets.select(F.col("class").alias("b"), F.col("members").alias("y")), "b")
     links = stage(full.select("a", "b", "x", "y").mapInArrow(_verified(percent), "src long, dst long"), "star_links")
-    label = components(links).select(F.col("id").alias("class"), F.col("component").alias("label"))
+    label = stage(components(links).select(F.col("id").alias("class"), F.col("component").alias("label")), "labels")
 
     marked = members.join(label, "class", "left").select("pivot", "class", F.coalesce("label", "class").alias("label"))
     marked = stage(marked, "marked")
-    mixed = marked.groupBy("pivot").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("m")).where("p <> q AND m > 2").select("pivot")
-    rest = marked.where("class <> pivot").join(mixed, "pivot").join(classes.select("class", "n", "signature"), "class")
-    rest = rest.select("pivot", "class", "label", "n", "signature").repartition("pivot").sortWithinPartitions("pivot")
-    maybe = stage(rest.mapInArrow(_in_regions(percent), "a long, b long").distinct(), "maybe")
+    mixed = marked.groupBy("pivot").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("m")).where("p <> q AND m > 2").select("pivot", "m")
+    rest = stage(join_hot(marked.where("class <> pivot"), mixed, ["pivot"], hot_pivots, "class"), "rest")
+    described_as = classes.select("class", "n", "signature")
+    zero = F.lit(0).cast("long")
+    parts = rest.where(F.col("m") <= REGION).select(F.col("pivot").alias("group"), zero.alias("i"), zero.alias("j"), "class", "label")
+    large = rest.where(F.col("m") > REGION).select(F.col("pivot").alias("group"), "class", "label")
+    if not large.isEmpty():
+        dealt, _, ends = block_pairs(large, REGION // 2, "regions")
+        parts = parts.unionAll(dealt.join(ends, ["group", "block"]).select("group", "i", "j", "class", "label"))
+    parts = parts.join(described_as, "class").select("group", "i", "j", "class", "label", "n", "signature").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    maybe = stage(parts.mapInArrow(_in_regions(percent), "a long, b long").distinct(), "maybe")
     cluster = stage(components(links.unionAll(maybe)).select(F.col("id").alias("class"), F.col("component").alias("cluster")), "cluster")
+    hot_clusters = hot_keys(cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster")
     open_ = cluster.join(maybe.select(F.col("a").alias("class")).distinct(), "class").select("cluster").distinct()
-    inside_ = stage(cluster.join(open_, "cluster").join(label, "class", "left").select("cluster", "class", F.coalesce("label", "class").alias("label")), "open")
-    # a large component has blocks of its own, which need no comparison among themselves; small ones share blocks
-    parts = inside_.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("m"))
-    parts = parts.select("cluster", "label", F.when(F.col("m") >= BLOCK // 2, F.concat(F.lit("c"), F.col("label"))).otherwise("shared").alias("part"), "m")
-    parts = stage(parts, "parts")
-    widths = parts.groupBy("cluster", "part").agg((F.floor((F.sum("m") - 1) / BLOCK) + 1).cast("int").alias("blocks"))
-    number = lambda i: F.xxhash64("cluster", "part", i)
-    blocks = widths.select("cluster", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("cluster", "part", number(F.col("i")).alias("block"))
-    blocks = stage(blocks, "blocks")
-    other = blocks.select("cluster", F.col("part").alias("other_part"), F.col("block").alias("other"))
-    pairs = blocks.join(other, "cluster").where("block <= other AND (part <> other_part OR part = 'shared')").select("cluster", F.col("block").alias("i"), F.col("other").alias("j"))
-    ends = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    dealt = inside_.join(parts.select("cluster", "label", "part"), ["cluster", "label"]).join(widths, ["cluster", "part"])
-    dealt = dealt.select("cluster", "class", "label", number(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).alias("block"))
+    inside_ = join_hot(cluster, open_, ["cluster"], hot_clusters, "class").join(label, "class", "left")
+    inside_ = stage(inside_.select(F.col("cluster").alias("group"), "class", F.coalesce("label", "class").alias("label")), "open")
+    dealt, blocks, ends = block_pairs(inside_, BLOCK, "clusters")
     sets = whole(inside_.select("class"), "open")
-    heads = inside_.groupBy("cluster").agg(F.min("class").alias("class")).join(sets, "class").select("cluster", "members")
-    none = F.lit(0).cast("long")
-    heads = blocks.select("cluster", "block").join(heads, "cluster").select("cluster", "block", F.lit(0).alias("rank"), none.alias("class"), none.alias("label"), "members")
-    rows_ = dealt.join(sets, "class").select("cluster", "block", F.lit(1).alias("rank"), "class", "label", "members")
-    apart = heads.unionAll(rows_).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "rank")
-    apart = apart.mapInArrow(_differences, "cluster long, block long, class long, label long, size long, apart binary")
-    spread = apart.join(ends, ["cluster", "block"]).select("cluster", "i", "j", "block", "class", "label", "size", "apart")
-    spread = spread.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    heads = inside_.groupBy("group").agg(F.min("class").alias("class")).join(sets, "class").select("group", "members")
+    heads = blocks.join(heads, "group").select("group", "block", F.lit(0).alias("rank"), zero.alias("class"), zero.alias("label"), "members")
+    rows_ = dealt.join(sets, "class").select("group", "block", F.lit(1).alias("rank"), "class", "label", "members")
+    apart = heads.unionAll(rows_).repartition("group", "block").sortWithinPartitions("group", "block", "rank")
+    apart = apart.mapInArrow(_differences, "cluster long, block long, class long, label long, size long, apart binary").withColumnRenamed("cluster", "group")
+    spread = apart.join(ends, ["group", "block"]).select("group", "i", "j", "block", "class", "label", "size", "apart")
+    spread = spread.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
     more = stage(spread.mapInArrow(_blocks(percent), "src long, dst long"), "more_links")
-    found = components(links.unionAll(more)).select(F.col("id").alias("class"), F.col("component").alias("root"))
-    least = found.join(classes.select("class", "id"), "class").groupBy("root").agg(F.min("id").alias("component"))
-    answer = classes.select("class", "id").join(found, "class", "left").join(least, "root", "left")
-    answer = stage(answer.select("class", F.coalesce("component", "id").alias("component")), "answer")
-    real = described.where("n > 0 AND id IS NOT NULL").join(answer, "class").select("id", "n", "class", "component")
-    alone = described.where("n = 0 OR id IS NULL").select("id", "n", "class", F.col("id").alias("component"))
-    return real.unionAll(alone)
+    found = stage(components(links.unionAll(more)).select(F.col("id").alias("class"), F.col("component").alias("root")), "found")
+    least = stage(found.join(classes.select("class", "id"), "class").groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n")), "least_ids")
+    linked = join_hot(found, least.select("root", "component"), ["root"], hot_keys(least, "root"), "class").select("class", "component")
+    answer = stage(classes.select("class", "id", "copies").join(linked, "class", "left").select("class", "copies", F.coalesce("component", "id").alias("component")), "answer")
+    real = join_hot(described.where("n > 0 AND id IS NOT NULL"), answer.select("class", "component"), ["class"], hot_keys(answer, "class", "copies"), "id")
+    alone = described.where("n = 0 OR id IS NULL").select("id", "tag", "n", "class", F.col("id").alias("component"))
+    return real.select("id", "tag", "n", "class", "component").unionAll(alone)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -521,6 +551,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document, that of the smallest key, of each group of near-duplicates."""
-    gone = jaccard_classes(docs, key, text, width, percent).where("id <> component").select(F.col("id").alias("_id")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_id"), "left_anti")
+    """``docs`` with one document, that of the smallest key, of each group of near-duplicates.
+
+    Rows without words or with a null key are in no group and stay; repeated rows of a key that stays
+    all stay; of rows that share a key, only those whose own text goes are dropped.  Columns of any
+    name pass as they are.
+    """
+    gone = jaccard_classes(docs, key, text, width, percent).where("id <> component").select("id", "tag").distinct()
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("tag"))
+    return own.join(gone, ["id", "tag"], "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])

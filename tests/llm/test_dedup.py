@@ -5,8 +5,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
-from deltaweave.llm import embedding_dedup, exact_dedup, jaccard_join, substring_dedup
+from deltaweave.llm import embedding_dedup, exact_dedup, hot, jaccard_join, substring_dedup
 from deltaweave.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,6 +46,7 @@ def union(ids, pairs):
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)]
+    pairs += [(2000, 2001 + i) for i in range(300)] + [(2150, 3000 + i) for i in range(100)] + [(5000, 5000)]  # hubs and a loop
     ids = {x for p in pairs for x in p}
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
     assert got == union(ids, pairs)
@@ -69,17 +71,19 @@ def test_misra_gries_finds_frequent_items():
     assert b"x" in exact_dedup.misra_gries(iter(items), 4)
 
 
-def test_jaccard_join(spark):
+@pytest.mark.parametrize("width, percent, region, least", [(3, 90, 2000, 64), (5, 80, 6, 2)])
+def test_jaccard_join(spark, monkeypatch, width, percent, region, least):
+    monkeypatch.setattr(jaccard_join, "REGION", region)
+    monkeypatch.setattr(hot, "HOT_LEAST", least)
     rows = texts()
-    for width, percent in ((3, 90), (5, 80)):
-        sets = {}
-        for i, t in rows:
-            words = WORD.findall(re.sub("[A-Z]", lambda m: m.group(0).lower(), t or ""))
-            sets[i] = {tuple(words[k : k + width]) for k in range(len(words) - width + 1)} if len(words) >= width else ({tuple(words)} if words else set())
-        pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-        want = union(sets, pairs)
-        got = {r["id"]: (r["n"], r["component"]) for r in jaccard_join.jaccard_classes(frame(spark, rows), width=width, percent=percent).collect()}
-        assert got == {i: (len(s), want[i]) for i, s in sets.items()}
+    sets = {}
+    for i, t in rows:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m.group(0).lower(), t or ""))
+        sets[i] = {tuple(words[k : k + width]) for k in range(len(words) - width + 1)} if len(words) >= width else ({tuple(words)} if words else set())
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    want = union(sets, pairs)
+    got = {r["id"]: (r["n"], r["component"]) for r in jaccard_join.jaccard_classes(frame(spark, rows), width=width, percent=percent).collect()}
+    assert got == {i: (len(s), want[i]) for i, s in sets.items()}
 
 
 def test_region_forest_joins_what_all_pairs_join():
