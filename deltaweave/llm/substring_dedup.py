@@ -14,7 +14,8 @@ whole block of ``BLOCK`` words that starts at a multiple of ``BLOCK`` (2 * BLOCK
 3. Remove.  Words that a repeated window covers are dropped from the text.
 
 No pairs of documents are formed, nothing is capped, and no group of occurrences meets in one task
-other than as one entry per task.  Bucket counts grow with the text.
+other than as one entry per task.  The number of buckets grows with the text, that of shuffle
+partitions up to ``MOST_PARTITIONS``; a task takes its buckets one by one from a sorted shuffle.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from deltaweave.llm.wordhash import hashes, inside, rolling, words_of
 from deltaweave.runtime import ship, shuffle_width, stage, table
 
 BLOCK, WINDOW = 10, 20
-#: Characters of text for each bucket.
-BUCKET_CHARS = 8_000_000
+#: Characters of text for each bucket; the most shuffle partitions, each of which takes many buckets one by one.
+BUCKET_CHARS, MOST_PARTITIONS = 8_000_000, 1 << 14
 
 _DEALT = "bucket int, batch long, kind int, a binary, b binary, c binary"
 _ROWS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -262,13 +263,14 @@ def repeated_parts(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(shuffle_width(spark), -(-chars // BUCKET_CHARS))
-    probes = rows.mapInArrow(_probe(buckets, block, window), _DEALT).repartition(buckets, "bucket")
+    width = min(buckets, MOST_PARTITIONS)
+    probes = rows.mapInArrow(_probe(buckets, block, window), _DEALT).repartition(width, "bucket")
     hits = stage(probes.groupBy("bucket").applyInArrow(_meet, _BACK_SQL), "hits")
     flags = hits.groupBy("batch").applyInArrow(_collect, "key long, tag long, places binary").groupBy("key", "tag").agg(F.max("places").alias("places"))
     small = F.lit(int(np.iinfo(np.int64).min))
     marked = rows.withColumn("k", F.coalesce("key", small)).join(flags.withColumnRenamed("key", "k"), ["k", "tag"])
     marked = stage(marked.select("key", "tag", "text", "places"), "marked")
-    windows = marked.mapInArrow(_windows(buckets, block, window), _DEALT).repartition(buckets, "bucket")
+    windows = marked.mapInArrow(_windows(buckets, block, window), _DEALT).repartition(width, "bucket")
     later = stage(windows.groupBy("bucket").applyInArrow(_repeats, _BACK_SQL), "repeats")
     gone = later.groupBy("batch").applyInArrow(_collect, "key long, tag long, places binary").groupBy("key", "tag").agg(F.max("places").alias("places"))
     texts = marked.select("key", "tag", "text").dropDuplicates(["key", "tag"]).withColumn("k", F.coalesce("key", small))
