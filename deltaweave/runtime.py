@@ -7,7 +7,9 @@ lost executor never loses an intermediate result and lineage is cut at a durable
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +17,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Folders of staged tables by application, until they are released.
+_staged: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,16 +49,25 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it back.
 
-    The written table replaces the lineage of ``df``; it is deleted when the driver ends.
+    The written table replaces the lineage of ``df``; it is deleted by ``release`` or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/deltaweave/{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/deltaweave/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    _delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _delete_on_exit(spark, folder)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    writer.parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all staged tables of this application: call it when every result that reads them has been used."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in _staged.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -63,7 +76,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="deltaweave-code-"), "deltaweave.zip")
+    folder = tempfile.mkdtemp(prefix="deltaweave-code-")  # Spark serves the file from here while the driver runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "deltaweave.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
         for folder, _, files in os.walk(root):
             for name in files:
