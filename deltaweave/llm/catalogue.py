@@ -1,6 +1,6 @@
 """The registered queries of this subpackage."""
 
-from deltaweave.llm import byte_bpe, embedding_dedup, exact_dedup, jaccard_join, packing, pii, secrets, substring_dedup, token_store, toxicity
+from deltaweave.llm import byte_bpe, embedding_dedup, exact_dedup, jaccard_join, oracles, packing, pii, secrets, substring_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -14,4 +14,9 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_embedding_dedup": oracles.EMBEDDINGS,
+    "op7_substring_dedup": oracles.SUBSTRINGS,
+    "op10_jaccard_join": oracles.JACCARD,
+}
