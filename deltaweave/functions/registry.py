@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from deltaweave.functions import sorts
+from deltaweave.operators.divide import split_int
 
 
 @dataclass(frozen=True)
@@ -28,34 +29,60 @@ class TypeMethods:
 def apply_column(sort: sorts.Sort, current: Column, update: Column) -> Column:
     """An update acting on a column of the sort; a null update changes nothing."""
     if sort.kind in ("integer", "float", "delta"):
-        return current + F.coalesce(update, F.lit(0))
+        return F.coalesce(current, F.lit(0)) + F.coalesce(update, F.lit(0))
     if sort.kind == "const":
         return current
-    if sort.kind == "array" and len(sort.values) < 2:
-        added = F.zip_with(current, update, lambda a, b: apply_column(sort.args[0], a, b))
+    if sort.kind == "maybe":
+        return F.when(current.isNull(), update).otherwise(apply_column(sort.args[0], current, update))
+    if sort.kind == "array":
+        below = sorts.Sort("array", sort.args, values=sort.values[1:]) if len(sort.values) > 1 else sort.args[0]
+        added = F.zip_with(current, update, lambda a, b: apply_column(below, a, b))
         return F.when(F.size(current) == F.size(update), added).otherwise(F.coalesce(update, current))
-    if sort.kind == "tree":
-        parts = [apply_column(a, current[n], update[n]).alias(n) for n, a in sort.branches().items()]
+    if sort.kind == "map":
+        known = F.map_zip_with(current, update, lambda _, a, b: F.when(b.isNull(), a).when(a.isNull(), b).otherwise(apply_column(sort.args[0], a, b)))
+        return F.when(update.isNull(), current).when(current.isNull(), update).otherwise(known)
+    if sort.kind in ("tree", "tuple"):
+        names = sort.names or tuple(f"_{i + 1}" for i in range(len(sort.args)))
+        parts = [apply_column(a, current[n], update[n]).alias(n) for n, a in zip(names, sort.args)]
         return F.when(update.isNull(), current).otherwise(F.struct(*parts))
     return F.coalesce(update, current)
 
 
+def apply_entries(sort: sorts.Sort, current: Column, change: Column | None = None, removed: Column | None = None, added: Column | None = None) -> Column:
+    """A map column after its entries are removed (names), added (whole values) and changed, in this order."""
+    if removed is not None:
+        current = F.when(removed.isNull(), current).otherwise(F.map_filter(current, lambda k, _: ~F.array_contains(removed, k)))
+    if added is not None:
+        kept = F.map_filter(current, lambda k, _: ~F.array_contains(F.map_keys(added), k))
+        current = F.when(added.isNull(), current).otherwise(F.map_concat(kept, added))
+    return current if change is None else apply_column(sort, current, change)
+
+
+def apply_items(current: Column, removed: Column | None = None, added: Column | None = None, cleared: Column | None = None) -> Column:
+    """A list column after items are removed by value (all of them where ``cleared``), then added."""
+    kept = current if removed is None else F.when(removed.isNull(), current).otherwise(F.filter(current, lambda x: ~F.array_contains(removed, x)))
+    kept = kept if cleared is None else F.when(cleared, F.slice(current, 1, 0)).otherwise(kept)
+    return kept if added is None else F.when(added.isNull(), kept).otherwise(F.concat(kept, added))
+
+
 def divide_column(sort: sorts.Sort, value: Column, part: Column, n: int) -> Column:
     """Daughter ``part`` of ``n``: extensive amounts are split, integers with their remainder, all else is shared."""
     if sort.kind == "delta":
         return value / n
     if sort.kind == "integer":
-        whole = (value / n).cast("long")
-        left = value - whole * n
-        return whole + F.when(part < F.abs(left), F.signum(left).cast("long")).otherwise(0)
+        return split_int(value, n, part)
     if sort.kind in ("maybe", "overwrite"):
         return divide_column(sort.args[0], value, part, n)
     if sort.kind == "map":
         return F.transform_values(value, lambda _, v: divide_column(sort.args[0], v, part, n))
+    if sort.kind == "array" and len(sort.values) > 1:
+        below = sorts.Sort("array", sort.args, values=sort.values[1:])
+        return F.transform(value, lambda v: divide_column(below, v, part, n))
     if sort.kind in ("list", "array"):
         return F.transform(value, lambda v: divide_column(sort.args[0], v, part, n))
-    if sort.kind == "tree":
-        return F.struct(*[divide_column(a, value[k], part, n).alias(k) for k, a in sort.branches().items()])
+    if sort.kind in ("tree", "tuple"):
+        names = sort.names or tuple(f"_{i + 1}" for i in range(len(sort.args)))
+        return F.struct(*[divide_column(a, value[k], part, n).alias(k) for k, a in zip(names, sort.args)])
     return value
 
 

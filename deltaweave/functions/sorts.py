@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 
 class SortError(ValueError):
-    """Two sorts have no common one."""
+    """An expression is no sort."""
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,8 @@ ATOMS = {
 }
 #: Sorts that change how an update acts, around one inner sort.
 WRAPPERS = ("overwrite", "maybe", "const", "quote")
+#: Kinds of nodes, the more special last.
+NODES = ("link", "step", "process", "composite")
 
 
 def tree(**branches: Sort) -> Sort:
@@ -84,7 +86,7 @@ def parse(text: str) -> Sort:
         return Sort("array", (parse(given[1]) if len(given) > 1 else FLOAT,), values=tuple(int(n) for n in sizes.split("|") if n))
     if head in ("map", "list", "tree", *WRAPPERS):
         return Sort("recursive" if head == "tree" else head, (parse(given[0]) if given else ANY,))
-    if head in ("tuple", "link", "process", "step"):
+    if head in ("tuple", *NODES):
         return Sort(head, tuple(map(parse, given)))
     return ANY
 
@@ -172,70 +174,86 @@ def at(sort: Sort, path: list[str]) -> Sort:
     return sort
 
 
+def _paired(how, a: tuple[Sort, ...], b: tuple[Sort, ...]) -> tuple[Sort, ...]:
+    """Place by place; what only one side has stays."""
+    return tuple(how(x, y) for x, y in zip(a, b)) + (a[len(b) :] or b[len(a) :])
+
+
+def _branched(how, a: Sort, b: Sort) -> Sort:
+    """Branch by branch; what only one side has stays."""
+    left, right = a.branches(), b.branches()
+    return tree(**{n: how(left[n], right[n]) if n in left and n in right else left.get(n, right.get(n)) for n in {**left, **right}})
+
+
+def _alike(how, a: Sort, b: Sort) -> Sort | None:
+    """Two sorts of one kind, part by part; None for kinds without parts."""
+    if a.kind == "enum":
+        return Sort("enum", values=a.values + tuple(v for v in b.values if v not in a.values))
+    if a.kind == "tree":
+        return _branched(how, a, b)
+    if a.kind == "array":
+        longer, shorter = (a.values, b.values) if len(a.values) >= len(b.values) else (b.values, a.values)
+        sizes = tuple(max(n, m) for n, m in zip(longer, shorter)) + longer[len(shorter) :]
+        return Sort("array", _paired(how, a.args, b.args), values=sizes)
+    return Sort(a.kind, _paired(how, a.args, b.args), a.names, a.values) if a.args and b.args else None
+
+
 def resolve(a: Sort, b: Sort) -> Sort:
-    """The join: the least sort that both refine."""
+    """The join: the least sort that both refine.  It is total: of two sorts with nothing in common it is the second."""
     if a == b or b == ANY:
         return a
     if a == ANY:
         return b
-    for one, other in ((a, b), (b, a)):
-        if one.kind in WRAPPERS:
-            inner = other.args[0] if other.kind == one.kind else other
-            return Sort(one.kind, (resolve(one.args[0], inner),))
     kinds = {a.kind, b.kind}
-    if kinds <= {"integer", "float", "delta"}:
-        return DELTA if "delta" in kinds else FLOAT
-    if kinds == {"enum"}:
-        return Sort("enum", values=a.values + tuple(v for v in b.values if v not in a.values))
-    if kinds == {"array", "list"}:
-        one, other = (a, b) if a.kind == "array" else (b, a)
-        return Sort("array", (resolve(one.args[0], other.args[0]),), values=one.values)
+    if len(kinds) == 1:
+        return _alike(resolve, a, b) or b
+    for wrapper in ("maybe", "overwrite", "const"):
+        if wrapper in kinds:
+            inner = (a.args[0], b) if a.kind == wrapper else (a, b.args[0])
+            return Sort(wrapper, (resolve(*inner),))
+    if kinds == {"integer", "float"} or kinds == {"float", "delta"}:
+        return FLOAT if "integer" in kinds else DELTA
+    one = lambda kind: a if a.kind == kind else b
+    for special in ("array", "tuple"):
+        if kinds == {"list", special}:
+            return one(special)
     if kinds == {"map", "tree"}:
-        one, other = (a, b) if a.kind == "tree" else (b, a)
-        return Sort("tree", tuple(resolve(s, other.args[0]) for s in one.args), one.names)
-    if kinds == {"tree"}:
-        left, right = a.branches(), b.branches()
-        return tree(**{n: resolve(left.get(n, ANY), right.get(n, ANY)) for n in {**left, **right}})
-    if len(kinds) == 1 and len(a.args) == len(b.args) and a.values == b.values and a.args:
-        return Sort(a.kind, tuple(map(resolve, a.args, b.args)), a.names, a.values)
-    raise SortError(f"{a.kind} and {b.kind} have no common sort")
+        value = one("map").args[0]
+        if value.kind in NODES:
+            return one("map")  # entries that come later keep their type
+        return Sort("tree", tuple(resolve(value, s) if a.kind == "map" else resolve(s, value) for s in one("tree").args), one("tree").names)
+    if kinds == {"map", "recursive"}:
+        return Sort("recursive", (resolve(one("recursive").args[0], one("map").args[0]),))
+    if kinds <= set(NODES):
+        return Sort(max(kinds, key=NODES.index), _paired(resolve, a.args, b.args))
+    return b
 
 
 def promote(library: Sort, sparse: Sort) -> Sort:
     """``sparse`` with what the library says about its own paths, and no others."""
     if library.kind == sparse.kind == "tree":
         known = library.branches()
-        return tree(**{n: promote(known.get(n, ANY), s) for n, s in sparse.branches().items()})
+        return tree(**{n: promote(known[n], s) if n in known else s for n, s in sparse.branches().items()})
     return resolve(library, sparse)
 
 
 def generalize(a: Sort, b: Sort) -> Sort:
-    """The meet: what both promise; wrappers are dropped."""
-    while a.kind in WRAPPERS:
-        a = a.args[0]
-    while b.kind in WRAPPERS:
-        b = b.args[0]
+    """The meet: wrappers are dropped, numbers widen, enums and trees are united; of two sorts with nothing in common it is the second."""
+    if a == ANY or b == ANY:
+        return b if a == ANY else a
+    if a.kind in WRAPPERS or b.kind in WRAPPERS:
+        return generalize(a.args[0], b) if a.kind in WRAPPERS else generalize(a, b.args[0])
     kinds = {a.kind, b.kind}
     if a == b:
         return a
-    if kinds <= {"integer", "float", "delta"}:
-        return INTEGER if "integer" in kinds else FLOAT
-    if kinds == {"enum"}:
-        return Sort("enum", values=tuple(v for v in a.values if v in b.values))
-    if kinds == {"tree"}:
-        right = b.branches()
-        return tree(**{n: generalize(s, right[n]) for n, s in a.branches().items() if n in right})
-    if len(kinds) == 1 and a.args and len(a.args) == len(b.args) and a.values == b.values:
-        return Sort(a.kind, tuple(map(generalize, a.args, b.args)), a.names, a.values)
-    return ANY
+    if kinds == {"integer", "float"} or kinds == {"float", "delta"}:
+        return FLOAT if "integer" in kinds else DELTA
+    return (_alike(generalize, a, b) if len(kinds) == 1 and a.kind not in NODES else None) or b
 
 
 def refines(a: Sort, b: Sort) -> bool:
     """Does ``a`` promise all that ``b`` does?"""
-    try:
-        return resolve(a, b) == a
-    except SortError:
-        return False
+    return resolve(a, b) == a
 
 
 def as_value(sort: Sort) -> dict:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltaweave.functions.names import unused
+
 
 def daughters(df: DataFrame, n: int, index: str = "daughter") -> DataFrame:
     """n rows for each row, numbered from 0."""
@@ -19,20 +23,27 @@ def split_extensive(total: Column, n: int) -> Column:
 
 def split_int(total: Column, n: int, index: Column) -> Column:
     """Truncated share; the remainder goes one apiece, with its sign, to the first daughters."""
-    share = (F.signum(total) * F.floor(F.abs(total) / n)).cast("long")
-    extra = (total - share * n).cast("long")
-    return share + F.when(index < F.abs(extra), F.signum(extra)).otherwise(0).cast("long")
-
-
-def divide_rows(state: DataFrame, dividing: Column, key: str, extensive: list[str], n: int = 2) -> DataFrame:
-    """Rows that divide are replaced by daughters ``<key>_0 ...``; extensive fields are split, all others shared."""
-    split = daughters(state.where(dividing), n)
-    split = split.withColumns({c: split_extensive(F.col(c), n) for c in extensive})
-    split = split.withColumn(key, F.concat_ws("_", F.col(key).cast("string"), F.col("daughter").cast("string"))).drop("daughter")
+    total = total.cast("long")  # whole numbers only: doubles lose what is above 2^53
+    extra = total % n
+    return F.call_function("div", total, F.lit(n)) + F.when(index < F.abs(extra), F.when(extra < 0, -1).otherwise(1)).otherwise(0).cast("long")
+
+
+def divide_rows(state: DataFrame, dividing: Column, key: str, extensive: list[str], n: int = 2, whole: tuple[str, ...] = (), override: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Rows that divide are replaced by daughters ``<key>_0 ...``.
+
+    ``extensive`` fields are split, ``whole`` numbers with their remainder, all others shared; what
+    ``override`` makes of a daughter's number is laid over that.
+    """
+    index = unused("daughter", state)
+    split = daughters(state.where(dividing), n, index)
+    split = split.withColumns({c: split_extensive(F.col(c), n) for c in extensive} | {c: split_int(F.col(c), n, F.col(index)) for c in whole})
+    split = split.withColumns({c: make(F.col(index)) for c, make in (override or {}).items()})
+    split = split.withColumn(key, F.concat_ws("_", F.col(key).cast("string"), F.col(index).cast("string"))).drop(index)
     stay = state.where(~F.coalesce(dividing, F.lit(False))).withColumn(key, F.col(key).cast("string"))
-    return stay.unionByName(split)
+    return stay.unionByName(split.select(*stay.columns))
 
 
-def round_robin(df: DataFrame, rank: Column, n: int, out: str = "daughter") -> DataFrame:
-    """An ordered chain dealt in turn; ``rank`` counts from 0."""
-    return df.withColumn(out, F.pmod(rank, F.lit(n)).cast("long"))
+def round_robin(df: DataFrame, rank: Column, n: int, out: str = "daughter", part: Column | None = None) -> DataFrame:
+    """An ordered chain dealt in turn (``rank`` counts from 0), or where ``part`` says so, to that daughter."""
+    turn = F.pmod(rank, F.lit(n)).cast("long")
+    return df.withColumn(out, turn if part is None else F.coalesce(part.cast("long"), turn))

@@ -8,21 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deltaweave.runtime import ship
 
-#: Rounding allowed in pivots and feasibility; biomass of at most ``BARE`` does nothing.
-TOLERANCE, BARE = 1e-9, 1e-12
+#: Rounding allowed in pivots and feasibility; biomass of at most ``BARE`` does nothing; an infinite bound counts as ``WIDE``.
+TOLERANCE, BARE, WIDE = 1e-9, 1e-12, 1e6
 
 
 @dataclass(frozen=True)
 class Network:
-    """Reactions with finite bounds; ``balance[m][r]`` is what reaction r makes of metabolite m."""
+    """Reactions; ``balance[m][r]`` is what reaction r makes of metabolite m."""
 
     reactions: tuple[str, ...]
     balance: tuple[tuple[float, ...], ...]
@@ -84,9 +86,14 @@ def _climb(t: np.ndarray, basis: list[int], allowed: int) -> None:
 
 
 def solve(net: Network, lower: np.ndarray, upper: np.ndarray) -> np.ndarray | None:
-    """Fluxes that balance, keep the bounds and have the greatest objective; None where none do."""
-    if not (np.isfinite(lower).all() and np.isfinite(upper).all()) or (lower > upper).any():
+    """Fluxes that balance, keep the bounds and have the greatest objective; None where none do.
+
+    Infinite bounds count as ``WIDE``, and an objective that only such a bound holds has no greatest value.
+    """
+    if np.isnan(lower).any() or np.isnan(upper).any() or (lower > upper).any():
         return None
+    free = np.isinf(lower) | np.isinf(upper)
+    lower, upper = np.clip(lower, -WIDE, WIDE), np.clip(upper, -WIDE, WIDE)
     balance, n = np.array(net.balance, dtype=float).reshape(-1, len(net.reactions)), len(net.reactions)
     m = len(balance)
     need = -balance @ lower
@@ -113,7 +120,8 @@ def solve(net: Network, lower: np.ndarray, upper: np.ndarray) -> np.ndarray | No
     _climb(t, basis, 2 * n)
     shifted = np.zeros(2 * n + m)
     shifted[basis] = t[:-1, -1]
-    return lower + shifted[:n]
+    fluxes = lower + shifted[:n]
+    return None if free.any() and abs(fluxes[net.objective]) >= WIDE / 2 else fluxes
 
 
 def _balanced(net: Network, fluxes: np.ndarray) -> float:
@@ -128,6 +136,13 @@ def _balanced(net: Network, fluxes: np.ndarray) -> float:
     return made / -drained[0][net.objective]
 
 
+def balance_cells(rows: DataFrame, nets: dict[str, Network], model: str, uptakes: list[Uptake], biomass: str, dt: float) -> DataFrame:
+    """``balance_rows`` where the column ``model`` names each row's network; rows without a known one stay as they are."""
+    parts = [balance_rows(rows.where(F.col(model) == name), net, [u for u in uptakes if u.reaction in net.reactions], biomass, dt) for name, net in nets.items()]
+    other = rows.where(~F.coalesce(F.col(model).isin(list(nets)), F.lit(False))).drop("growth").withColumn("growth", F.lit(None).cast("double"))
+    return reduce(DataFrame.unionByName, parts, other)
+
+
 def balance_rows(rows: DataFrame, net: Network, uptakes: list[Uptake], biomass: str, dt: float) -> DataFrame:
     """Each row after ``dt``: uptake bounded by Monod kinetics, growth as great as the network allows.
 
@@ -144,6 +159,7 @@ def balance_rows(rows: DataFrame, net: Network, uptakes: list[Uptake], biomass:
             amounts = {u: frame[u.substrate].fillna(0.0).to_numpy(dtype=float).copy() for u in uptakes}
             mass = frame[biomass].to_numpy(dtype=float, na_value=np.nan).copy()
             growth = np.full(len(frame), np.nan)
+            solved_for: dict[bytes, np.ndarray | None] = {}
             for i in np.flatnonzero(mass > BARE):
                 lower, upper = np.array(net.lower), np.array(net.upper)
                 for u in uptakes:
@@ -151,7 +167,10 @@ def balance_rows(rows: DataFrame, net: Network, uptakes: list[Uptake], biomass:
                     j = place[u.reaction]
                     lower[j] = -u.vmax * held / (u.km + held)
                     upper[j] = max(upper[j], lower[j])
-                fluxes = solve(net, lower, upper)
+                bounds = lower.tobytes() + upper.tobytes()
+                if bounds not in solved_for:  # rows with equal bounds share a program
+                    solved_for[bounds] = solve(net, lower, upper)
+                fluxes = solved_for[bounds]
                 if fluxes is None:
                     continue
                 growth[i] = _balanced(net, fluxes)

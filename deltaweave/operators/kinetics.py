@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltaweave.functions.names import unused
 from deltaweave.runtime import ship
 
 
@@ -26,15 +27,24 @@ class Monod:
 
 def monod(df: DataFrame, reactions: list[Monod], biomass: str, dt: float) -> DataFrame:
     """Reactions run in order against the running substrate columns; a flux never exceeds its substrate."""
-    grown = F.lit(0.0)
+    grown, flux_, grown_ = F.lit(0.0), unused("flux", df), unused("grown", df)
     for r in reactions:
         s = F.col(r.reactant)
         flux = F.when(s > 0, F.least(r.vmax * s / (r.km + s) * F.col(biomass) * dt, s)).otherwise(0.0)
-        df = df.withColumn("_flux", flux)
-        df = df.withColumns({r.reactant: s - F.col("_flux"), **{p: F.col(p) + F.col("_flux") * y for p, y in r.yields}})
-        df = df.withColumn("_grown", grown + F.col("_flux") * r.mass)
-        grown = F.col("_grown")
-    return df.withColumn(biomass, F.col(biomass) + grown).drop("_flux", "_grown")
+        df = df.withColumn(flux_, flux)
+        df = df.withColumns({r.reactant: s - F.col(flux_), **{p: F.col(p) + F.col(flux_) * y for p, y in r.yields}})
+        df = df.withColumn(grown_, grown + F.col(flux_) * r.mass)
+        grown = F.col(grown_)
+    return df.withColumn(biomass, F.col(biomass) + grown).drop(flux_, grown_)
+
+
+# The parameter sets of common models.
+PRESETS = {
+    "glucose_only": (Monod("glucose", 0.5, 0.2, mass=0.5),),
+    "acetate_only": (Monod("acetate", 0.5, 0.1, mass=0.3),),
+    "overflow": (Monod("glucose", 0.5, 0.2, mass=0.5), Monod("glucose", 0.5, 0.1, yields=(("acetate", 0.8),))),
+    "cross_feeding": (Monod("glucose", 0.5, 0.2, mass=0.5), Monod("glucose", 0.5, 0.1, yields=(("acetate", 0.8),)), Monod("acetate", 0.5, 0.1, mass=0.3)),
+}
 
 
 @dataclass(frozen=True)
@@ -92,40 +102,6 @@ def mass_action(states: DataFrame, reactions: list[Reaction], species: list[str]
     return states.select(*[F.col(f.name).cast("double") if f.name in species else F.col(f.name) for f in states.schema]).mapInPandas(run, ", ".join([*fields, "i long", "t double"]))
 
 
-def euler_step(a: Column, b: Column, k: float, dt: float) -> tuple[Column, Column]:
-    rate = k * a
-    return a + dt * (-rate), b + dt * rate
-
-
-#: Recursive queries keep one row per step and series; the step count is a parameter.
-EULER = """
-WITH RECURSIVE r(i, t, a, b) AS (
-  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)
-  UNION ALL
-  SELECT i + 1, CAST((i + 1) AS DOUBLE) * CAST({dt} AS DOUBLE), a + CAST({dt} AS DOUBLE) * (-(CAST({k} AS DOUBLE) * a)), b + CAST({dt} AS DOUBLE) * (CAST({k} AS DOUBLE) * a)
-  FROM r WHERE i < {steps}
-)
-SELECT CAST(i AS BIGINT) AS i, round(t, 6) AS t, round(a, 9) AS a, round(b, 9) AS b FROM r
-"""
-
-RK4 = """
-WITH RECURSIVE r(i, a, b) AS (
-  SELECT 0, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)
-  UNION ALL
-  SELECT i + 1, a - d, b + d FROM (
-    SELECT i, a, b, CAST({dt} AS DOUBLE) / CAST(6 AS DOUBLE) * (k1 + CAST(2 AS DOUBLE) * k2 + CAST(2 AS DOUBLE) * k3 + CAST({k} AS DOUBLE) * (a - CAST({dt} AS DOUBLE) * k3)) AS d FROM (
-      SELECT *, CAST({k} AS DOUBLE) * (a - CAST({dt} AS DOUBLE) / CAST(2 AS DOUBLE) * k2) AS k3 FROM (
-        SELECT *, CAST({k} AS DOUBLE) * (a - CAST({dt} AS DOUBLE) / CAST(2 AS DOUBLE) * k1) AS k2 FROM (
-          SELECT *, CAST({k} AS DOUBLE) * a AS k1 FROM r WHERE i < {steps}
-        ) q1
-      ) q2
-    ) q3
-  ) q4
-)
-SELECT CAST(i AS BIGINT) AS i, round(a, 9) AS a, round(b, 9) AS b FROM r
-"""
-
-
-def decay(spark: SparkSession, template: str, k: float = 0.7, dt: float = 0.2, steps: int = 25) -> DataFrame:
-    """A -> B from (1, 0) by the given integrator."""
-    return spark.sql(template.format(k=k, dt=dt, steps=steps))
+def integrate(states: DataFrame, reactions: list[Reaction], species: list[str], dt: float, method: str = "rk4") -> DataFrame:
+    """Every row of ``states`` one step later, by the given method."""
+    return mass_action(states, reactions, species, dt, 1, method).where("i = 1").drop("i", "t")

@@ -6,20 +6,24 @@ At most one match per node and rule: the first in an explicit order.  Guards app
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltaweave.functions.draws import Draws
+from deltaweave.functions.names import unused
 from deltaweave.operators.kinetics import Reaction
+from deltaweave.operators.order import running
+from deltaweave.runtime import ship
 
 
 def first_match(candidates: DataFrame, node: list[str], order: list[str]) -> DataFrame:
     """The first candidate of each node."""
-    rank = F.row_number().over(Window.partitionBy(*node).orderBy(*order))
-    return candidates.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    name = unused("first", candidates)
+    least = F.min_by(F.struct(*candidates.columns), F.struct(*order)).alias(name)
+    return candidates.groupBy(*[F.col(n).alias(f"{name}{i}") for i, n in enumerate(node)]).agg(least).select(f"{name}.*")
 
 
 def absent(nodes: DataFrame, children: DataFrame, on: list[str]) -> DataFrame:
@@ -31,17 +35,21 @@ def multiset_pairs(children: DataFrame, parent: str, order: list[str], one: Colu
     """The first pair of distinct children that match two patterns, for each parent.
 
     The first child of one pattern pairs with the first of the other that is another child, so only
-    the two least candidates of each pattern are needed: no self join over all children.
+    the two least candidates of each pattern are needed: one aggregate, and a second one for parents
+    whose first child matches both.
     """
     place = F.struct(*order)
-    least = lambda cond: F.slice(F.sort_array(F.collect_list(F.when(cond, F.struct(place.alias("o"), *fields)))), 1, 2)
-    per = children.withColumn("_1", one).withColumn("_2", two)
-    rank = lambda c: F.row_number().over(Window.partitionBy(parent, c).orderBy(*order))
-    few = per.withColumn("_r1", rank("_1")).withColumn("_r2", rank("_2")).where("(_1 AND _r1 <= 2) OR (_2 AND _r2 <= 2)")
-    grouped = few.groupBy(parent).agg(least(F.col("_1")).alias("x"), least(F.col("_2")).alias("y"))
-    pairs = F.flatten(F.transform("x", lambda a: F.transform("y", lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    chosen = F.array_min(F.filter(pairs, lambda p: p["a"]["o"] != p["b"]["o"]))
-    return grouped.withColumn("pair", chosen).where("pair IS NOT NULL").select(parent, "pair")
+    found = F.struct(place.alias("o"), F.struct(*fields).alias("f"))
+    group = children.select(F.col(parent).alias("p"), F.coalesce(one, F.lit(False)).alias("one"), F.coalesce(two, F.lit(False)).alias("two"), found.alias("c"))
+    firsts = group.groupBy("p").agg(F.min(F.when(F.col("one"), F.col("c"))).alias("x"), F.min(F.when(F.col("two"), F.col("c"))).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    clash = firsts.where("x.o = y.o").select("p", F.col("x.o").alias("same"))
+    others = group.join(clash, "p").where("c.o <> same").groupBy("p").agg(F.min(F.when(F.col("one"), F.col("c"))).alias("x2"), F.min(F.when(F.col("two"), F.col("c"))).alias("y2"))
+    both = firsts.join(others, "p", "left")
+    pair = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.col(a).alias("a"), F.col(b).alias("b")))
+    chosen = F.when(F.col("x.o") != F.col("y.o"), pair("x", "y")).otherwise(F.coalesce(pair("x", "y2"), pair("x2", "y")))
+    rows = both.select(F.col("p").alias(parent), chosen.alias("pair")).where("pair IS NOT NULL")
+    flat = lambda side: F.struct(F.col(f"pair.{side}.o").alias("o"), *[F.col(f"pair.{side}.f.{c}").alias(c) for c in fields]).alias(side)
+    return rows.select(parent, F.struct(flat("a"), flat("b")).alias("pair"))
 
 
 def active(nodes: DataFrame, ancestors: DataFrame, node: str, passive: Column) -> DataFrame:
@@ -56,21 +64,16 @@ def fire(state: DataFrame, matched: DataFrame, keys: list[str], reactum: Callabl
 
 
 def weighted_pick(choices: DataFrame, weight: str, order: list[str], share: float) -> DataFrame:
-    """The first choice whose running weight reaches ``share`` of the total.
+    """The first choice, in any order, whose running weight (``cumulative``) reaches ``share`` of the total; no row if there is no weight.
 
-    Running sums are taken within range-ordered buckets whose totals are summed first, so no task
-    orders all choices.
+    Running sums are taken within range partitions whose totals are summed first, so no task orders
+    all choices.
     """
     total = choices.agg(F.sum(weight).alias("t")).first()["t"] or 0.0
-    bucket = F.floor(F.col(order[0]) / 256)
-    sums = choices.groupBy(bucket.alias("_b")).agg(F.sum(weight).alias("s"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = sums.withColumn("_to", F.sum("s").over(before))
-    first = running.where(F.col("_to") >= share * total).orderBy("_b").limit(1).select("_b", (F.col("_to") - F.col("s")).alias("_from"))
-    inside = choices.withColumn("_b", bucket).join(F.broadcast(first), "_b")
-    within = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    picked = inside.withColumn("cumulative", F.col("_from") + F.sum(weight).over(within)).where(F.col("cumulative") >= share * total)
-    return picked.orderBy(*order).limit(1).drop("_b", "_from")
+    if total <= 0:
+        return choices.limit(0).withColumn("cumulative", F.lit(0.0))
+    summed = running(choices, order, weight, "cumulative")
+    return summed.where(F.col("cumulative") >= share * total).orderBy(*order).limit(1)
 
 
 def simulate(replicates: DataFrame, reactions: list[Reaction], species: list[str], interval: float, seed: int = 0, key: str = "replicate") -> DataFrame:
@@ -80,8 +83,9 @@ def simulate(replicates: DataFrame, reactions: list[Reaction], species: list[str
     reaction's propensity is its rate times the number of ways to take its reactants from the counts;
     the first reaction whose running propensity reaches the draw fires, and the event beyond the
     interval is discarded.  ``events`` counts what fired.  Replicates are independent, so they are
-    dealt over tasks.
+    dealt over tasks; draws depend on the seed and the replicate alone.
     """
+    ship(replicates.sparkSession)
     place = {name: i for i, name in enumerate(species)}
     if unknown := {name for r in reactions for name, _ in (*r.reactants, *r.products)} - set(species):
         raise ValueError(f"reactions name unknown species {sorted(unknown)}")
@@ -102,16 +106,16 @@ def simulate(replicates: DataFrame, reactions: list[Reaction], species: list[str
             out = []
             for name, *counts in frame[[key, *species]].itertuples(index=False):
                 counts = [0 if pd.isna(c) else int(c) for c in counts]
-                rng, t, events = random.Random(seed * 1_000_003 + int(name)), 0.0, 0
+                draws, t, events = Draws(seed, int(name)), 0.0, 0
                 while True:
                     weights = [k * math.prod(math.comb(counts[i], n) for i, n in need) for k, need in zip(rates, needs)]
                     total = sum(weights)
                     if total <= 0:
                         break
-                    t += -math.log(1.0 - rng.random()) / total
+                    t += -math.log(1.0 - draws.next()) / total
                     if t > interval:
                         break
-                    share, reached, last = rng.random() * total, 0.0, 0
+                    share, reached, last = draws.next() * total, 0.0, 0
                     for j, weight in enumerate(weights):
                         if weight > 0:
                             last, reached = j, reached + weight

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltaweave.functions import exprs, sorts
-from deltaweave.operators import delta, divide, flux, graph, grid, kinetics, particles, rewrite, trace
-from deltaweave.plans import schedule
+from deltaweave.functions import draws, exprs, registry, sorts, units, values
+from deltaweave.operators import delta, divide, flux, graph, grid, growth, kinetics, particles, rewrite, rules, trace
+from deltaweave.plans import composites, programs, runs, schedule
 from deltaweave.runtime import table
 from deltaweave.sources import documents
 from deltaweave.streaming import live
@@ -100,10 +100,32 @@ def array_add(spark, d):
     return delta.array_sum(table(spark, d, "embeddings"), ["label"], "embedding", "total").withColumns({"total": F.round("total", 3), "place": F.col("place").cast("long")})
 
 
-@query("SELECT user_id, i, round(v - p, 4) AS delta FROM (SELECT user_id, row_number() OVER w AS i, value AS v, lag(value) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE p IS NOT NULL AND v <> p")
+@query("""WITH a AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'add' WHEN b.k IS NULL THEN 'remove' ELSE 'change' END AS op, b.v AS value FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v""")
 def structural_diff(spark, d):
-    told = trace.trace_of(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value")
-    return told.where("i > 0 AND delta IS NOT NULL").select("user_id", (F.col("i") + 1).alias("i"), F.round("delta", 4).alias("delta"))
+    o = table(spark, d, "orders")
+    side = lambda s: o.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    return delta.structural_diff(side("F"), side("O"), ["k"], "v")
+
+
+@query("SELECT o_custkey, round(sum(o_totalprice), 2) AS price, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status, count(*) AS n FROM orders GROUP BY 1")
+def reconcile_branches(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), F.lit(1).cast("long").alias("n"))
+    told = delta.reconcile_tree(rows, ["o_custkey"], sorts.parse("price:float|status:overwrite[string]|n:integer"), ["o_orderdate", "o_orderkey"])
+    return told.withColumn("price", F.round("price", 2))
+
+
+@query("""SELECT c_custkey, round(c_acctbal + coalesce(s, 0), 2) AS balance, c_name AS name, round(1 + coalesce(f, 0), 2) AS f, round(o, 2) AS o FROM customer LEFT JOIN
+(SELECT o_custkey, sum(o_totalprice) AS s, sum(o_totalprice) FILTER (o_orderstatus = 'F') AS f, sum(o_totalprice) FILTER (o_orderstatus = 'O') AS o FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def apply_nested(spark, d):
+    """One update per customer acts on a state of a number, a name and a map of numbers."""
+    sort = sorts.parse("balance:float|name:overwrite[string]|tags:map[float]")
+    by = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey"), "o_orderstatus").agg(F.sum("o_totalprice").alias("s"))
+    update = by.groupBy("c_custkey").agg(F.struct(F.sum("s").alias("balance"), F.lit(None).cast("string").alias("name"), F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "s"))).alias("tags")).alias("u"))
+    state = table(spark, d, "customer").select("c_custkey", F.struct(F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name"), F.create_map(F.lit("F"), F.lit(1.0)).alias("tags")).alias("s"))
+    after = state.join(update, "c_custkey", "left").select("c_custkey", registry.apply_column(sort, F.col("s"), F.col("u")).alias("s"))
+    tag = lambda k: F.round(F.try_element_at("s.tags", F.lit(k)), 2)
+    return after.select("c_custkey", F.round("s.balance", 2).alias("balance"), "s.name", tag("F").alias("f"), tag("O").alias("o"))
 
 
 # --- division -----------------------------------------------------------------------------------
@@ -121,6 +143,14 @@ def divide_int(spark, d):
     return rows.select("p_partkey", "daughter", divide.split_int(F.col("p_size"), 3, F.col("daughter")).alias("size"))
 
 
+@query("SELECT p_partkey, i AS daughter, v // 3 + CASE WHEN i < v % 3 THEN 1 ELSE 0 END AS share FROM (SELECT p_partkey, p_partkey::BIGINT * 100000000000000 + p_size AS v FROM part), (VALUES (0), (1), (2)) t(i)")
+def divide_whole(spark, d):
+    """Whole numbers far above 2^53 keep their total."""
+    rows = divide.daughters(table(spark, d, "part"), 3)
+    total = F.col("p_partkey").cast("long") * 100000000000000 + F.col("p_size")
+    return rows.select("p_partkey", "daughter", registry.divide_column(sorts.INTEGER, total, F.col("daughter"), 3).alias("share"))
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_totalprice < 300000 UNION ALL SELECT o_orderkey || '_' || i, o_totalprice / 2, o_orderstatus FROM orders, (VALUES (0), (1)) t(i) WHERE o_totalprice >= 300000")
 def divide_sentinel(spark, d):
     state = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
@@ -173,6 +203,18 @@ def graph_divide(spark, d):
     return kept.select(F.substring("a", 2, 20).cast("long").alias("a"), F.substring("b", 2, 20).cast("long").alias("b"), F.col("daughter").cast("long").alias("daughter"))
 
 
+@query("""SELECT a, b, sum(n)::BIGINT AS n FROM (SELECT 'n' || c_nationkey AS a, c_mktsegment AS b, count(*) - (c_mktsegment = 'BUILDING')::INT AS n FROM customer WHERE c_mktsegment <> 'MACHINERY' GROUP BY 1, 2
+UNION ALL SELECT 'n0', 'BUILDING', 1) GROUP BY 1, 2 HAVING sum(n) > 0""")
+def graph_change(spark, d):
+    """A vertex goes with its edges, one edge of each pair is taken away, and of two new edges the one with both ends comes."""
+    c = table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("a"), F.col("c_mktsegment").alias("b"))
+    vertices = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id")).union(c.select("b").distinct())
+    gone = spark.createDataFrame([("MACHINERY",)], "id string")
+    new = spark.createDataFrame([("n0", "BUILDING"), ("n0", "NOWHERE")], "a string, b string")
+    _, edges = graph.change_graph(vertices, c, removed=gone, new_edges=new, old_edges=c.where("b = 'BUILDING'").distinct())
+    return edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- matching and rewriting ---------------------------------------------------------------------
 
 
@@ -231,12 +273,40 @@ def count_populations(spark, d):
     return per.join(c.select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), "c_custkey").join(n, "n_nationkey").groupBy("n_name", "o_orderstatus").agg(F.sum("m").alias("n"))
 
 
-@query()
+_U = draws.uniform_sql("'0'", "id", "2 * k"), draws.uniform_sql("'0'", "id", "2 * k + 1")
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT p_partkey AS id, p_size::BIGINT AS a, 0::BIGINT AS b, 0e0 AS t, 0::BIGINT AS k FROM part UNION ALL
+SELECT id, CASE WHEN first THEN a - 1 ELSE a + 1 END, CASE WHEN first THEN b + 1 ELSE b - 1 END, t2, k + 1 FROM (
+  SELECT *, w > 0 AND (w >= u * total OR total = w) AS first FROM (SELECT *, t - ln(1e0 - {_U[0]}) / total AS t2, {_U[1]} AS u FROM (SELECT *, 0.5e0 * a AS w, 0.5e0 * a + 0.2e0 * b AS total FROM r) q WHERE total > 0) p WHERE t2 <= 2e0) s)
+SELECT id AS replicate, arg_max(a, k) AS a, arg_max(b, k) AS b, max(k) AS events FROM r GROUP BY 1""")
 def gillespie_replicates(spark, d):
     start = table(spark, d, "part").select(F.col("p_partkey").alias("replicate"), F.col("p_size").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     return rewrite.gillespie(start, {"bind": 0.5, "loose": 0.2}, 2.0)
 
 
+@query("""WITH c AS (SELECT o_custkey AS c_custkey, least(count(*), 5) AS a FROM orders GROUP BY 1), m AS (SELECT *, greatest(least(6 - a, a), 0) AS phi FROM c)
+SELECT c_custkey, control, n FROM (SELECT c_custkey, 'F' AS control, 1::BIGINT AS n FROM m UNION ALL SELECT c_custkey, 'B', a - phi FROM m UNION ALL SELECT c_custkey, 'Phi', phi FROM m) WHERE n > 0""")
+def reaction_multiset(spark, d):
+    """Six ticks of the self-repairing multiset, from one maker and up to five pieces of food for each customer."""
+    counted = table(spark, d, "orders").groupBy("o_custkey").agg(F.least(F.count(F.lit(1)), F.lit(5)).cast("int").alias("a"))
+    part = lambda control, plan: F.struct(F.lit(control).alias("_type"), F.lit(plan).cast("int").alias("blueprint"))
+    food = F.map_from_entries(F.transform(F.sequence(F.lit(1), F.col("a")), lambda i: F.struct(F.concat(F.lit("a"), i).alias("k"), part("A", None).alias("v"))))
+    states = counted.select(F.col("o_custkey").alias("c_custkey"), F.to_json(F.map_concat(F.create_map(F.lit("f"), part("F", 1)), food)).alias("state"))
+    after = rules.rewrite(states, programs.metabolism_repair(), ticks=6, key="c_custkey")
+    return rules.nodes(after, key="c_custkey").where("inside IS NULL").groupBy("c_custkey", "control").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s_suppkey, s_suppkey % 2 + 1 + s_nationkey % 3 + s_suppkey % 3 AS substrates, 1::BIGINT AS kinases FROM supplier")
+def signalling_totals(spark, d):
+    """The cascade runs for three units of time in every cell; it keeps the number of substrates and kinases."""
+    numbers = table(spark, d, "supplier").select("s_suppkey", *[c.cast("string").alias(n) for n, c in (("m", F.col("s_suppkey") % 2), ("f", 1 + F.col("s_nationkey") % 3), ("s", F.col("s_suppkey") % 3))])
+    cells = values.per_state(numbers, ["m", "f", "s"], programs.cell, "state")
+    after = rules.nodes(rules.rewrite(cells, programs.signalling(), mode="exact", ticks=3, seed=7, key="s_suppkey"), key="s_suppkey")
+    many = lambda *names: F.count(F.when(F.col("control").isin(*names), 1))
+    return after.groupBy("s_suppkey").agg(many("ERK", "pERK").alias("substrates"), many("MEK").alias("kinases"))
+
+
 # --- ports --------------------------------------------------------------------------------------
 
 
@@ -251,10 +321,21 @@ def star_path(spark, d):
     return table(spark, d, "region").join(nested, "r_regionkey").select("r_name", F.explode("nations").alias("n_name"))
 
 
+@query("SELECT r_name, n_name, CASE WHEN length(n_name) % 2 = 0 THEN length(n_name) ELSE 0 END::BIGINT AS size FROM region JOIN nation ON n_regionkey = r_regionkey")
+def star_write(spark, d):
+    """Writing through a path with a star deals the entries of a value over the children of those names."""
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("r_regionkey"), "n_name", F.length("n_name").alias("size"))
+    entry = lambda value: F.map_from_entries(F.collect_list(value))
+    per = n.groupBy("r_regionkey").agg(F.to_json(F.struct(entry(F.struct("n_name", F.struct(F.lit(0).alias("size")))).alias("nations"))).alias("state"), F.to_json(F.map_filter(entry(F.struct("n_name", "size")), lambda _, v: v % 2 == 0)).alias("sizes"))
+    told = values.per_state(per.join(table(spark, d, "region"), "r_regionkey").select("r_name", "state", "sizes"), ["state", "sizes"], lambda state, new: values.put(state, ["nations", "*", "size"], new), "after")
+    back = told.select("r_name", F.explode(F.from_json("after", "nations map<string, struct<size: long>>")["nations"]).alias("n_name", "v"))
+    return back.select("r_name", "n_name", "v.size")
+
+
 # --- traces -------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, i - 1 AS i, round(CASE WHEN p IS NULL THEN v WHEN v <> p THEN v - p END, 4) AS delta FROM (SELECT event_id, row_number() OVER w AS i, value AS v, lag(value) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
+@query("SELECT event_id, i - 1 AS i, round(CASE WHEN p IS NULL THEN v WHEN v <> p THEN v - p END, 4) AS delta FROM (SELECT event_id, row_number() OVER w AS i, value AS v, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
 def trace_diff(spark, d):
     return trace.trace_of(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "i", F.round("delta", 4).alias("delta"))
 
@@ -327,20 +408,57 @@ def monod_step(spark, d):
     return kinetics.monod(cells, rules, "biomass", 0.5).select("p_partkey", *[F.round(c, 9).alias(c) for c in ("glucose", "acetate", "biomass")])
 
 
-def _decay(spark, method):
-    """A -> B from (1, 0)."""
-    start = spark.range(1).select(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-    return kinetics.mass_action(start, [kinetics.Reaction((("a", 1),), (("b", 1),), 0.7)], ["a", "b"], 0.2, 25, method)
+_START = "SELECT p_partkey, p_size::DOUBLE AS a, (p_partkey % 7)::DOUBLE AS b, 0e0 AS c, 0 AS i FROM part"
 
 
-@query(kinetics.EULER.format(k=0.7, dt=0.2, steps=25))
+@query(f"""WITH RECURSIVE r AS ({_START} UNION ALL SELECT p_partkey, a + 0.1e0 * (w - 2e0 * v), b - 0.1e0 * v, c + 0.1e0 * (v - w), i + 1 FROM (SELECT *, 0.001e0 * a * a * b AS v, 0.05e0 * c AS w FROM r) WHERE i < 5)
+SELECT p_partkey, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM r WHERE i = 5""")
 def mass_action_euler(spark, d):
-    return _decay(spark, "euler").select("i", F.round("t", 6).alias("t"), F.round("a", 9).alias("a"), F.round("b", 9).alias("b"))
+    """2 A + B make C, and C falls back to A, from each part's amounts."""
+    start = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.pmod("p_partkey", F.lit(7)).cast("double").alias("b"), F.lit(0.0).alias("c"))
+    network = [kinetics.Reaction((("a", 2), ("b", 1)), (("c", 1),), 0.001), kinetics.Reaction((("c", 1),), (("a", 1),), 0.05)]
+    return kinetics.mass_action(start, network, ["a", "b", "c"], 0.1, 5, "euler").where("i = 5").select("p_partkey", *[F.round(x, 6).alias(x) for x in "abc"])
+
 
+def _slope(a: str, b: str) -> str:
+    return f"(0.2e0 * ({b}) - 0.7e0 * ({a}))"
 
-@query(kinetics.RK4.format(k=0.7, dt=0.2, steps=25))
+
+@query(f"""WITH RECURSIVE r AS (SELECT p_partkey, p_size::DOUBLE AS a, 0e0 AS b, 0 AS i FROM part UNION ALL SELECT p_partkey, a + s, b - s, i + 1 FROM (SELECT *, 0.2e0 / 6e0 * (k1 + 2e0 * k2 + 2e0 * k3 + k4) AS s FROM (
+SELECT *, {_slope("a + 0.2e0 * k3", "b - 0.2e0 * k3")} AS k4 FROM (SELECT *, {_slope("a + 0.1e0 * k2", "b - 0.1e0 * k2")} AS k3 FROM (SELECT *, {_slope("a + 0.1e0 * k1", "b - 0.1e0 * k1")} AS k2 FROM (
+SELECT *, {_slope("a", "b")} AS k1 FROM r WHERE i < 4))))))
+SELECT p_partkey, i::BIGINT AS i, round(a, 6) AS a, round(b, 6) AS b FROM r""")
 def mass_action_rk4(spark, d):
-    return _decay(spark, "rk4").select("i", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"))
+    """A and B turn into each other, from each part's size."""
+    start = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.lit(0.0).alias("b"))
+    there, back = kinetics.Reaction((("a", 1),), (("b", 1),), 0.7), kinetics.Reaction((("b", 1),), (("a", 1),), 0.2)
+    return kinetics.mass_action(start, [there, back], ["a", "b"], 0.2, 4).select("p_partkey", "i", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+@query("""WITH x AS (SELECT p_partkey, p_size::DOUBLE AS s, p_retailprice / 1000 AS m FROM part), f AS (SELECT *, least(0.2e0 * s / (0.5e0 + s) * m * 0.5e0, s) AS f FROM x), g AS (SELECT *, s - f AS r FROM f),
+h AS (SELECT *, least(0.1e0 * r / (0.5e0 + r) * m * 0.5e0, r) AS h FROM g) SELECT p_partkey, round(r - h, 6) AS glucose, round(h * 0.8e0, 6) AS acetate, round(m + f * 0.5e0, 6) AS biomass FROM h""")
+def monod_preset(spark, d):
+    cells = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("glucose"), F.lit(0.0).alias("acetate"), (F.col("p_retailprice") / 1000).alias("biomass"))
+    after = kinetics.monod(cells, list(kinetics.PRESETS["overflow"]), "biomass", 0.5)
+    return after.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("glucose", "acetate", "biomass")])
+
+
+def _laplace(table_: str, near: str) -> str:
+    """One substep of a quarter of the time at rate 1."""
+    return f"SELECT mol, y, x, greatest(0, v + 0.25e0 * ((e - 2 * v + w) + (s - 2 * v + n))) AS v FROM ({near.replace('FROM f ', f'FROM {table_} f ').replace('JOIN f ', f'JOIN {table_} ')})"
+
+
+@query(f"WITH f0 AS ({_FIELD}), " + ", ".join(f"f{i + 1} AS ({_laplace(f'f{i}', _around('f.v'))})" for i in range(4)) + " SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(v, 3) AS v FROM f4")
+def diffusion_substeps(spark, d):
+    """A rate that needs four substeps."""
+    return grid.diffuse(_field(spark, d), 10, 10, 1.0, 1.0).select("y", "x", F.round("v", 3).alias("v"))
+
+
+@query(f"""WITH f AS ({_FIELD}), g AS (SELECT f.mol, f.y, f.x, f.v, coalesce(w.v, 2) AS w, coalesce(e.v, f.v) AS e, coalesce(n.v, f.v) AS n, coalesce(s.v, f.v) AS s FROM f
+LEFT JOIN f w ON w.y = f.y AND w.x = f.x - 1 LEFT JOIN f e ON e.y = f.y AND e.x = f.x + 1 LEFT JOIN f n ON n.y = (f.y + 9) % 10 AND n.x = f.x LEFT JOIN f s ON s.y = f.y + 1 AND s.x = f.x) {_DIFFUSED}""")
+def boundary_by_side(spark, d):
+    """A fixed value in the west, outflow in the east, the far end in the north, no gradient in the south."""
+    return _diffused(spark, d, {"w": ("dirichlet", 2.0), "e": "outflow", "n": "periodic"})
 
 
 _BIN = "CAST(greatest(0, least(9, floor({c} / 10))) AS INTEGER)"
@@ -375,10 +493,81 @@ def total_mass(spark, d):
     return held.select("o_custkey", F.round(particles.total_mass(F.col("parts")), 2).alias("total"))
 
 
-@query()
+@query(f"SELECT event_id, bx, \"by\", \"value\", round(value + {draws.normal_sql(chr(39) + '7' + chr(39), 'event_id', chr(39) + '0' + chr(39), chr(39) + 'x' + chr(39))} + 0.25e0, 6) AS x, round({draws.normal_sql(chr(39) + '7' + chr(39), 'event_id', chr(39) + '0' + chr(39), chr(39) + 'y' + chr(39))}, 6) AS y FROM (SELECT event_id, value, {_BIN.format(c='value')} AS bx, {_BIN.format(c='(user_id % 100)')} AS \"by\" FROM events WHERE value IS NOT NULL)")
 def brownian_walk(spark, d):
-    rows = _particles(spark, d).select("event_id", F.col("value").alias("x"), F.lit(0.0).alias("y"))
-    return particles.walk(rows, 0.5, 1.0, seed=7)
+    rows = _particles(spark, d).withColumns({"x": F.col("value"), "y": F.lit(0.0)})
+    return particles.walk(rows, 0.5, 1.0, seed=7, drift=(0.25, 0.0), key="event_id").withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+
+
+_CELLS = f"SELECT {_BIN.format(c='(user_id % 100)')} AS y, {_BIN.format(c='value')} AS x, round(avg(value), 4) AS v FROM events WHERE value IS NOT NULL GROUP BY 1, 2"
+
+
+def _carriers(spark, d):
+    """Particles that hold and give off one molecule, and its field."""
+    e = table(spark, d, "events").where("value IS NOT NULL")
+    one = lambda c: F.create_map(F.lit("m"), c)
+    rows = e.select(F.col("event_id").alias("id"), F.col("value").alias("x"), F.pmod("user_id", F.lit(100)).cast("double").alias("y"), one(F.lit(1.5)).alias("local"), one(F.col("value")).alias("exchange"))
+    cells = e.groupBy(particles.bin_of(F.pmod("user_id", F.lit(100)).cast("double"), 100.0, 10).alias("y"), particles.bin_of(F.col("value"), 100.0, 10).alias("x")).agg(F.round(F.avg("value"), 4).alias("v"))
+    return rows, cells.select(F.lit("m").alias("mol"), "y", "x", "v")
+
+
+@query(f"SELECT event_id, round(v - 1.5, 4) AS local, -value AS exchange FROM events JOIN ({_CELLS}) c ON c.y = {_BIN.format(c='(user_id % 100)')} AND c.x = {_BIN.format(c='value')} WHERE value IS NOT NULL")
+def particle_sampling(spark, d):
+    _, changed = particles.exchange_maps(*_carriers(spark, d), 10, 10, (100.0, 100.0))
+    return changed.select(F.col("id").alias("event_id"), F.round(F.col("local")["m"], 4).alias("local"), F.col("exchange")["m"].alias("exchange"))
+
+
+@query(f"SELECT {_BIN.format(c='(user_id % 100)')} AS y, {_BIN.format(c='value')} AS x, round(sum(value) / 200, 4) AS v FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def particle_deposit(spark, d):
+    onto, _ = particles.exchange_maps(*_carriers(spark, d), 10, 10, (100.0, 100.0), depth=2.0)
+    return onto.select("y", "x", F.round("v", 4).alias("v"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_retailprice AS m, p_retailprice >= 1500 AS heavy, row_number() OVER (PARTITION BY p_retailprice >= 1500 ORDER BY p_partkey) AS r FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS id, m AS mass, m / 4 AS core FROM p WHERE NOT heavy UNION ALL SELECT p_partkey || '_' || i, m / 2, m / 8 FROM p, (VALUES (0), (1)) t(i) WHERE heavy AND (i = 0 OR r <= 20)""")
+def particle_division_capped(spark, d):
+    """There is room for twenty more particles; parts of the mass are halved too."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("mass"), F.create_map(F.lit("core"), F.col("p_retailprice") / 4, F.lit("rest"), F.col("p_retailprice") * 3 / 4).alias("parts"))
+    after = particles.divide_particles(rows, "mass", 1500, "id", most=rows.count() + 20, parts="parts")
+    return after.select("id", "mass", F.col("parts")["core"].alias("core"))
+
+
+@query("""SELECT event_id, greatest(5, least(95, value)) AS x, greatest(5, least(95, user_id % 100))::DOUBLE AS y, greatest(5, least(95, value)) - value AS dx FROM events WHERE value IS NOT NULL AND NOT value < 5 AND NOT user_id % 100 > 95""")
+def particles_at_sides(spark, d):
+    """Particles beyond the left or upper side go, all others are brought back inside."""
+    rows = table(spark, d, "events").where("value IS NOT NULL").select("event_id", F.col("value").alias("x"), F.pmod("user_id", F.lit(100)).cast("double").alias("y"))
+    return particles.manage(rows, (100.0, 100.0), 5.0, ("left", "top")).select("event_id", "x", "y", "dx")
+
+
+@query("SELECT p_partkey, round(-0.5 * 10 * 2.0, 6) AS dy, -8.0::DOUBLE AS dvy, 3.0::DOUBLE AS dx FROM part")
+def bodies_fall(spark, d):
+    """Discs far from each other and from walls, in four substeps."""
+    rows = table(spark, d, "part").select(F.col("p_size").alias("world"), F.col("p_partkey").alias("id"), ((F.col("p_partkey") + 1) * 1000.0).alias("x"), F.lit(5e8).alias("y"), F.lit(1.5).alias("vx"), F.lit(0.0).alias("vy"), F.lit(1.0).alias("mass"), F.lit(None).cast("double").alias("radius"))
+    moved = particles.collide(rows, (1e9, 1e9), 2.0, (0.0, -4.0), substeps=4)
+    return moved.select(F.col("id").alias("p_partkey"), F.round("dy", 6).alias("dy"), F.round("dvy", 6).alias("dvy"), F.round("dx", 6).alias("dx"))
+
+
+_POOL = """WITH c AS (SELECT c_custkey, c_nationkey, 1 + c_custkey % 5 AS m FROM customer), t AS (SELECT *, greatest(0, least(0.01e0 * (10 + c_nationkey) * m * 0.5e0, 10 + c_nationkey)) AS u FROM c)"""
+
+
+def _environment(spark, d):
+    cells = table(spark, d, "customer").select("c_custkey", "c_nationkey", (1.0 + F.col("c_custkey") % 5).alias("mass"))
+    pools = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), (10.0 + F.col("n_nationkey")).alias("glucose"), F.lit(0.0).alias("acetate"))
+    return growth.grow(cells, pools, "c_nationkey", k=0.01, dt=0.5)
+
+
+@query(_POOL + "SELECT n_nationkey AS c_nationkey, round(10 + n_nationkey - coalesce(s, 0), 6) AS glucose, round(coalesce(s, 0) * 0.4e0, 6) AS acetate FROM nation LEFT JOIN (SELECT c_nationkey, sum(u) AS s FROM t GROUP BY 1) ON c_nationkey = n_nationkey")
+def environment_pools(spark, d):
+    return _environment(spark, d)[1].withColumns({c: F.round(c, 6) for c in ("glucose", "acetate")})
+
+
+@query(_POOL + """, g AS (SELECT c_custkey, c_nationkey, m + u * 0.6e0 AS m FROM t), l AS (SELECT c_nationkey, max(c_custkey) AS c_custkey FROM g WHERE m > 4 GROUP BY 1)
+SELECT CAST(g.c_custkey AS VARCHAR) AS c_custkey, g.c_nationkey, round(m, 6) AS mass, m > 4 AS divide FROM g LEFT JOIN l ON l.c_custkey = g.c_custkey WHERE l.c_custkey IS NULL
+UNION ALL SELECT g.c_custkey || '_' || i, g.c_nationkey, round(m / 2, 6), false FROM g JOIN l ON l.c_custkey = g.c_custkey, (VALUES (0), (1)) d(i)""")
+def environment_division(spark, d):
+    """Heavy cells propose to divide; in each nation the last of them does."""
+    cells = growth.ready(_environment(spark, d)[0], 4.0)
+    return growth.dispose(cells, "c_nationkey", "c_custkey", ["mass"]).withColumn("mass", F.round("mass", 6))
 
 
 # --- expressions --------------------------------------------------------------------------------
@@ -429,6 +618,23 @@ def path_and_int_arithmetic(spark, d):
     return s.select("s_suppkey", exprs.join_path(F.col("s_name"), F.col("s_nationkey").cast("string")).alias("path"), exprs.int_arithmetic("-", three, F.lit(1)).cast("int").alias("n"))
 
 
+_LENGTH, _TIME, _MASS, _AMOUNT = (units.Dimension.of(**{n: 1}) for n in ("length", "time", "mass", "amount"))
+_KELVIN, _CELSIUS = units.Unit(units.Dimension.of(temperature=1)), units.Unit(units.Dimension.of(temperature=1), 1.0, 273.15)
+_KMH, _MS = units.Unit(_LENGTH, 1000.0) / units.Unit(_TIME, 3600.0), units.Unit(_LENGTH / _TIME)
+
+
+@query(f"SELECT event_id, value + 273.15 AS kelvin, value * {1000.0 / 3600.0!r} AS ms, CASE WHEN user_id = 0 THEN 'Infinity'::DOUBLE ELSE value / user_id END AS moles, value * user_id AS grams FROM events WHERE value > 0")
+def unit_conversions(spark, d):
+    """Affine, scaled, and across dimensions by a factor column, in both directions."""
+    molar = [units.Bridge(_MASS, _AMOUNT, column="user_id", divides=True, both_ways=True)]
+    v, by = F.col("value"), F.col("user_id")
+    told = {
+        "kelvin": units.conversion(_CELSIUS, _KELVIN).apply(v), "ms": units.conversion(_KMH, _MS).apply(v),
+        "moles": units.conversion(units.Unit(_MASS), units.Unit(_AMOUNT), molar).apply(v, by), "grams": units.conversion(units.Unit(_AMOUNT), units.Unit(_MASS), molar).apply(v, by),
+    }
+    return table(spark, d, "events").where("value > 0").select("event_id", *[c.alias(n) for n, c in told.items()])
+
+
 # --- sorts, supersteps, flux balance, streams, documents ----------------------------------------
 
 _ORDER = "price:float|units:integer|status:overwrite[string]"
@@ -493,3 +699,56 @@ def live_windows(spark, d):
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events*.parquet").withColumn("at", F.col("ts").cast("timestamp"))
     told = live.drain(live.windows(stream, ["event_type"], "at", "value", "1 day", "1 hour"), ["window", "event_type"])
     return told.select("event_type", F.unix_timestamp("window.start").alias("day"), F.round("total", 3).alias("total"), "n")
+
+
+@query("""WITH RECURSIVE r AS (SELECT count(*)::DOUBLE AS a, 0e0 AS b, 0.2e0 AS clock, 0e0 AS t FROM region UNION ALL SELECT a - 1, b + 1, 1 / (a - 1), t + clock FROM r WHERE t + clock <= 1)
+SELECT k, round(v, 9) AS v FROM (SELECT arg_max(a, t) AS a, arg_max(b, t) AS b, arg_max(clock, t) AS clock FROM r) UNPIVOT (v FOR k IN (a, b, clock))""")
+def clock_in_state(spark, d):
+    """An event turns one A into B whenever the clock says; a step sets the clock to 1 / A after each."""
+    a0 = table(spark, d, "region").agg(F.count(F.lit(1)).cast("double").alias("v")).select(F.lit("a").alias("k"), "v")
+    amounts = a0.union(spark.createDataFrame([("b", 0.0)], "k string, v double"))
+    stores = {"amounts": schedule.Store(amounts, ("k",), "v"), "clock": schedule.Store(spark.createDataFrame([("clock", 0.2)], "k string, v double"), ("k",), "v", additive=False)}
+    move = lambda view, dt: {"amounts": schedule.Change(view["amounts"].select("k", F.when(F.col("k") == "a", -1.0).otherwise(1.0).alias("v")))}
+    event = schedule.Process("event", ("amounts", "clock"), move, lambda view: view["clock"].first()["v"])
+    wait = schedule.Step("wait", ("amounts",), ("clock",), lambda view, dt: {"clock": schedule.Change(view["amounts"].where("k = 'a'").select(F.lit("clock").alias("k"), F.when(F.col("v") > 0, 1 / F.col("v")).otherwise(1.0).alias("v")))})
+    after = schedule.Engine(stores, [event], [wait], every=2).run(1.0)
+    return after["amounts"].union(after["clock"]).withColumn("v", F.round("v", 9))
+
+
+@query("SELECT c_custkey, round(c_acctbal * 1.21e0, 6) AS c_acctbal FROM customer")
+def composite_changes(spark, d):
+    """A composite passes on what its two inner ticks did."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    store = schedule.Store(rows, ("c_custkey",), "c_acctbal")
+    grow = schedule.Process("grow", ("x",), lambda v, dt: {"x": schedule.Change(v["x"].withColumn("c_acctbal", F.col("c_acctbal") * 0.1 * dt))})
+    inner = schedule.Engine({"x": schedule.Store(rows.limit(0), ("c_custkey",), "c_acctbal")}, [grow])
+    outer = schedule.Engine({"balance": store}, [composites.composite("cell", inner, {"balance": "x"}, {"x": "balance"}, 2.0)])
+    return outer.run(2.0)["balance"].withColumn("c_acctbal", F.round("c_acctbal", 6))
+
+
+@query("SELECT p_partkey, i, round(i * 0.5, 6) AS time, p_size * pow(0.5, i) AS v FROM part, (SELECT unnest(range(5)) AS i)")
+def process_frames(spark, d):
+    start = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("v"))
+    told = runs.run_process(start, lambda rows, dt: rows.withColumn("v", F.col("v") * dt), 2.0, 0.5)
+    return told.rows.select("p_partkey", "i", F.round("time", 6).alias("time"), "v")
+
+
+@query("SELECT p_partkey, i, p_size + i * 0.25 AS v FROM part, (SELECT unnest(range(5)) AS i)")
+def simulated_frames(spark, d):
+    start = schedule.Store(table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("v")), ("p_partkey",), "v")
+    told = runs.simulate(start, lambda rows, dt: schedule.Change(rows.withColumn("v", F.lit(dt))), 1.0, 0.25)
+    return told.rows.select("p_partkey", "i", "v")
+
+
+@query("SELECT event_id::DOUBLE AS time, CAST(user_id AS VARCHAR) AS payload, 'events' AS name FROM events")
+def trace_stream(spark, d):
+    frames = table(spark, d, "events").select(F.col("event_id").alias("time"), F.col("user_id").cast("string").alias("payload"))
+    return documents.trace_from_arrow(documents.trace_to_arrow(frames, "events", sorts.INTEGER), sorts.ANY).select("time", "payload", "name")
+
+
+@query("SELECT user_id, round(sum(value), 3) AS state FROM events WHERE value IS NOT NULL GROUP BY 1 HAVING abs(sum(value)) > 0")
+def live_changes(spark, d):
+    """The differences that a live filter puts out add up to the totals."""
+    events = table(spark, d, "events").select("user_id", "value")
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet").select(*events.columns)
+    return live.collected(live.changes(stream, ["user_id"], "value")).groupBy("user_id").agg(F.round(F.sum("delta"), 3).alias("state"))

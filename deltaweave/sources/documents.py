@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from deltaweave.functions import sorts
 from deltaweave.operators import flux
+from deltaweave.runtime import ship
 
 #: A document above this many bytes is data, and belongs in a table.
 MOST_BYTES = 64 << 20
@@ -82,3 +83,43 @@ def from_arrow(streams: DataFrame, schema: StructType | str) -> DataFrame:
 def to_csv(rows: DataFrame, path: str) -> None:
     """Write CSV files with headers."""
     rows.write.mode("overwrite").csv(path, header=True)
+
+
+#: Names of the header of a trace's stream.
+NAME, ELEMENT = "trace.name", "trace.element"
+
+
+def trace_to_arrow(rows: DataFrame, name: str, element: sorts.Sort) -> DataFrame:
+    """Frames ``(time double, payload string)`` as Arrow IPC streams whose header tells the trace's name and the sort of its elements."""
+    told = {NAME: name, ELEMENT: json.dumps(sorts.as_value(element))}
+    schema = pa.schema([pa.field("time", pa.float64(), False), pa.field("payload", pa.string(), False)], told)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, schema) as out:
+                out.write_batch(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema))
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue()], pa.binary()), pa.array([batch.num_rows], pa.int64())], ["stream", "n"])
+
+    return rows.select(F.col("time").cast("double"), F.coalesce(F.col("payload").cast("string"), F.lit("null")).alias("payload")).mapInArrow(pack, "stream binary, n long")
+
+
+def trace_from_arrow(streams: DataFrame, wanted: sorts.Sort = sorts.ANY) -> DataFrame:
+    """``name, element, time, payload`` of traces' streams; elements that do not refine ``wanted`` are refused before a frame is read."""
+    ship(streams.sparkSession)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stream in batch.column(batch.schema.get_field_index("stream")):
+                if not stream.is_valid:
+                    continue
+                reader = pa.ipc.open_stream(stream.as_py())
+                header = {k.decode(): v.decode() for k, v in (reader.schema.metadata or {}).items()}
+                element = sorts.from_value(json.loads(header[ELEMENT]))
+                if not sorts.refines(element, wanted):
+                    raise TypeError(f"{element.kind} does not refine {wanted.kind}")
+                for part in reader:
+                    told = [pa.array([header[k]] * part.num_rows, pa.string()) for k in (NAME, ELEMENT)]
+                    yield pa.RecordBatch.from_arrays([*told, part.column(0), part.column(1)], ["name", "element", "time", "payload"])
+
+    return streams.mapInArrow(unpack, "name string, element string, time double, payload string")
