@@ -41,7 +41,9 @@ def test_diffusion_keeps_mass_and_flattens(spark):
 
 
 def test_rk4_is_close_to_the_exact_solution(spark):
-    last = kinetics.decay(spark, kinetics.RK4).where("i = 25").first()
+    start = spark.createDataFrame([(1.0, 0.0)], "a double, b double")
+    decay = [kinetics.Reaction((("a", 1),), (("b", 1),), 0.7)]
+    last = kinetics.mass_action(start, decay, ["a", "b"], 0.2, 25).where("i = 25").first()
     assert abs(last["a"] - math.exp(-0.7 * 5)) < 1e-5 and abs(last["a"] + last["b"] - 1) < 1e-9
 
 
