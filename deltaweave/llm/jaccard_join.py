@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaweave.llm import bloom
 from deltaweave.llm.components import components
 from deltaweave.llm.groups import runs
 from deltaweave.llm.hot import hot_keys, join_hot
@@ -48,7 +49,6 @@ WIDTH, PERCENT = 3, 90
 SIGNATURE, SIGNATURE_MOST, LEAF, BLOCK = 64, 8192, 48, 256
 #: Frequent shingles that are told from the others (at most, by documents seen), per task slice and in all.
 HOT_SLICE, HOT, HOT_LEAST = 2000, 50_000, 40
-BLOOM_LEAST, BLOOM_MOST = 1 << 16, 1 << 26
 #: Characters of text for each bucket of regions; the most shuffle partitions, each of which takes many buckets one by one.
 BUCKET_CHARS, MOST_PARTITIONS = 32_000_000, 1 << 14
 #: Members of a region that one task joins; larger regions are dealt in pairs of blocks.
@@ -201,36 +201,16 @@ def _shared(table_: pa.Table) -> pa.Table:
     return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["pivot", "class"])
 
 
-def _bloom_bits(keys: np.ndarray, bits: int) -> np.ndarray:
-    h = mix(keys.astype(np.int64).view(np.uint64))
-    return np.concatenate([h % np.uint64(bits), (h >> np.uint64(32)) % np.uint64(bits)]).astype(np.int64)
-
-
-def _bloom(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(bits, bool)
-        for batch in batches:
-            flags[_bloom_bits(np.asarray(batch.column(0), np.int64), bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["flags"])
-
-    return run
-
-
-def bloom_filter(ids: DataFrame, count: int) -> tuple[bytes, int]:
-    """A Bloom filter of at most ``BLOOM_MOST`` bits over a column of longs, united from a few tasks."""
-    bits = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (16 * count).bit_length()))
-    flags = np.zeros(bits // 8, np.uint8)
-    for row in ids.coalesce(8).mapInArrow(_bloom(bits), "flags binary").toLocalIterator():
-        flags |= np.frombuffer(row["flags"], np.uint8)
-    return flags.tobytes(), bits
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column(0), np.int64)
 
 
 def _whole_sets(width: int, flags: bytes, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)
+        wanted = np.frombuffer(flags, np.uint8)
         for batch in slices(batches):
             ids = np.asarray(batch.column(0).fill_null(0), np.int64)
-            hit = wanted[_bloom_bits(ids, bits)].reshape(2, -1).all(axis=0) & ~np.asarray(batch.column(0).is_null())
+            hit = bloom.holds(wanted, bits, ids) & ~np.asarray(batch.column(0).is_null())
             batch = batch.filter(pa.array(hit))
             sets = Sets(batch.column(1), width)
             classes = sets.classes()
@@ -485,11 +465,11 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         """``class, members`` of the wanted classes (and of a few others), one row each."""
         ids = stage(wanted.join(classes.select("class", "id"), "class").select("id"), f"{name}_ids")
         count = ids.count()
-        if 16 * count <= BLOOM_MOST:
-            sets = rows.mapInArrow(_whole_sets(width, *bloom_filter(ids, count)), "class long, members binary")
+        if bloom.EACH * count <= bloom.MOST:
+            sets = rows.mapInArrow(_whole_sets(width, *bloom.build(ids, count, _ids)), "class long, members binary")
         else:
-            every = np.full(BLOOM_LEAST // 8, 255, np.uint8).tobytes()
-            sets = rows.join(ids, "id", "left_semi").mapInArrow(_whole_sets(width, every, BLOOM_LEAST), "class long, members binary")
+            every = np.full(bloom.LEAST // 8, 255, np.uint8).tobytes()
+            sets = rows.join(ids, "id", "left_semi").mapInArrow(_whole_sets(width, every, bloom.LEAST), "class long, members binary")
         sets = stage(sets.withColumn("row", F.monotonically_increasing_id()), f"{name}_sets")
         one_each = sets.groupBy("class").agg(F.min("row").alias("row"))  # repeated rows and false hits of the filter
         return sets.join(one_each.select("row"), "row", "left_semi").select("class", "members")

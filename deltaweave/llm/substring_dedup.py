@@ -6,16 +6,18 @@ whole block of ``BLOCK`` words that starts at a multiple of ``BLOCK`` (2 * BLOCK
 1. Index and probe.  Every document's non-overlapping blocks are indexed by hash, and every rolling
    window of ``BLOCK`` words of every document probes the index.  Both sides are dealt by hash: a
    task packs its probes into one row per bucket, with one entry per distinct hash, so a passage
-   that a third of all rows share sends one entry per task.  A hash with a block and another
-   occurrence is a hit.
-2. Extend.  Around the hits, windows of ``WINDOW`` words are compared by 96-bit hashes, dealt
-   the same way; the smallest (document, start) of each window is its first occurrence and every
-   other one is a repeat.  Runs of repeated windows are the maximal exact repeats.
+   that a third of all rows share sends one entry per task.  A hash with an indexed block and another
+   occurrence is a hit; hits go into a Bloom filter of bounded size.
+2. Extend.  Every window of ``WINDOW`` words around a hit is compared with all others like it by its
+   words' 96-bit hash, dealt the same way; the smallest (document, start) of each window is its first
+   occurrence and every other one is a repeat.  Runs of repeated windows are the maximal exact
+   repeats.  A false hit of the filter only sends a window that turns out to be alone.
 3. Remove.  Words that a repeated window covers are dropped from the text.
 
-No pairs of documents are formed, nothing is capped, and no group of occurrences meets in one task
-other than as one entry per task.  The number of buckets grows with the text, that of shuffle
-partitions up to ``MOST_PARTITIONS``; a task takes its buckets one by one from a sorted shuffle.
+Only hashes travel, and the texts of documents that lose words.  No pairs of documents are formed,
+nothing is capped, and no group of occurrences meets in one task other than as one entry per task.
+The number of buckets grows with the text, that of shuffle partitions up to ``MOST_PARTITIONS``; a
+task takes its buckets one by one from a sorted shuffle.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaweave.llm import bloom
 from deltaweave.llm.tokens import slices
-from deltaweave.llm.wordhash import hashes, inside, rolling, words_of
+from deltaweave.llm.wordhash import hashes, inside, mix, rolling, words_of
 from deltaweave.runtime import ship, shuffle_width, stage, table
 
 BLOCK, WINDOW = 10, 20
@@ -67,35 +70,40 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
+def _named(key: np.ndarray, buckets: int) -> np.ndarray:
+    """A block's hash as its bucket knows it: the bucket and 32 bits of the hash."""
+    return (key % np.uint64(buckets)) | (key >> np.uint64(32)) << np.uint64(32)
+
+
+def _blocks(counts: np.ndarray, block: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all windows of ``block`` words, and whether they are aligned, in texts long enough for a ``window``."""
+    starts = np.cumsum(counts) - counts
+    many = np.where(counts >= window, counts - block + 1, 0)  # shorter texts neither index nor probe
+    inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(starts, many) + inner, inner % block == 0
+
+
 def _probe(buckets: int, block: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, tags = _keys(batch)
             words, counts = words_of(batch.column(2))
-            starts = np.cumsum(counts) - counts
-            many = np.where(counts >= window, counts - block + 1, 0)  # texts too short for a window neither index nor probe
-            at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            at, anchor = _blocks(counts, block, window)
             if not len(at):
                 continue
             key = rolling(hashes(words), block)[at]
-            number = _batch_id(keys, tags, 1)
-            of = np.searchsorted(starts, at, "right") - 1
-            anchor = (at - starts[of]) % block == 0
             order = np.argsort(key, kind="stable")
             first = np.concatenate([[True], np.diff(key[order]) != 0])
             group = np.cumsum(first) - 1
-            many = np.bincount(group)
-            lead = order[first]
-            anchored = np.bincount(group, anchor[order]) > 0
-            local = np.zeros(len(words), np.uint8)
-            local[at[order[many[group] > 1]]] = 1
-            bucket = (key[lead] % np.uint64(buckets)).astype(np.int32)
-            entries = (key[lead] >> np.uint64(32)).astype("<u4")
-            spot = (at[lead].astype(np.uint32) << np.uint32(1)) | anchored.astype(np.uint32)
-            sort = np.lexsort((spot, bucket))
-            rows = [(b, n, k, x, y, None) for b, n, k, x, y in _deal(number, sort, bucket, [entries, spot.astype("<u4")])]
-            rows.append((int(number % buckets), number, TABLE, np.stack([keys, tags, counts]).astype("<i8").tobytes(), np.packbits(local).tobytes(), None))
-            yield _rows(rows, _ROWS)
+            lead = key[order[first]]
+            flags = ((np.bincount(group, anchor[order]) > 0) | (np.bincount(group) > 1) * 2).astype(np.uint8)
+            bucket = (lead % np.uint64(buckets)).astype(np.int32)
+            sort = np.argsort(bucket, kind="stable")
+            parts = np.split(sort, np.flatnonzero(np.diff(bucket[sort])) + 1)
+            high = (lead >> np.uint64(32)).astype("<u4")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(bucket[x[0]]) for x in parts], pa.int32()), pa.array([high[x].tobytes() for x in parts], pa.binary()), pa.array([flags[x].tobytes() for x in parts], pa.binary())],
+                ["bucket", "keys", "flags"],
+            )
 
     return run
 
@@ -105,23 +113,24 @@ def _column(table_: pa.Table, name: str) -> list:
 
 
 def _meet(table_: pa.Table) -> pa.Table:
-    """Hits among the entries of one bucket, as places to send back to their batches."""
-    out, entries = [], []
-    for batch, kind, a, b, c in zip(*(_column(table_, n) for n in ("batch", "kind", "a", "b", "c"))):
-        if kind == TABLE:
-            out.append((batch, TABLE, a, b, c))
-        else:
-            entries.append((batch, np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")))
-    if entries:
-        key, spot = np.concatenate([e[1] for e in entries]), np.concatenate([e[2] for e in entries])
-        source = np.repeat(np.arange(len(entries)), [len(e[1]) for e in entries])
-        order = np.argsort(key, kind="stable")
-        group = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
-        hit = (np.bincount(group) > 1) & (np.bincount(group, spot[order] & 1) > 0)
-        found = np.sort(order[hit[group]])
-        for i, part in zip(*_by(source[found], spot[found] >> 1)):
-            out.append((entries[i][0], ENTRY, part.astype("<u4").tobytes(), None, None))
-    return pa.Table.from_batches([_rows(out, _BACK)])
+    """Hits among the entries of one bucket: hashes with an aligned block and another occurrence."""
+    key = np.concatenate([np.frombuffer(x, "<u4") for x in _column(table_, "keys")])
+    flags = np.concatenate([np.frombuffer(x, np.uint8) for x in _column(table_, "flags")])
+    order = np.argsort(key, kind="stable")
+    first = np.concatenate([[True], np.diff(key[order]) != 0])
+    group = np.cumsum(first) - 1
+    hit = ((np.bincount(group) > 1) | (np.bincount(group, flags[order] & 2) > 0)) & (np.bincount(group, flags[order] & 1) > 0)
+    found = key[order[first][hit]].astype("<u4")
+    return pa.table([pa.array([_column(table_, "bucket")[0]], pa.int32()), pa.array([len(found)], pa.int64()), pa.array([found.tobytes()], pa.binary())], ["bucket", "n", "keys"])
+
+
+def _hit_names(batch: pa.RecordBatch) -> np.ndarray:
+    parts = [np.uint64(b) | np.frombuffer(k, "<u4").astype(np.uint64) << np.uint64(32) for b, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+    return np.concatenate([*parts, np.zeros(0, np.uint64)])
+
+
+def _row_names(keys: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    return mix(keys.view(np.uint64)) ^ tags.view(np.uint64)
 
 
 def _by(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
@@ -158,17 +167,23 @@ def _flags_of(batch: pa.RecordBatch, counts: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
 
-def _windows(buckets: int, block: int, window: int):
+def _windows(buckets: int, block: int, window: int, hits: bytes, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = np.frombuffer(hits, np.uint8)
         for batch in slices(batches):
             keys, tags = _keys(batch)
             words, counts = words_of(batch.column(2))
-            sums = np.concatenate([[0], np.cumsum(_flags_of(batch, counts))])
+            at, _ = _blocks(counts, block, window)
+            if not len(at):
+                continue
+            own = hashes(words)
+            hit = np.zeros(len(words) + 1, np.int64)
+            hit[at[bloom.holds(filter_, bits, _named(rolling(own, block)[at], buckets))] + 1] = 1
+            sums = np.cumsum(hit)
             at = inside(counts, window)
             at = at[sums[at + window - block + 1] > sums[at]]
             if not len(at):
                 continue
-            own = hashes(words)
             one, two = rolling(own, window)[at], rolling(own, window, 1)[at] >> np.uint64(32)
             starts = np.cumsum(counts) - counts
             of = np.searchsorted(starts, at, "right") - 1
@@ -264,20 +279,31 @@ def repeated_parts(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(shuffle_width(spark), -(-chars // BUCKET_CHARS))
     width = min(buckets, MOST_PARTITIONS)
-    probes = rows.mapInArrow(_probe(buckets, block, window), _DEALT).repartition(width, "bucket")
-    hits = stage(probes.groupBy("bucket").applyInArrow(_meet, _BACK_SQL), "hits")
-    flags = hits.groupBy("batch").applyInArrow(_collect, "key long, tag long, places binary").groupBy("key", "tag").agg(F.max("places").alias("places"))
-    small = F.lit(int(np.iinfo(np.int64).min))
-    marked = rows.withColumn("k", F.coalesce("key", small)).join(flags.withColumnRenamed("key", "k"), ["k", "tag"])
-    marked = stage(marked.select("key", "tag", "text", "places"), "marked")
-    windows = marked.mapInArrow(_windows(buckets, block, window), _DEALT).repartition(width, "bucket")
+    probes = rows.mapInArrow(_probe(buckets, block, window), "bucket int, keys binary, flags binary").repartition(width, "bucket")
+    hits = stage(probes.groupBy("bucket").applyInArrow(_meet, "bucket int, n long, keys binary"), "hits")
+    found = bloom.build(hits, hits.agg(F.sum("n")).first()[0] or 0, _hit_names)
+    windows = rows.mapInArrow(_windows(buckets, block, window, *found), _DEALT).repartition(width, "bucket")
     later = stage(windows.groupBy("bucket").applyInArrow(_repeats, _BACK_SQL), "repeats")
     gone = later.groupBy("batch").applyInArrow(_collect, "key long, tag long, places binary").groupBy("key", "tag").agg(F.max("places").alias("places"))
-    texts = marked.select("key", "tag", "text").dropDuplicates(["key", "tag"]).withColumn("k", F.coalesce("key", small))
+    gone = stage(gone, "gone")
+    losers = bloom.build(gone.select("key", "tag"), gone.count(), lambda batch: _row_names(*_keys(batch)))
+    small = F.lit(int(np.iinfo(np.int64).min))
+    texts = rows.mapInArrow(_among(*losers), "key long, tag long, text string").dropDuplicates(["key", "tag"]).withColumn("k", F.coalesce("key", small))
     cut = texts.join(gone.withColumnRenamed("key", "k"), ["k", "tag"]).select("key", "tag", "text", "places")
     return cut.mapInArrow(_drop(window), "key long, tag long, n_removed long, kept string")
 
 
+def _among(flags: bytes, bits: int):
+    """Rows whose key and tag the filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = np.frombuffer(flags, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.holds(filter_, bits, _row_names(*_keys(batch)))))
+
+    return run
+
+
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, window: int = WINDOW) -> DataFrame:
     """``key, n_words, n_removed, kept_sha256`` of every row.
 
