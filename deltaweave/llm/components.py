@@ -27,29 +27,27 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
     current = stage(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
     nodes = stage(current.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "nodes")
-    maps: list[DataFrame] = []
+    maps: list[tuple[DataFrame, int]] = []  # and twice the number of edges, which bounds the rows
     level = 0
-    while True:
+    while many := current.where("src <> dst").count():
         live = current.where("src <> dst")
-        if live.isEmpty():
-            break
         level += 1
         both = live.select("src", "dst").unionAll(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         priority = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(level)).alias("p"), F.col(c).alias("v"))
         best = both.groupBy("src").agg(F.min(priority("dst")).alias("near"), F.count(F.lit(1)).alias("n"))
         own = priority("src")
         parent = stage(best.select(F.col("src").alias("id"), F.least(F.col("near"), own)["v"].alias("parent"), "n"), f"parent{level}")
-        maps.append(parent.select("id", "parent"))
-        hot = hot_keys(parent, "id")
+        maps.append((parent.select("id", "parent"), 2 * many))
+        hot = hot_keys(parent, "id", total=2 * many)
         left = parent.select(F.col("id").alias("src"), F.col("parent").alias("a"))
         right = parent.select(F.col("id").alias("dst"), F.col("parent").alias("b"))
         moved = join_hot(join_hot(live, left, ["src"], hot, "dst"), right, ["dst"], hot, "src").where("a <> b")
         current = stage(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), f"edges{level}")
     if not maps:
         return nodes.select("id", F.col("id").alias("component"))
-    root = maps[-1].select("id", F.col("parent").alias("root"))
-    for parent in maps[-2::-1]:
-        hot = hot_keys(parent.groupBy("parent").agg(F.count(F.lit(1)).alias("n")), "parent")
+    root = maps[-1][0].select("id", F.col("parent").alias("root"))
+    for parent, rows in maps[-2::-1]:
+        hot = hot_keys(parent.groupBy("parent").agg(F.count(F.lit(1)).alias("n")), "parent", total=rows)
         above = root.select(F.col("id").alias("parent"), "root")
         root = join_hot(parent, above, ["parent"], hot, "id", "left").select("id", F.coalesce("root", "parent").alias("root"))
     labels = stage(nodes.join(root, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "roots")

@@ -12,9 +12,11 @@ SALTS = 64
 
 
 def hot_keys(counted: DataFrame, key: str, n: str = "n", total: int | None = None) -> list[int]:
-    """The keys of ``counted(key, n)`` that hold a large share of all rows: at most ``HOT_PART``."""
+    """The keys of ``counted(key, n)`` that hold a large share of all rows: at most ``HOT_PART``; none among few rows."""
     if total is None:
         total = counted.agg(F.sum(n)).first()[0] or 0
+    if total < HOT_PART * HOT_LEAST:
+        return []
     return [r[0] for r in counted.where((F.col(n) >= HOT_LEAST) & (F.col(n) * HOT_PART >= total) & F.col(key).isNotNull()).select(key).collect()]
 
 

@@ -43,7 +43,9 @@ def union(ids, pairs):
     return {i: find(i) for i in ids}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("least", [64, 0])
+def test_components(spark, monkeypatch, least):
+    monkeypatch.setattr(hot, "HOT_LEAST", least)
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)]
     pairs += [(2000, 2001 + i) for i in range(300)] + [(2150, 3000 + i) for i in range(100)] + [(5000, 5000)]  # hubs and a loop
@@ -71,7 +73,7 @@ def test_misra_gries_finds_frequent_items():
     assert b"x" in exact_dedup.misra_gries(iter(items), 4)
 
 
-@pytest.mark.parametrize("width, percent, region, least", [(3, 90, 2000, 64), (5, 80, 6, 2)])
+@pytest.mark.parametrize("width, percent, region, least", [(3, 90, 2000, 64), (5, 80, 6, 0)])
 def test_jaccard_join(spark, monkeypatch, width, percent, region, least):
     monkeypatch.setattr(jaccard_join, "REGION", region)
     monkeypatch.setattr(hot, "HOT_LEAST", least)
