@@ -23,6 +23,8 @@ CACHE_PIECES, KEEP_PIECE = 700_000, 10
 PLAIN = r"^[!-~\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{17e}]*$"
 #: The tokenizer's own pre-token pattern, for lower-cased plain words.
 PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+#: The two commonest kinds of words, for which that pattern needs no search: letters, and letters before other signs.
+LETTERS, SIGNED = r"^\p{L}+$", r"^(\p{L}+)([^\s\p{L}\p{N}]+)$"
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -31,6 +33,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.nd
     return values[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
 
 
+def spaced(words: pa.StringArray) -> pa.StringArray:
+    """Lower-cased plain words with a space after each pre-token (or none after the last)."""
+    other = pc.invert(pc.match_substring_regex(words, LETTERS))
+    rest = words.filter(other)
+    signed = pc.match_substring_regex(rest, SIGNED)
+    hard = pc.invert(signed)
+    parted = pc.replace_with_mask(rest, signed, pc.replace_substring_regex(rest.filter(signed), SIGNED, r"\1 \2"))
+    parted = pc.replace_with_mask(parted, hard, pc.replace_substring_regex(rest.filter(hard), PIECES, r"\1 "))
+    return pc.replace_with_mask(words, other, parted)
+
+
 class Ragged:
     """Runs of values: the value list and each run's start and length."""
 
@@ -94,7 +107,7 @@ class WordEncoder:
         plain = np.asarray(pc.match_substring_regex(words, PLAIN))
         if self.special:  # their texts are single ids, which the tokenizers library gives
             plain = plain & ~np.asarray(pc.match_substring_regex(words, self.special))
-        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(words.filter(pa.array(plain))), PIECES, r"\1 "))
+        cut = pc.ascii_split_whitespace(spaced(pc.utf8_lower(words.filter(pa.array(plain)))))
         many = np.asarray(pc.list_value_length(cut), np.int64)
         numbered = pc.list_flatten(cut).dictionary_encode()
         out = self._pieces(numbered.dictionary.to_pylist()).take(np.asarray(numbered.indices, np.int64), many)
