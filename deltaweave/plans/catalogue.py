@@ -499,7 +499,7 @@ def brownian_walk(spark, d):
     return particles.walk(rows, 0.5, 1.0, seed=7, drift=(0.25, 0.0), key="event_id").withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
 
-_CELLS = f"SELECT {_BIN.format(c='(user_id % 100)')} AS y, {_BIN.format(c='value')} AS x, round(avg(value), 4) AS v FROM events WHERE value IS NOT NULL GROUP BY 1, 2"
+_CELLS = f"SELECT {_BIN.format(c='(user_id % 100)')} AS y, {_BIN.format(c='value')} AS x, round(avg(value), 9) AS v FROM events WHERE value IS NOT NULL GROUP BY 1, 2"
 
 
 def _carriers(spark, d):
@@ -507,20 +507,20 @@ def _carriers(spark, d):
     e = table(spark, d, "events").where("value IS NOT NULL")
     one = lambda c: F.create_map(F.lit("m"), c)
     rows = e.select(F.col("event_id").alias("id"), F.col("value").alias("x"), F.pmod("user_id", F.lit(100)).cast("double").alias("y"), one(F.lit(1.5)).alias("local"), one(F.col("value")).alias("exchange"))
-    cells = e.groupBy(particles.bin_of(F.pmod("user_id", F.lit(100)).cast("double"), 100.0, 10).alias("y"), particles.bin_of(F.col("value"), 100.0, 10).alias("x")).agg(F.round(F.avg("value"), 4).alias("v"))
+    cells = e.groupBy(particles.bin_of(F.pmod("user_id", F.lit(100)).cast("double"), 100.0, 10).alias("y"), particles.bin_of(F.col("value"), 100.0, 10).alias("x")).agg(F.round(F.avg("value"), 9).alias("v"))
     return rows, cells.select(F.lit("m").alias("mol"), "y", "x", "v")
 
 
-@query(f"SELECT event_id, round(v - 1.5, 4) AS local, -value AS exchange FROM events JOIN ({_CELLS}) c ON c.y = {_BIN.format(c='(user_id % 100)')} AND c.x = {_BIN.format(c='value')} WHERE value IS NOT NULL")
+@query(f"SELECT event_id, round(v - 1.5, 6) AS local, -value AS exchange FROM events JOIN ({_CELLS}) c ON c.y = {_BIN.format(c='(user_id % 100)')} AND c.x = {_BIN.format(c='value')} WHERE value IS NOT NULL")
 def particle_sampling(spark, d):
     _, changed = particles.exchange_maps(*_carriers(spark, d), 10, 10, (100.0, 100.0))
-    return changed.select(F.col("id").alias("event_id"), F.round(F.col("local")["m"], 4).alias("local"), F.col("exchange")["m"].alias("exchange"))
+    return changed.select(F.col("id").alias("event_id"), F.round(F.col("local")["m"], 6).alias("local"), F.col("exchange")["m"].alias("exchange"))
 
 
-@query(f"SELECT {_BIN.format(c='(user_id % 100)')} AS y, {_BIN.format(c='value')} AS x, round(sum(value) / 200, 4) AS v FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+@query(f"SELECT {_BIN.format(c='(user_id % 100)')} AS y, {_BIN.format(c='value')} AS x, round(sum(value) / 200, 9) AS v FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
 def particle_deposit(spark, d):
     onto, _ = particles.exchange_maps(*_carriers(spark, d), 10, 10, (100.0, 100.0), depth=2.0)
-    return onto.select("y", "x", F.round("v", 4).alias("v"))
+    return onto.select("y", "x", F.round("v", 9).alias("v"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_retailprice AS m, p_retailprice >= 1500 AS heavy, row_number() OVER (PARTITION BY p_retailprice >= 1500 ORDER BY p_partkey) AS r FROM part)
