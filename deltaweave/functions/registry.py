@@ -65,24 +65,27 @@ def apply_items(current: Column, removed: Column | None = None, added: Column |
     return kept if added is None else F.when(added.isNull(), kept).otherwise(F.concat(kept, added))
 
 
-def divide_column(sort: sorts.Sort, value: Column, part: Column, n: int) -> Column:
-    """Daughter ``part`` of ``n``: extensive amounts are split, integers with their remainder, all else is shared."""
+def divide_column(sort: sorts.Sort, value: Column, part: Column, n: int, wide: bool = False) -> Column:
+    """Daughter ``part`` of ``n``: extensive amounts are split, integers with their remainder, all else is shared.
+
+    Integers may be ``wide``: beyond long, in up to 38 digits, as long as the shares are long.
+    """
     if sort.kind == "delta":
         return value / n
     if sort.kind == "integer":
-        return split_int(value, n, part)
+        return split_int(value, n, part, wide)
     if sort.kind in ("maybe", "overwrite"):
-        return divide_column(sort.args[0], value, part, n)
+        return divide_column(sort.args[0], value, part, n, wide)
     if sort.kind == "map":
-        return F.transform_values(value, lambda _, v: divide_column(sort.args[0], v, part, n))
+        return F.transform_values(value, lambda _, v: divide_column(sort.args[0], v, part, n, wide))
     if sort.kind == "array" and len(sort.values) > 1:
         below = sorts.Sort("array", sort.args, values=sort.values[1:])
-        return F.transform(value, lambda v: divide_column(below, v, part, n))
+        return F.transform(value, lambda v: divide_column(below, v, part, n, wide))
     if sort.kind in ("list", "array"):
-        return F.transform(value, lambda v: divide_column(sort.args[0], v, part, n))
+        return F.transform(value, lambda v: divide_column(sort.args[0], v, part, n, wide))
     if sort.kind in ("tree", "tuple"):
         names = sort.names or tuple(f"_{i + 1}" for i in range(len(sort.args)))
-        return F.struct(*[divide_column(a, value[k], part, n).alias(k) for k, a in zip(names, sort.args)])
+        return F.struct(*[divide_column(a, value[k], part, n, wide).alias(k) for k, a in zip(names, sort.args)])
     return value
 
 

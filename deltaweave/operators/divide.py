@@ -21,11 +21,18 @@ def split_extensive(total: Column, n: int) -> Column:
     return total / n
 
 
-def split_int(total: Column, n: int, index: Column) -> Column:
-    """Truncated share; the remainder goes one apiece, with its sign, to the first daughters."""
-    total = total.cast("long")  # whole numbers only: doubles lose what is above 2^53
+def split_int(total: Column, n: int, index: Column, wide: bool = False) -> Column:
+    """Truncated share; the remainder goes one apiece, with its sign, to the first daughters.
+
+    A ``wide`` total may have 38 digits; shares are long, and one that long can't hold is an error.
+    """
+    total = total.cast("decimal(38,0)" if wide else "long")  # whole numbers only: doubles lose what is above 2^53
     extra = total % n
-    return F.call_function("div", total, F.lit(n)) + F.when(index < F.abs(extra), F.when(extra < 0, -1).otherwise(1)).otherwise(0).cast("long")
+    share = F.call_function("div", total, F.lit(n))
+    if wide:  # the division of decimals cuts what long can't hold
+        bound = F.lit(str(n * 2**63)).cast("decimal(38,0)")
+        share = F.when(total.isNull() | ((total >= -bound) & (total < bound)), share).otherwise(F.raise_error(F.lit("a share is beyond long")).cast("long"))
+    return share + F.when(index < F.abs(extra), F.when(extra < 0, -1).otherwise(1)).otherwise(0).cast("long")
 
 
 def divide_rows(state: DataFrame, dividing: Column, key: str, extensive: list[str], n: int = 2, whole: tuple[str, ...] = (), override: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from deltaweave.functions import exprs
@@ -104,3 +105,17 @@ def test_growth_has_the_bits_of_its_mass_balance(spark):
     for r in rows:
         u = 6.0 * r["start"] / (5.0 + r["start"])
         assert r["growth"] == 0.1 * min(u, 1.5) + 0.03 * max(u - 1.5, 0.0)
+
+
+def test_whole_numbers_above_long_are_divided(spark, tmp_path):
+    keys = (0, 92_233, 92_234, 119_999, 276_700)
+    spark.createDataFrame([(k, 1 + k % 50) for k in keys], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    out = catalogue.divide_whole(spark, str(tmp_path))
+    assert dict(out.dtypes)["share"] == "bigint"
+    whole = {k: divmod(k * 10**14 + 1 + k % 50, 3) for k in keys}
+    assert {(r["p_partkey"], r["daughter"]): r["share"] for r in out.collect()} == {(k, i): q + (i < rest) for k, (q, rest) in whole.items() for i in range(3)}
+    shares = [divide.split_int(F.col("v"), 3, F.lit(i), wide=True).alias(f"s{i}") for i in range(3)]
+    wide = spark.createDataFrame([(str(v),) for v in (-3 * 2**63, -(2**63) - 2, 2**63 + 1, 3 * 2**63 - 3)], "v string").select(F.col("v").cast("decimal(38,0)").alias("v"))
+    assert all(sum(r[1:]) == int(r["v"]) for r in wide.select("v", *shares).collect())
+    with pytest.raises(Exception, match="beyond long"):
+        spark.range(1).select(F.lit(str(3 * 2**63)).cast("decimal(38,0)").alias("v")).select(*shares).collect()
