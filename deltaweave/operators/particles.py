@@ -95,6 +95,8 @@ def walk(particles: DataFrame, rate: float, dt: float, seed: int = 0, drift: tup
 
 #: Mass by area, from which a particle's radius follows.
 DENSITY = 0.015
+#: Pairs of discs in neighbouring cells that are looked at together.
+CANDIDATES = 1 << 20
 
 
 def radius(mass: Column, density: float = DENSITY) -> Column:
@@ -154,7 +156,7 @@ def collide(particles: DataFrame, bounds: tuple[float, float], dt: float, gravit
     1).  A velocity falls to the part ``damping`` of itself in a unit of time, if that is between 0 and
     1.  Each substep moves all discs, reflects them at walls and exchanges impulses along the line of
     centres of those that touch; only discs of neighbouring grid cells are compared.  A world is one
-    task's work; worlds are independent.
+    task's work; worlds are independent.  Infinite ``bounds`` are no walls on the far sides.
     """
     ship(particles.sparkSession)
     h, keep = dt / substeps, (damping ** (dt / substeps) if 0 < damping < 1 else 1.0)
@@ -195,12 +197,33 @@ def collide(particles: DataFrame, bounds: tuple[float, float], dt: float, gravit
 
 def touching(at: np.ndarray, r: np.ndarray, side: float) -> list[tuple[int, int]]:
     """Pairs of discs that overlap, in order; only neighbouring cells of a grid of width ``side`` are looked at."""
-    cells: dict[tuple[int, int], list[int]] = {}
-    spots = [tuple(c) for c in np.floor(at / side).astype(np.int64).tolist()]
-    for i, c in enumerate(spots):
-        cells.setdefault(c, []).append(i)
-    out = []
-    for i, (x, y) in enumerate(spots):
-        near = [j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((x + dx, y + dy), ()) if j > i]
-        out += [(i, j) for j in sorted(near) if math.hypot(*(at[j] - at[i])) < r[i] + r[j]]
-    return out
+    if len(at) < 2:
+        return []
+    spots = np.floor(at / side).astype(np.int64)
+    xs, column = np.unique(spots[:, 0], return_inverse=True)
+    ys, row = np.unique(spots[:, 1], return_inverse=True)
+    cell = column * len(ys) + row
+    order = np.argsort(cell, kind="stable")
+    filled = cell[order]
+    found = []
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            x, y = np.searchsorted(xs, spots[:, 0] + dx), np.searchsorted(ys, spots[:, 1] + dy)
+            near = np.minimum(x, len(xs) - 1) * len(ys) + np.minimum(y, len(ys) - 1)
+            real = (xs[np.minimum(x, len(xs) - 1)] == spots[:, 0] + dx) & (ys[np.minimum(y, len(ys) - 1)] == spots[:, 1] + dy)
+            first = np.searchsorted(filled, near, "left")
+            many = np.where(real, np.searchsorted(filled, near, "right") - first, 0)
+            ends = np.cumsum(many)
+            low = 0
+            while low < len(at):  # candidates of a bounded number of discs at once
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] - many[low] + CANDIDATES, "right")))
+                n = many[low:high]
+                i = np.repeat(np.arange(low, high), n)
+                j = order[np.repeat(first[low:high] - (np.cumsum(n) - n), n) + np.arange(len(i))]
+                i, j = i[j > i], j[j > i]
+                close = np.hypot(*(at[j] - at[i]).T) < (r[i] + r[j]) * (1 + 1e-12)
+                found.append(np.stack([i[close], j[close]], 1))
+                low = high
+    pairs = np.concatenate(found)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].tolist()
+    return [(i, j) for i, j in pairs if math.hypot(*(at[j] - at[i])) < r[i] + r[j]]

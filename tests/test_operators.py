@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,20 @@ def test_whole_numbers_above_long_are_divided(spark, tmp_path):
     assert all(sum(r[1:]) == int(r["v"]) for r in wide.select("v", *shares).collect())
     with pytest.raises(Exception, match="beyond long"):
         spark.range(1).select(F.lit(str(3 * 2**63)).cast("decimal(38,0)").alias("v")).select(*shares).collect()
+
+
+def test_bodies_of_large_keys_meet_no_wall(spark, tmp_path):
+    keys = [0, 999_998, 999_999, 1_000_000, *range(1_100_000, 1_100_040)]
+    spark.createDataFrame([(k, 1) for k in keys], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(map(tuple, catalogue.bodies_fall(spark, str(tmp_path)).collect())) == [(k, -10.0, -8.0, 3.0) for k in keys]
+
+
+def test_touching_pairs_of_a_crowd_are_all_found(monkeypatch):
+    draw = np.random.default_rng(3)
+    at = np.concatenate([draw.normal(0, 3, (150, 2)), draw.uniform(-40, 40, (150, 2)), np.full((20, 2), 7.0), [[1e12, -5.0]]])
+    r = draw.uniform(0.5, 2.0, len(at))
+    want = [(i, j) for i in range(len(at)) for j in range(i + 1, len(at)) if math.hypot(*(at[j] - at[i])) < r[i] + r[j]]
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(particles, "CANDIDATES", most)
+        assert particles.touching(at, r, 4.0) == want
+    assert particles.touching(at[:1], r[:1], 4.0) == [] == particles.touching(at[:0], r[:0], 4.0)
