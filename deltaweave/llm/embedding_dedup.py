@@ -15,6 +15,10 @@ Equal vectors of a label are one class.
    region.  Regions are compared whole, in blocks of bounded size dealt over tasks: every link is
    counted, and pairs that join two clusters of the passes are passed on.
 
+Disk stays in proportion to the vectors.  A few passes run at a time.  Copies for regions and blocks may
+be many times the vectors, so they are never stored together: pairs of blocks are dealt to rounds, each
+of which ships about as many rows as there are vectors, and its shuffle is deleted before the next.
+
 Pivots save work where vectors form groups; for a label without any the comparisons of the second
 step grow with the square of its size.
 """
@@ -30,10 +34,15 @@ from pyspark.sql import functions as F
 
 from deltaweave.llm.components import components
 from deltaweave.llm.groups import runs
+from deltaweave.llm.wordhash import mix
 from deltaweave.runtime import ship, stage, table
 
 PASSES, BITS, NEIGHBOURS = 10, 40, 24
-THRESHOLD, REGION, MOST_PIVOTS, BLOCK = 0.98, 1024, 1024, 1024
+THRESHOLD, REGION, MOST_PIVOTS = 0.98, 1024, 1024
+#: Passes that run together at least; least and most vectors of a block, and the square that a task compares at once.
+TOGETHER, BLOCK_LEAST, BLOCK_MOST, TILE = 2, 1024, 8192, 2048
+#: Rows that one round ships for each vector, and at least.
+ROUND, ROUND_LEAST = 1.0, 250_000
 
 
 def _unit(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -44,14 +53,14 @@ def _unit(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 
-def _passes(passes: int, bits: int):
+def _passes(passes: range, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = np.asarray(batch.column(2))
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
                 unit = _unit(part.column(3), dim)
-                for number in range(passes):
+                for number in passes:
                     planes = np.random.default_rng([dim, number]).standard_normal((dim, bits))
                     key = ((unit @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64)[::-1])).astype(np.int64)
                     columns = [pa.array(np.full(len(key), number), pa.int32()), part.column(1), part.column(2), pa.array(key), part.column(0), part.column(3)]
@@ -99,8 +108,18 @@ def _neighbours(neighbours: int, threshold: float):
     return run
 
 
-def _regions(pivots: dict[tuple[int, int], np.ndarray], threshold: float):
-    """Each vector at its own region and as a copy wherever a link may be; ``pivots`` by label and length."""
+def _turn(label: int, dim: int, region: np.ndarray, rounds: int) -> np.ndarray:
+    """The round of a region's first pairs of blocks."""
+    key = np.array([label], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array([dim], np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mix(mix(key) + region.astype(np.uint64)) % np.uint64(rounds)).astype(np.int32)
+
+
+def _regions(pivots: dict[tuple[int, int], np.ndarray], threshold: float, now: int | None = None, rounds: int = 1, blocks: int = 1):
+    """Each vector at its own region and as a copy wherever a link may be; ``pivots`` by label and length.
+
+    Without ``now`` only ``label, dim, region, n``: how many vectors there are.  With it only regions
+    that have work in that round, if none has more than ``blocks`` blocks.
+    """
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
     gaps = {k: np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (p @ p.T))) for k, p in pivots.items()}
 
@@ -121,10 +140,17 @@ def _regions(pivots: dict[tuple[int, int], np.ndarray], threshold: float):
                     at, region = np.nonzero(near)
                 else:
                     at, region, home = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+                if now is None:
+                    names, many = np.unique(region, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), group[0]), pa.int64()), pa.array(np.full(len(names), group[1]), pa.int32()), pa.array(names.astype(np.int32)), pa.array(many, pa.int64())], ["label", "dim", "region", "n"])
+                    continue
+                turn = _turn(*group, region, rounds)
+                keep = (now - turn) % rounds < blocks
+                at, region, turn = at[keep], region[keep], turn[keep]
                 for low in range(0, len(at), 10_000):
                     a, r = at[low : low + 10_000], region[low : low + 10_000]
                     whole = batch.take(pa.array(rows[a]))
-                    yield pa.RecordBatch.from_arrays([*whole.columns[:2], pa.array(r.astype(np.int32)), pa.array(r == home[a]), *whole.columns[2:]], ["label", "dim", "region", "home", "rep", "size", "cluster", "vector"])
+                    yield pa.RecordBatch.from_arrays([*whole.columns[:2], pa.array(r.astype(np.int32)), pa.array(turn[low : low + 10_000]), pa.array(r == home[a]), *whole.columns[2:]], ["label", "dim", "region", "turn", "home", "rep", "size", "cluster", "vector"])
 
     return run
 
@@ -156,17 +182,23 @@ def _compare(threshold: float):
                 left, right = np.flatnonzero(block[rows] == i[at]), np.flatnonzero(block[rows] != i[at])
                 if j[at] == i[at]:
                     right = left
-                near = unit[left] @ unit[right].T >= threshold
-                near &= home[rows[left]][:, None] | home[rows[right]]
-                if right is left:
-                    np.fill_diagonal(near, False)
                 links = np.zeros(to - at, np.int64)
-                links[left] = near @ size[rows[right]]
-                if right is not left:
-                    links[right] = near.T @ size[rows[left]]
                 names, group = np.unique(cluster[rows], return_inverse=True)
-                a, b = np.nonzero(near & (group[left][:, None] != group[right]))
-                least = _joined(len(names), group[left[a]], group[right[b]])
+                least = np.arange(len(names))
+                for p in range(0, len(left), TILE):
+                    for q in range(p if j[at] == i[at] else 0, len(right), TILE):
+                        one, two = left[p : p + TILE], right[q : q + TILE]
+                        near = unit[one] @ unit[two].T >= threshold
+                        near &= home[rows[one]][:, None] | home[rows[two]]
+                        same = j[at] == i[at] and p == q
+                        if same:
+                            np.fill_diagonal(near, False)
+                        links[one] += near @ size[rows[two]]
+                        if not same:
+                            links[two] += near.T @ size[rows[one]]
+                        a, b = np.nonzero(near & (least[group[one]][:, None] != least[group[two]]))
+                        if len(a):
+                            least = _joined(len(names), np.concatenate([np.arange(len(names)), group[one[a]]]), np.concatenate([least, group[two[b]]]))
                 met, moved = np.flatnonzero(links), np.flatnonzero(least != np.arange(len(names)))
                 src = np.concatenate([rep[rows[met]], names[moved]])
                 dst = pa.array(np.concatenate([rep[rows[met]], names[least[moved]]]), pa.int64(), mask=np.arange(len(src)) < len(met))
@@ -181,31 +213,65 @@ def _usable(vector: Column, label: Column, key: Column) -> Column:
     return key.isNotNull() & label.isNotNull() & vector.isNotNull() & (F.size(vector) > 0) & whole & F.exists(vector, lambda x: x != 0)
 
 
-def window_links(classes: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """``src, dst``: verified pairs of ``classes(rep, label, dim, vector)`` found by the passes, as many as join their clusters."""
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["vector"].dataType.simpleString()
+
+
+def window_links(classes: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, neighbours: int = NEIGHBOURS, first: int = 0) -> DataFrame:
+    """``src, dst``: verified pairs of ``classes(rep, label, dim, vector)`` found by the passes from ``first``, as many as join their clusters."""
     order = ["pass", "label", "dim", "sort", "tie"]
-    coded = classes.select("rep", "label", "dim", "vector").mapInArrow(_passes(passes, BITS), "pass int, label long, dim int, sort long, rep long, vector array<double>")
+    coded = classes.select("rep", "label", "dim", "vector").mapInArrow(_passes(range(first, passes), BITS), f"pass int, label long, dim int, sort long, rep long, vector {_kind(classes)}")
     coded = coded.withColumn("tie", F.xxhash64("pass", "rep")).repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
     return coded.mapInArrow(_neighbours(neighbours, threshold), "src long, dst long")
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, region: int = REGION, block: int = BLOCK, passes: int = PASSES, neighbours: int = NEIGHBOURS) -> DataFrame:
+def _compared(told: DataFrame, pivots: dict[tuple[int, int], np.ndarray], threshold: float, block: int | None, most: int | None) -> DataFrame:
+    """What ``_compare`` finds in all regions of ``told(label, dim, rep, size, cluster, vector)``, round by round."""
+    group = ["label", "dim", "region"]
+    sizes = told.mapInArrow(_regions(pivots, threshold), "label long, dim int, region int, n long")
+    sizes = stage(sizes.groupBy(*group).agg(F.sum("n").alias("n")), "sizes")
+    total = told.count()
+    block = block or min(BLOCK_MOST, max(BLOCK_LEAST, total // 64))
+    sizes = sizes.withColumn("blocks", (F.floor((F.col("n") - 1) / block) + 1).cast("int"))
+    shipped, widest = sizes.agg(F.sum(F.col("n") * F.col("blocks")), F.max("blocks")).first()
+    rounds = -(-(shipped or 0) // (most or max(ROUND_LEAST, int(ROUND * total)))) or 1
+    fields = f"label long, dim int, region int, turn int, home boolean, rep long, size long, cluster long, vector {_kind(told)}"
+    dealt = [*group, "i", "j"]
+    both = lambda other: (F.least("block", other), F.greatest("block", other))
+    compared = None
+    for now in range(rounds):
+        placed = told.mapInArrow(_regions(pivots, threshold, now, rounds, widest or 1), fields)
+        members = placed.join(sizes.drop("n"), group).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        partners = F.sequence(F.lit(0), F.col("blocks") - 1)
+        if rounds > 1:
+            partners = F.filter(partners, lambda o: F.pmod(F.col("turn") + F.abs(F.col("block") - o), F.lit(rounds)) == now)
+        spread = members.select(*group, "block", "home", "rep", "size", "cluster", "vector", F.explode(partners).alias("other"))
+        spread = spread.select(*group, *[c.alias(n) for c, n in zip(both("other"), "ij")], "block", "home", "rep", "size", "cluster", "vector")
+        spread = spread.repartition(*dealt).sortWithinPartitions(*dealt)
+        some = stage(spread.mapInArrow(_compare(threshold), "src long, links long, dst long"), "compared")
+        compared = some if compared is None else compared.unionAll(some)
+    return compared
+
+
+def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, region: int = REGION, block: int | None = None, passes: int = PASSES, neighbours: int = NEIGHBOURS, most: int | None = None) -> DataFrame:
     """``key, n_links, component_id, kept`` of every row; ``kept`` marks the smallest key of a component.
 
     Vectors are compared when their labels and lengths are equal.  A vector that is null, empty, zero
     or holds a null or non-finite component, or whose key or label is null, links with nothing and is
     its own component.  Repeated rows are separate vectors that link with each other.  Extra columns
     of any name are ignored; an empty table gives an empty result.  All pairs of at least
-    ``threshold`` link and no others; the other parameters only deal the work.
+    ``threshold`` link and no others; the other parameters only deal the work (``most``: rows that
+    one round ships).  Floats are kept as floats, which loses nothing, and compared as doubles.
     """
     ship(vectors.sparkSession)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    kind = "array<float>" if dict(vectors.select(F.col(vector).alias("v")).dtypes)["v"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast(kind).alias("vector"))
     rows = rows.withColumn("ok", F.coalesce(_usable(F.col("vector"), F.col("label"), F.col("id")), F.lit(False)))
     rows = rows.withColumns({"one": F.xxhash64("vector"), "two": F.xxhash64(F.lit(7), "vector")})
-    rows = stage(rows, "vectors")
     same = ["label", "one", "two"]
     classes = rows.where("ok").groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("vector").alias("vector"))
     classes = stage(classes.withColumn("dim", F.size("vector")), "classes")
+    rows = stage(rows.drop("vector"), "rows")
     many = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * region)
     wanted = F.least(F.ceil(F.col("n") / region), F.lit(MOST_PIVOTS))
     chosen = classes.join(F.broadcast(many), ["label", "dim"]).where(F.pmod(F.xxhash64(F.lit(11), "rep"), F.col("n")) < wanted)
@@ -213,20 +279,16 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     for r in chosen.select("label", "dim", "rep", "vector").orderBy("rep").collect():
         listed.setdefault((r["label"], r["dim"]), []).append(r["vector"])
     pivots = {k: _unit(pa.array(v, pa.list_(pa.float64())), k[1]) for k, v in listed.items()}
-    links = stage(window_links(classes, threshold, passes, neighbours), "window_links")
-    clusters = components(links).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    links = None
+    together = max(TOGETHER, 2 * ROUND_LEAST // max(classes.count(), 1))
+    for first in range(0, passes, together):
+        some = stage(window_links(classes, threshold, min(first + together, passes), neighbours, first), "window_links")
+        links = some if links is None else links.unionAll(some)
+    links = classes.select(F.col("rep").alias("src"), F.col("rep").alias("dst")).limit(0) if links is None else links
+    clusters = stage(components(links).select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "passes")
     told = classes.join(clusters, "rep", "left").select("label", "dim", "rep", "size", F.coalesce("cluster", "rep").alias("cluster"), "vector")
-    fields = "label long, dim int, region int, home boolean, rep long, size long, cluster long, vector array<double>"
-    placed = stage(told.mapInArrow(_regions(pivots, threshold), fields), "regions")
-    group = ["label", "dim", "region"]
-    sizes = placed.groupBy(*group).agg((F.floor((F.count(F.lit(1)) - 1) / block) + 1).cast("int").alias("blocks"))
-    members = placed.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = members.select(*group, "block", "home", "rep", "size", "cluster", "vector", other.alias("other"))
-    dealt = [*group, "i", "j"]
-    spread = spread.select(*group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "home", "rep", "size", "cluster", "vector")
-    spread = spread.repartition(*dealt).sortWithinPartitions(*dealt)
-    compared = stage(spread.mapInArrow(_compare(threshold), "src long, links long, dst long"), "compared")
+    told = stage(told, "told")
+    compared = _compared(told, pivots, threshold, block, most)
     found = stage(components(links.unionAll(compared.where("dst IS NOT NULL").select("src", "dst"))).withColumnRenamed("id", "rep"), "clusters")
     degrees = compared.groupBy(F.col("src").alias("rep")).agg(F.sum("links").alias("links"))
     answer = classes.select(*same, "rep", "size").join(found, "rep", "left").join(degrees, "rep", "left")

@@ -6,7 +6,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from deltaweave import runtime
 from deltaweave.llm import embedding_dedup, exact_dedup, hot, jaccard_join, substring_dedup
 from deltaweave.llm.components import components
 
@@ -148,3 +150,34 @@ def test_embedding_dedup_is_exact_in_a_crowded_label(spark):
     for sizes in ({}, {"region": 100, "block": 64}):
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(frame_, **sizes).collect()}
         assert got == {i: (int(near[i].sum()), want[i]) for i in want}
+
+
+def test_embedding_dedup_ships_its_blocks_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((500, 16))
+    v[250:] = v[:250] + 0.03 * rng.standard_normal((250, 16))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    label = np.arange(500) % 250 % 2
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(500, dtype=bool)
+    want = union(range(500), [tuple(p) for p in np.argwhere(near).tolist()])
+    frame_ = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, label))], "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(embedding_dedup, "TILE", 7)
+    monkeypatch.setattr(embedding_dedup, "ROUND_LEAST", 1000)
+    staged = []
+    keep = embedding_dedup.stage
+    monkeypatch.setattr(embedding_dedup, "stage", lambda df, name: staged.append((name, df.schema)) or keep(df, name))
+    for sizes in ({"region": 60, "block": 40, "most": 700}, {"region": 1000, "block": 16, "most": 600, "passes": 3}):
+        staged.clear()
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(frame_, **sizes).collect()}
+        assert got == {i: (int(near[i].sum()), want[i]) for i in want}
+        names = [n for n, _ in staged]
+        assert names.count("compared") >= 3 and names.count("window_links") == -(-sizes.get("passes", 10) // 4)
+        assert {s["vector"].dataType.simpleString() for _, s in staged if "vector" in s.names} == {"array<float>"}
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    live = lambda: len(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split("shuffle_"))
+    before = live()
+    table_ = runtime.stage(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count(), "t")
+    assert live() <= before and table_.count() == 10
