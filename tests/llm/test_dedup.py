@@ -7,9 +7,11 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from deltaweave import runtime
-from deltaweave.llm import embedding_dedup, exact_dedup, hot, jaccard_join, substring_dedup
+from deltaweave.llm import bloom, embedding_dedup, exact_dedup, hot, jaccard_join, substring_dedup
+from deltaweave.llm import components as components_
 from deltaweave.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,6 +59,37 @@ def test_components(spark, monkeypatch, least):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+@pytest.mark.parametrize("finish", [0, 200, 100_000])
+def test_components_finish_small_graphs_in_one_task(spark, monkeypatch, finish):
+    """Levels alone, levels and one task, one task alone: the same components, from ever fewer tables."""
+    monkeypatch.setattr(components_, "FINISH", finish)
+    staged, stage = [], runtime.stage
+    monkeypatch.setattr(components_, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    rng = random.Random(2)
+    pairs = [(rng.randrange(-150, 150), rng.randrange(-150, 150)) for _ in range(140)] + [(1000 + i, 1001 + i) for i in range(150)]
+    pairs += [(2000, 2001 + i) for i in range(200)] + [(2150, 3000 + i) for i in range(50)] + [(5000, 5000), (None, 7), (2**62, -(2**62))]
+    ends = [p for p in pairs if None not in p]
+    ids = {x for p in ends for x in p}
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == union(ids, ends)
+    assert ("finished" in staged) == (finish > 0) and ("parent1" in staged) == (finish < 100_000)
+    if finish == 100_000:
+        assert staged == ["edges", "nodes", "finished"]
+
+
+def test_bloom_filter_reaches_the_driver_once(spark, monkeypatch):
+    """Every key is found, few others are, and the driver gets no more than the filter's bytes."""
+    got, iterate = [], DataFrame.toLocalIterator
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *a, **b: (got.append(len(r["flags"])) or r for r in iterate(self, *a, **b)))
+    keys = spark.range(-3000, 3000, 1, 5).select((F.col("id") * 7919).alias("id"))
+    flags, bits = bloom.build(keys, 6000, lambda batch: np.asarray(batch.column(0), np.int64))
+    assert 8 * sum(got) == 8 * len(flags) == bits
+    flags = np.frombuffer(flags, np.uint8)
+    own = np.arange(-3000, 3000) * 7919
+    assert bloom.holds(flags, bits, own).all()
+    assert bloom.holds(flags, bits, own + 1).mean() < 0.1
+
+
 def test_exact_dedup(spark):
     rows = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "b"), (5, "b"), (None, "c"), (None, "a")] + [(100 + i, "hot") for i in range(200)]
     for capacity, least in ((512, 64), (2, 10_000)):
