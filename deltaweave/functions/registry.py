@@ -65,10 +65,10 @@ def apply_items(current: Column, removed: Column | None = None, added: Column |
     return kept if added is None else F.when(added.isNull(), kept).otherwise(F.concat(kept, added))
 
 
-def divide_column(sort: sorts.Sort, value: Column, part: Column, n: int, wide: bool = False) -> Column:
+def divide_column(sort: sorts.Sort, value: Column, part: Column, n: int, wide: bool | str = False) -> Column:
     """Daughter ``part`` of ``n``: extensive amounts are split, integers with their remainder, all else is shared.
 
-    Integers may be ``wide``: beyond long, in up to 38 digits, as long as the shares are long.
+    Integers may be ``wide``, in up to 38 digits, as ``split_int`` says.
     """
     if sort.kind == "delta":
         return value / n

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from deltaweave.functions.names import unused
 
+#: The type of shares that long can't hold.
+WHOLE = "decimal(38,0)"
+
 
 def daughters(df: DataFrame, n: int, index: str = "daughter") -> DataFrame:
     """n rows for each row, numbered from 0."""
@@ -21,17 +24,30 @@ def split_extensive(total: Column, n: int) -> Column:
     return total / n
 
 
-def split_int(total: Column, n: int, index: Column, wide: bool = False) -> Column:
+def fits_long(total: Column, n: int) -> Column:
+    """Whether the shares of a whole number are long, null where it is null."""
+    least, most = (F.lit(str(n * x)).cast(WHOLE) for x in (-(2**63), 2**63 - 1))
+    return (total >= least) & (total <= most)
+
+
+def split_int(total: Column, n: int, index: Column, wide: bool | str = False) -> Column:
     """Truncated share; the remainder goes one apiece, with its sign, to the first daughters.
 
-    A ``wide`` total may have 38 digits; shares are long, and one that long can't hold is an error.
+    A ``wide`` total may have 38 digits; shares are long, and one that long can't hold is an error,
+    unless ``wide`` is ``WHOLE``: then they are of that type.
     """
-    total = total.cast("decimal(38,0)" if wide else "long")  # whole numbers only: doubles lose what is above 2^53
+    total = total.cast(WHOLE if wide else "long")  # whole numbers only: doubles lose what is above 2^53
     extra = total % n
+    if wide == WHOLE:  # div gives long, so the quotient is put together from parts that long holds
+        share, rest = F.lit(0).cast(WHOLE), total
+        for part in (10**19, 10**9, 1):
+            by = F.lit(str(n * part)).cast(WHOLE)
+            share, rest = share + F.call_function("div", rest, by).cast("decimal(19,0)") * F.lit(str(part)).cast("decimal(20,0)"), rest % by
+        one = F.when(index < F.abs(extra), F.when(extra < 0, -1).otherwise(1)).otherwise(0)
+        return (share + one.cast("decimal(1,0)")).cast(WHOLE)
     share = F.call_function("div", total, F.lit(n))
     if wide:  # the division of decimals cuts what long can't hold
-        bound = F.lit(str(n * 2**63)).cast("decimal(38,0)")
-        share = F.when(total.isNull() | ((total >= -bound) & (total < bound)), share).otherwise(F.raise_error(F.lit("a share is beyond long")).cast("long"))
+        share = F.when(total.isNull() | fits_long(total, n), share).otherwise(F.raise_error(F.lit("a share is beyond long")).cast("long"))
     return share + F.when(index < F.abs(extra), F.when(extra < 0, -1).otherwise(1)).otherwise(0).cast("long")
 
 

@@ -122,6 +122,24 @@ def test_whole_numbers_above_long_are_divided(spark, tmp_path):
         spark.range(1).select(F.lit(str(3 * 2**63)).cast("decimal(38,0)").alias("v")).select(*shares).collect()
 
 
+def test_shares_above_long_are_whole(spark, tmp_path):
+    keys = (0, 276_700, 276_702, 1_199_999, 2**63 - 1)
+    spark.createDataFrame([*((k, 1 + k % 50) for k in keys), (None, 3), (7, None)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    out = catalogue.divide_whole(spark, str(tmp_path))
+    assert dict(out.dtypes)["share"] == "decimal(38,0)"
+    whole = {k: divmod(k * 10**14 + 1 + k % 50, 3) for k in keys}
+    want = {(k, i): q + (i < rest) for k, (q, rest) in whole.items() for i in range(3)} | {(k, i): None for k in (None, 7) for i in range(3)}
+    assert {(r["p_partkey"], r["daughter"]): None if r["share"] is None else int(r["share"]) for r in out.collect()} == want
+    for n in (2, 3, 10):
+        shares = [divide.split_int(F.col("v"), n, F.lit(i), wide=divide.WHOLE).alias(f"s{i}") for i in range(n)]
+        totals = [sign * v for v in (0, 1, n - 1, 2**63 + 1, n * 2**63 - n, n * 2**63 - 1, n * 2**63 + 1, 10**19 * n - 1, 10**30 + 7, 10**38 - 1) for sign in (1, -1)]
+        wide = spark.createDataFrame([(str(v),) for v in totals], "v string").select(F.col("v").cast("decimal(38,0)").alias("v"))
+        for v, *got, fits in wide.select("v", *shares, divide.fits_long(F.col("v"), n)).collect():
+            q, rest = divmod(abs(int(v)), n)
+            want = [(q + (i < rest)) * (1 if v >= 0 else -1) for i in range(n)]
+            assert [int(x) for x in got] == want and fits == (min(want) >= -(2**63) and max(want) < 2**63)
+
+
 def test_bodies_of_large_keys_meet_no_wall(spark, tmp_path):
     keys = [0, 999_998, 999_999, 1_000_000, *range(1_100_000, 1_100_040)]
     spark.createDataFrame([(k, 1) for k in keys], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
